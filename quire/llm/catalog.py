@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import toxicity
+from quire.llm import packing, toxicity
 from quire.session import table
 
 
@@ -13,5 +13,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op8_toxicity": op8_toxicity}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
 ORACLES: dict[str, str] = {}
