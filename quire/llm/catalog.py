@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, sstable, toxicity
+from quire.llm import ogg, packing, sstable, toxicity
 from quire.session import table
 
 
@@ -13,6 +13,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.query(table(spark, sf_dir, "documents"))
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build(table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+ORACLES = {"op1_ogg": ogg.ORACLE}
