@@ -1,0 +1,271 @@
+"""Format-preserving pseudonyms: validated numbers and dates permuted by a keyed Feistel network.
+
+What is replaced, and what makes it valid:
+
+    card   13-19 digits, also in groups by blanks or hyphens, with a right Luhn digit
+    iban   two-letter country, check digits with remainder 1 mod 97
+    ssn    ddd-dd-dddd, no area 000, 666 or 9xx, no group 00, no serial 0000
+    phone  +cc and 9 to 12 digits, or (ddd) ddd-dddd or ddd-ddd-dddd
+    ip     four numbers up to 255
+    date   yyyy-mm-dd, d.m.yyyy, m/d/yyyy (d/m/yyyy if only that exists), a day of 1900 to 2099
+    mail   the local part; the domain stays
+    token  32 to 64 hexadecimal digits with both letters and digits
+
+A value is brought to a number in the domain of its format (all digits of its
+places, the days of the two centuries, ...), permuted there, and written back in the
+form it had: separators, country codes, case and check digits stay right. The
+network has ten rounds over two halves of nearly equal size, keyed by BLAKE2b with
+kind and domain as tweak; values that leave the domain or its rules are permuted
+again until they are inside, so it is a permutation of the valid values. Equal
+values get equal pseudonyms in every document, whatever separators they are
+written with, and with the key `restore` undoes it.
+
+Results for odd input: a null text stays null with no finds, an empty text stays
+empty; numbers that don't validate stay. A text is read as a whole. Repeated rows
+give repeated rows, an empty table none. `pseudonymise` keeps all columns, whatever
+they are called; `report` returns (doc_id, text, a count for each kind).
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from datetime import date, timedelta
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.llm.common import need
+from quire.llm.tokens import pieces
+
+KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "mail", "token")
+ROUNDS = 10
+_DAY0, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+_SOME = re.compile(r"@|[0-9]{2}|[0-9][./][0-9]")
+_ALL = re.compile(
+    r"""(?<![A-Za-z0-9._%+-])(?P<mail>[A-Za-z0-9._%+-]{1,64})(?=@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})
+    |(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])
+    |(?<![A-Za-z0-9])(?P<token>(?=[a-fA-F]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}))(?![A-Za-z0-9])
+    |(?<![A-Za-z0-9.+-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-]|\.[0-9])
+    |(?<![A-Za-z0-9.-])(?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9]|\.[0-9])
+    |(?<![A-Za-z0-9.+-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])
+    |(?<![A-Za-z0-9])(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9-]|\.[0-9])
+    |(?<![A-Za-z0-9.+-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9-])""",
+    re.ASCII | re.VERBOSE,
+)
+
+
+class Feistel:
+    """A keyed permutation of range(n)."""
+
+    def __init__(self, key: bytes, tweak: str, n: int):
+        self.n = n
+        self.a = max(1, int(n**0.5))
+        while self.a * self.a < n:
+            self.a += 1
+        self.b = -(-n // self.a)
+        self.state = hashlib.blake2b(f"{tweak}|{n}".encode(), key=key, digest_size=32)
+
+    def _f(self, i: int, x: int) -> int:
+        h = self.state.copy()
+        h.update(b"%d|%d" % (i, x))
+        return int.from_bytes(h.digest(), "little")
+
+    def _once(self, x: int, back: bool) -> int:
+        left, right = divmod(x, self.b)
+        for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+            if i % 2:
+                right = (right + (-self._f(i, left) if back else self._f(i, left))) % self.b
+            else:
+                left = (left + (-self._f(i, right) if back else self._f(i, right))) % self.a
+        return left * self.b + right
+
+    def __call__(self, x: int, back: bool = False, valid: Callable[[int], bool] = lambda _: True) -> int:
+        """The image of a valid x; it walks on until it is in the domain and valid."""
+        while True:
+            x = self._once(x, back)
+            if x < self.n and valid(x):
+                return x
+
+
+@lru_cache(4096)
+def _network(key: bytes, tweak: str, n: int) -> Feistel:
+    return Feistel(key, tweak, n)
+
+
+def luhn(digits: str) -> int:
+    """The check digit that belongs after the digits."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 - i % 2)
+        total += d - 9 * (d > 9)
+    return -total % 10
+
+
+def _mod97(x: str) -> int:
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
+def _refill(shape: str, new: str, is_place: Callable[[str], bool]) -> str:
+    it = iter(new)
+    return "".join(next(it) if is_place(c) else c for c in shape)
+
+
+def _digits(key: bytes, tweak: str, digits: str, back: bool, valid: Callable[[str], bool] = lambda _: True) -> str:
+    n = len(digits)
+    net = _network(key, f"{tweak}{n}", 10**n)
+    return f"{net(int(digits), back, lambda x: valid(f'{x:0{n}d}')):0{n}d}"
+
+
+def _mixed(key: bytes, tweak: str, text: str, back: bool, classes: tuple[str, ...] = (_DIGIT, _LOWER, _UPPER)) -> str:
+    """Each character stays in its class; others stay as they are."""
+    own = [next((k for k in classes if c in k), None) for c in text]
+    n, x = 1, 0
+    for c, k in zip(text, own):
+        if k is not None:
+            n, x = n * len(k), x * len(k) + k.index(c)
+    if n == 1:
+        return text
+    shape = "".join("." if k is None else k[0] for k in own)
+    x = _network(key, f"{tweak}{shape}", n)(x, back)
+    out = list(text)
+    for i in range(len(text) - 1, -1, -1):
+        if (k := own[i]) is not None:
+            x, r = divmod(x, len(k))
+            out[i] = k[r]
+    return "".join(out)
+
+
+def _card(key: bytes, s: str, back: bool) -> str | None:
+    d = re.sub(r"[^0-9]", "", s)
+    if int(d[-1]) != luhn(d[:-1]) or not d.strip("0"):
+        return None
+    body = _digits(key, "card", d[:-1], back, lambda x: x.strip("0") != "")
+    return _refill(s, body + str(luhn(body)), str.isdigit)
+
+
+def _iban(key: bytes, s: str, back: bool) -> str | None:
+    d = s.replace(" ", "")
+    if not 15 <= len(d) <= 34 or _mod97(d[4:] + d[:4]) != 1 or not 2 <= int(d[2:4]) <= 98:
+        return None
+    body = _mixed(key, "iban" + d[:2], d[4:], back)
+    return _refill(s, f"{d[:2]}{98 - _mod97(body + d[:2] + '00'):02d}{body}", str.isalnum)
+
+
+def _real_ssn(d: str) -> bool:
+    return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+def _ssn(key: bytes, s: str, back: bool) -> str | None:
+    d = s.replace("-", "")
+    return _refill(s, _digits(key, "ssn", d, back, _real_ssn), str.isdigit) if _real_ssn(d) else None
+
+
+def _phone(key: bytes, s: str, back: bool) -> str | None:
+    code = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+1(?=[0-9]{10}$)", s)
+    at = code.end() if code else 0
+    d = re.sub(r"[^0-9]", "", s[at:])
+    if s[0] == "+" and not code or not 9 <= len(d) <= 12:
+        return None
+    return s[:at] + _refill(s[at:], _digits(key, "phone", d, back), str.isdigit)
+
+
+def _ip(key: bytes, s: str, back: bool) -> str | None:
+    parts = [int(x) for x in s.split(".")]
+    if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
+        return None
+    x = _network(key, "ip", 1 << 32)(int.from_bytes(bytes(parts), "big"), back)
+    return ".".join(map(str, x.to_bytes(4, "big")))
+
+
+def _date(key: bytes, s: str, back: bool) -> str | None:
+    sep = s[4] if s[4] == "-" else "." if "." in s else "/"
+    f = s.split(sep)
+    orders = ("ymd",) if sep == "-" else ("dmy",) if sep == "." else ("mdy", "dmy")
+    for order in orders:
+        part = {k: int(x) for k, x in zip(order, f)}
+        try:
+            n = (date(part["y"], part["m"], part["d"]) - _DAY0).days
+        except ValueError:
+            continue
+        if not 0 <= n < _DAYS:
+            return None
+        net = _network(key, "date", _DAYS)
+        # day-first dates with slashes are permuted among those that can't be read month first, so that they can be restored
+        rule = (lambda x: (_DAY0 + timedelta(x)).day > 12) if order == "dmy" and sep == "/" else (lambda _: True)
+        day = _DAY0 + timedelta(net(n, back, rule))
+        short = any(len(x) < 2 for x in f)
+        new = {"y": f"{day.year:04d}", "m": f"{day.month:0{1 if short else 2}d}", "d": f"{day.day:0{1 if short else 2}d}"}
+        return sep.join(new[k] for k in order)
+    return None
+
+
+def _mail(key: bytes, s: str, back: bool) -> str | None:
+    return _mixed(key, "mail", s, back)
+
+
+def _token(key: bytes, s: str, back: bool) -> str | None:
+    if s != s.lower():
+        return _token(key, s.lower(), back).upper()
+    net = _network(key, f"token{len(s)}", 16 ** len(s))
+    x = net(int(s, 16), back, lambda y: not (t := f"{y:0{len(s)}x}").isdigit() and not t.isalpha())
+    return f"{x:0{len(s)}x}"
+
+
+_BY_KIND: dict[str, Callable[[bytes, str, bool], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "mail": _mail, "token": _token}
+
+
+def replace(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
+    """(text with every valid value permuted, finds by kind)."""
+    if not _SOME.search(text):
+        return text, {}
+    found: dict[str, int] = {}
+
+    def one(m: re.Match) -> str:
+        kind = m.lastgroup
+        new = _BY_KIND[kind](key, m.group(), back)
+        if new is None:
+            return m.group()
+        found[kind] = found.get(kind, 0) + 1
+        return new
+
+    return _ALL.sub(one, text), found
+
+
+def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", back: bool = False) -> DataFrame:
+    """The table with the column's values replaced; all other columns stay."""
+    need(docs, column)
+    names = docs.columns
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, column):
+            new = pa.array([None if t is None else replace(t, key, back)[0] for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(names))], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def restore(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
+    """What `pseudonymise` was given."""
+    return pseudonymise(docs, key, column, True)
+
+
+def report(docs: DataFrame, key: bytes) -> DataFrame:
+    """(doc_id, text, n_card, n_iban, ...): every document with its new text."""
+    need(docs, "doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), *(T.StructField(f"n_{k}", T.IntegerType()) for k in KINDS)])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            done = [(None, {}) if t is None else replace(t, key) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), *(pa.array([f.get(k, 0) for _, f in done], pa.int32()) for k in KINDS)], names=names)
+
+    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, schema)
