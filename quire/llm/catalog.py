@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import ogg, packing, pii, sstable, toxicity
+from quire.llm import jaccard, ogg, packing, pii, sstable, toxicity
 from quire.session import table
 
 
@@ -23,6 +23,10 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), KEY)
 
 
-QUERIES = {"op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
-ORACLES = {"op1_ogg": ogg.ORACLE}
+QUERIES = {"op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+ORACLES = {"op5_jaccard": jaccard.ORACLE, "op1_ogg": ogg.ORACLE}

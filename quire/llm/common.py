@@ -67,3 +67,39 @@ def longs(a: np.ndarray) -> pa.Array:
 
 
 LONG, INT, DOUBLE, STRING, BOOL, BYTES = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.BinaryType()
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The integers byte plane by byte plane: planes of zeros shrink to nothing in a compressed shuffle."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    head = np.array([x for a in arrays for x in (len(a), a.itemsize)], np.int64)
+    return np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(planes(a) for a in arrays)
+
+
+def unpack_arrays(raw: bytes, *kinds: type) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * n, 8)
+    at, out = 8 + 16 * n, []
+    for i, kind in enumerate(kinds):
+        size = int(head[2 * i] * head[2 * i + 1])
+        out.append(unplanes(raw[at : at + size], kind, int(head[2 * i])))
+        at += size
+    return out
+
+
+def exchange(df: DataFrame, parts: int) -> DataFrame:
+    """Sends rows (part int, blob binary) to partition `part`."""
+    return df.repartitionById(parts, F.col("part"))
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each 64-bit hash, by its upper half."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
