@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard, ogg, packing, pii, sstable, toxicity
+from quire.llm import jaccard, linededup, ogg, packing, pii, sstable, toxicity
 from quire.session import table
 
 
@@ -35,5 +35,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), KEY)
 
 
-QUERIES = {"op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
-ORACLES = {"op5_jaccard": jaccard.ORACLE, "op1_ogg": ogg.ORACLE}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dropped(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+ORACLES = {"op9_line_dedup": linededup.ORACLE, "op5_jaccard": jaccard.ORACLE, "op1_ogg": ogg.ORACLE}
