@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, jaccard, linededup, ogg, packing, pii, sstable, toxicity
+from quire.llm import decontam, jaccard, langid, linededup, ogg, packing, pii, sstable, toxicity
 from quire.session import table
 
 
@@ -31,6 +31,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.classify(docs, langid.fit(docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dropped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op9_line_dedup": op9_line_dedup, "op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+QUERIES = {"op6_language": op6_language, "op4_decontamination": op4_decontamination, "op9_line_dedup": op9_line_dedup, "op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
 ORACLES = {"op4_decontamination": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE, "op5_jaccard": jaccard.ORACLE, "op1_ogg": ogg.ORACLE}
