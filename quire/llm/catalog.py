@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, jaccard, langid, linededup, ogg, packing, pii, sstable, toxicity
+from quire.llm import decontam, jaccard, knn, langid, linededup, ogg, packing, pii, sstable, toxicity
 from quire.session import table
 
 
@@ -23,6 +23,11 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.build(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return knn.classify(docs, knn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,5 +53,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dropped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_language": op6_language, "op4_decontamination": op4_decontamination, "op9_line_dedup": op9_line_dedup, "op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
+QUERIES = {"op3_quality": op3_quality, "op6_language": op6_language, "op4_decontamination": op4_decontamination, "op9_line_dedup": op9_line_dedup, "op5_jaccard": op5_jaccard, "op10_pii": op10_pii, "op1_ogg": op1_ogg, "op2_sstable": op2_sstable, "op7_packing": op7_packing, "op8_toxicity": op8_toxicity}
 ORACLES = {"op4_decontamination": decontam.ORACLE, "op9_line_dedup": linededup.ORACLE, "op5_jaccard": jaccard.ORACLE, "op1_ogg": ogg.ORACLE}
