@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import toxicity
+from quire.llm import decontam, jaccard, linededup, packing, toxicity
 from quire.llm.common import written
 from quire.session import share_code, table
 
@@ -16,7 +16,38 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, model)
 
 
-STAGES = [("toxicity", clean_toxicity)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within two edits of an earlier line go; a document none of whose lines is left goes."""
+    share_code(spark)
+    return linededup.dedup(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    share_code(spark)
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    share_code(spark)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into training sequences: one row for each piece of a document."""
+    share_code(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", clean_toxicity),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+#: No SQL: the first stage trains a network and the last one packs greedily.
 ORACLE_SQL = None
 
 
