@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quire.plans import layout, values
+
+QUERIES: dict = layout.QUERIES | values.QUERIES
+ORACLES: dict[str, str] = layout.ORACLES | values.ORACLES
