@@ -275,11 +275,11 @@ def main_vs_head(spark: SparkSession, sf: str) -> DataFrame:
 WITH t AS (SELECT l_suppkey, l_quantity / (1 + l_linenumber) AS ratio, l_discount * 100 - l_tax * 50 AS angle FROM lineitem),
 a AS (SELECT * FROM t WHERE ratio > 2.5), b AS (SELECT *, median(ratio) OVER (PARTITION BY l_suppkey) AS m FROM a), c AS (SELECT * FROM b WHERE ratio >= 0.67 * m AND ratio <= 1.33 * m),
 d AS (SELECT *, median(angle) OVER (PARTITION BY l_suppkey) AS med FROM c), e AS (SELECT *, round(abs(angle - med), 9) AS dev FROM d), f AS (SELECT *, median(dev) OVER (PARTITION BY l_suppkey) AS mad FROM e)
-SELECT l_suppkey, round(avg(angle), 5) AS slope FROM f WHERE dev <= 2 * mad GROUP BY l_suppkey
+SELECT l_suppkey, round(avg(angle), 5) + 0::DOUBLE AS slope FROM f WHERE dev <= 2 * mad GROUP BY l_suppkey
 """)
 def skew_robust_mean(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") / (1 + F.col("l_linenumber"))).alias("ratio"), (F.col("l_discount") * 100 - F.col("l_tax") * 50).alias("angle"))
-    return matching.robust_mean(t, ["l_suppkey"], "ratio", "angle").select("l_suppkey", F.round("slope", 5).alias("slope"))
+    return matching.robust_mean(t, ["l_suppkey"], "ratio", "angle").select("l_suppkey", (F.round("slope", 5) + F.lit(0.0)).alias("slope"))
 
 
 @query("SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2 FROM lineitem GROUP BY l_suppkey HAVING count(*) > 2")

@@ -25,34 +25,34 @@ def query(sql: str | None = None):
 
 @query("""
 WITH s AS (SELECT vec_id, embedding[1:6] AS s FROM embeddings), n AS (SELECT vec_id, list_position(s, list_max(s)) AS n, list_max(s)::DOUBLE AS c FROM s)
-SELECT vec_id, least(greatest(n, 2), 5)::INT AS num_col, round(CASE WHEN n < 2 OR n > 5 THEN 1 ELSE c END, 5) AS conf FROM n
+SELECT vec_id, least(greatest(n, 2), 5)::INT AS num_col, round(CASE WHEN n < 2 OR n > 5 THEN 1 ELSE c END, 5) + 0::DOUBLE AS conf FROM n
 """)
 def column_class(spark: SparkSession, sf: str) -> DataFrame:
     s = scores.column_class(F.slice("embedding", 1, 6), 2, 5)
-    return table(spark, sf, "embeddings").select("vec_id", s["num_col"].cast("int").alias("num_col"), F.round(s["conf"], 5).alias("conf"))
+    return table(spark, sf, "embeddings").select("vec_id", s["num_col"].cast("int").alias("num_col"), (F.round(s["conf"], 5) + F.lit(0.0)).alias("conf"))
 
 
 @query("""
 WITH c AS (SELECT vec_id, embedding[k * 8 + 1 : k * 8 + 8] AS p FROM embeddings CROSS JOIN (SELECT unnest(range(8)) AS k)),
 l AS (SELECT vec_id, list_max(p)::DOUBLE AS m FROM c WHERE list_position(p, list_max(p)) <> 8)
-SELECT vec_id, round(coalesce(avg(m), 0), 5) AS conf FROM embeddings LEFT JOIN l USING (vec_id) GROUP BY vec_id
+SELECT vec_id, round(coalesce(avg(m), 0), 5) + 0::DOUBLE AS conf FROM embeddings LEFT JOIN l USING (vec_id) GROUP BY vec_id
 """)
 def score_confidence(spark: SparkSession, sf: str) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8))
     c = scores.line_confidence(steps, 7)
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.when(F.isnan(c), 0.0).otherwise(c), 5).alias("conf"))
+    return table(spark, sf, "embeddings").select("vec_id", (F.round(F.when(F.isnan(c), 0.0).otherwise(c), 5) + F.lit(0.0)).alias("conf"))
 
 
 @query("""
 WITH t AS (SELECT vec_id, s, k, embedding[s + k + 1]::DOUBLE AS v, 1 / (1 + exp(5 - 5 * least(k, 15 - k) / 4.0)) AS w FROM embeddings CROSS JOIN (SELECT unnest([0, 8, 16, 24, 32, 40, 48]) AS s) CROSS JOIN (SELECT unnest(range(16)) AS k))
-SELECT vec_id, (s + k)::INT AS x, round(sum(v * w) / sum(w), 5) AS v FROM t GROUP BY vec_id, s + k
+SELECT vec_id, (s + k)::INT AS x, round(sum(v * w) / sum(w), 5) + 0::DOUBLE AS v FROM t GROUP BY vec_id, s + k
 """)
 def tile_blend(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows of 16 blended by sigmoid weights towards their edges."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.array(*[F.lit(i) for i in range(0, 49, 8)])).alias("s"))
     t = e.select("vec_id", "s", F.posexplode(F.slice("embedding", F.col("s") + 1, F.lit(16))).alias("k", "v"))
     w = 1 / (1 + F.exp(5 - 5 * F.least(F.col("k"), 15 - F.col("k")) / 4))
-    return t.groupBy("vec_id", (F.col("s") + F.col("k")).alias("x")).agg(F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 5).alias("v"))
+    return t.groupBy("vec_id", (F.col("s") + F.col("k")).alias("x")).agg((F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 5) + F.lit(0.0)).alias("v"))
 
 
 def _hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,9 +138,9 @@ def confusion_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupingSets([c, c[1:], c[:1], []], *c).agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("g"))
 
 
-@query("SELECT label, (pos - 1)::INT AS pos, round(avg(v::DOUBLE), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY label, pos")
+@query("SELECT label, (pos - 1)::INT AS pos, round(avg(v::DOUBLE), 5) + 0::DOUBLE AS mean FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY label, pos")
 def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.ensemble(table(spark, sf, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 5))
+    return metrics.ensemble(table(spark, sf, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 5) + F.lit(0.0))
 
 
 @query("""
@@ -178,10 +178,10 @@ def augment_grid(spark: SparkSession, sf: str) -> DataFrame:
     return augment.grid(table(spark, sf, "documents"), {"flip": ["none", "h", "v"], "angle": [-5, 0, 5]}, [F.col("doc_id"), F.col("n_chars")])
 
 
-@query("SELECT vec_id, i::INT AS i, round(embedding[floor(i * 64 / 100)::INT + 1]::DOUBLE, 5) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(100)) AS i)")
+@query("SELECT vec_id, i::INT AS i, embedding[floor(i * 64 / 100)::INT + 1]::DOUBLE AS v FROM embeddings CROSS JOIN (SELECT unnest(range(100)) AS i)")
 def nearest_resize(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(signal.nearest_resize(F.col("embedding"), F.lit(100))).alias("i", "v"))
-    return e.withColumn("v", F.round(F.col("v").cast("double"), 5))
+    return e.withColumn("v", F.col("v").cast("double"))
 
 
 @query("""

@@ -53,11 +53,14 @@ def polygon(coords: Column) -> Column:
 def regions(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, kind, ord, conf, poly): text regions by type, others by element; ord from the reading order."""
     page = F.col("pc.Page")
-    text = F.transform(page["TextRegion"], lambda r: F.struct(r["_id"].alias("id"), F.coalesce(r["_type"], F.lit("paragraph")).alias("kind"), r["Coords"]["_conf"].alias("conf"), polygon(r["Coords"]).alias("poly")))
-    rest = [F.transform(page[k], lambda r, k=k: F.struct(r["_id"].alias("id"), F.lit(k).alias("kind"), r["Coords"]["_conf"].alias("conf"), polygon(r["Coords"]).alias("poly"))) for k in OTHERS]
+
+    def listed(element: str) -> Column:
+        kind = lambda r: F.coalesce(r["_type"], F.lit("paragraph")) if element == "TextRegion" else F.lit(element)
+        return F.transform(page[element], lambda r: F.struct(r["_id"].alias("id"), kind(r).alias("kind"), r["Coords"]["_conf"].alias("conf"), polygon(r["Coords"]).alias("poly")))
+
     none = F.expr("cast(array() as array<struct<id:string,kind:string,conf:double,poly:array<struct<x:int,y:int>>>>)")
     refs = page["ReadingOrder"]["OrderedGroup"]["RegionRefIndexed"]
-    every = F.concat(*[F.coalesce(a, none) for a in (text, *rest)])
+    every = F.concat(*[F.coalesce(a, none) for a in map(listed, ("TextRegion", *OTHERS))])
     t = parsed.select(*keys, refs.alias("refs"), F.explode(every).alias("r"))
     place = F.get(F.filter("refs", lambda x: x["_regionRef"] == F.col("r.id")), F.lit(0))["_index"]
     kind = F.when(F.col("r.kind").isin("drop-capital", "signature-mark", "heading", "header", "marginalia", *OTHERS), F.col("r.kind")).otherwise("paragraph")
@@ -93,7 +96,8 @@ def write_page_xml(pages: DataFrame, region_rows: DataFrame, line_rows: DataFram
     order has left marginals, text by `ord`, right marginals.
     """
     coords = lambda p, c=None: F.concat(F.lit('<Coords points="'), points_string(p), F.lit('"'), F.coalesce(F.concat(F.lit(' conf="'), conf_string(c), F.lit('"')), F.lit("")) if c is not None else F.lit(""), F.lit("/>"))
-    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in KIND_RANK]), F.col("kind")), F.lit(0)), F.lit(len(KIND_RANK) + 1))
+    place = F.array_position(F.array(*[F.lit(k) for k in KIND_RANK]), F.col("kind"))
+    rank = F.when(place > 0, place).otherwise(F.lit(len(KIND_RANK) + 1))
     w = Window.partitionBy("page_id").orderBy("rank", "region_idx")
     numbered = region_rows.withColumn("rank", rank).withColumn("n", F.row_number().over(w))
     text_of = line_rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "region_idx").orderBy("line_idx")))
