@@ -79,4 +79,4 @@ def columns_of_comment(comment: Column) -> Column:
 
 
 def conf_string(conf: Column) -> Column:
-    return F.format_string("%.2f", conf)
+    return F.when(conf.isNotNull(), F.format_string("%.2f", conf))
