@@ -45,8 +45,8 @@ class Config:
     n: int = 5
     p: int = 2  # the threshold is p / q
     q: int = 5
-    dense: int = 256
-    buffer: int = 4_000_000  # n-grams that a task gathers before it sends them
+    dense: int = 64
+    buffer: int = 2_000_000  # n-grams that a task gathers before it sends them
 
 
 PART = "kind int, x bigint, y bigint, c int, sx int, sy int"
