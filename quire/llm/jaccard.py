@@ -45,7 +45,7 @@ class Config:
     n: int = 5
     p: int = 2  # the threshold is p / q
     q: int = 5
-    dense: int = 64
+    dense: int = 32
     buffer: int = 2_000_000  # n-grams that a task gathers before it sends them
 
 
@@ -215,7 +215,10 @@ def _dense_products(dense: DataFrame, config: Config, parts: int) -> DataFrame:
         schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32())])
         return pa.concat_tables([schema.empty_table(), *found])
 
-    return dense.withColumn("part", F.pmod("col", F.lit(parts))).groupBy("part").applyInArrow(run, "x bigint, y bigint, c int, sx int, sy int")
+    # columns with the same first row go to one block: those of a group of near copies mostly do, so its pairs meet in few blocks
+    first = dense.groupBy("col").agg(F.min("x").alias("first"))
+    dealt = dense.join(first, "col").withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(run, "x bigint, y bigint, c int, sx int, sy int")
 
 
 def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -231,24 +234,23 @@ def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
         dense.groupBy("x").agg(F.count("*").alias("k"))
         .join(sets.select("x", "size"), "x").where(F.col("k") * q >= F.col("size") * p).select("x", "size")
     )
-    more = _dense_products(dense.join(heavy, "x"), config, parts)
-    # partial counts come with x and y in any order of their hashes
+    more = _dense_products(written(dense.join(heavy, "x"), "dense"), config, parts)
     both = (
-        made.where("kind = 0").select("x", "y", "sx", "sy", F.col("c").alias("few"), F.lit(None).cast("int").alias("many"))
-        .unionByName(more.select("x", "y", "sx", "sy", F.lit(0).alias("few"), F.col("c").alias("many")))
+        made.where("kind = 0").select("x", "y", "c", F.lit(False).alias("d"), (F.col("sx") + F.col("sy")).alias("both"))
+        .unionByName(more.select("x", "y", "c", F.lit(True).alias("d"), (F.col("sx") + F.col("sy")).alias("both")))
     )
-    lo, hi = F.least("x", "y"), F.greatest("x", "y")
-    pairs = both.groupBy(lo.alias("x"), hi.alias("y")).agg(F.sum("few").alias("few"), F.sum("many").alias("many"), F.max(F.col("sx") + F.col("sy")).alias("both"))
-    full = (p + q) * (F.col("few") + F.coalesce("many", F.lit(0))) >= p * F.col("both")
-    sure = pairs.where(F.col("many").isNotNull() & full)
-    open_ = (
-        pairs.where("many is null")
-        .join(lists.select("x", F.col("cols").alias("cx")), "x", "left").where(full | F.col("cx").isNotNull())
-        .join(lists.select(F.col("x").alias("y"), F.col("cols").alias("cy")), "y", "left")
-        .withColumn("many", F.coalesce(F.size(F.array_intersect("cx", "cy")), F.lit(0)))
+    # x and y come in any order of their hashes; dealt by x, the sum needs no exchange of its own and neither does the join to the lists
+    dealt = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "d", "both").repartition(parts, "x")
+    pairs = dealt.groupBy("x", "y").agg(F.sum(F.when(~F.col("d"), F.col("c")).otherwise(0)).alias("few"), F.sum(F.when(F.col("d"), F.col("c"))).alias("many"), F.max("both").alias("both"))
+    reaches = lambda n: (p + q) * n >= p * F.col("both")
+    known = F.col("few") + F.coalesce("many", F.lit(0))
+    may = pairs.join(lists.select("x", F.col("cols").alias("cx")), "x", "left").where(reaches(known) | F.col("many").isNull() & reaches(F.col("few") + F.coalesce(F.size("cx"), F.lit(0))))
+    may = may.withColumn("cx", F.when(F.col("many").isNull(), F.col("cx")))  # the others have their dense overlap: no need to send the list on
+    kept = (
+        may.join(lists.select(F.col("x").alias("y"), F.col("cols").alias("cy")), "y", "left")
+        .withColumn("many", F.coalesce("many", F.size(F.array_intersect("cx", "cy")), F.lit(0))).where(reaches(F.col("few") + F.col("many")))
     )
-    kept = sure.select("x", "y", "few", "many", "both").unionByName(open_.where(full).select("x", "y", "few", F.col("many").cast("bigint").alias("many"), "both"))
-    return kept.select("x", "y", (F.col("few") + F.coalesce("many", F.lit(0))).alias("overlap"), "both"), sets
+    return kept.select("x", "y", (F.col("few") + F.col("many")).alias("overlap"), "both"), sets
 
 
 def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -291,8 +293,8 @@ def one_of_each(docs: DataFrame, config: Config = Config()) -> DataFrame:
         pairs.join(head.select("x", F.col("first").alias("u")), "x").join(head.select(F.col("x").alias("y"), F.col("first").alias("v")), "y").select("u", "v")
         .unionByName(sets.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")))
     )
-    gone = components(edges).where("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = components(edges).where("node <> root").select(F.col("node").alias("__gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 ORACLE = rf"""
