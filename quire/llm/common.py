@@ -103,3 +103,8 @@ def exchange(df: DataFrame, parts: int) -> DataFrame:
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """The partition of each 64-bit hash, by its upper half."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """The frame with names that mapInArrow can take: columns with a dot or backtick get another; undo with toDF."""
+    return df.toDF(*(f"__plain_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))

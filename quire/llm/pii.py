@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import need
+from quire.llm.common import need, plain
 from quire.llm.tokens import pieces
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "mail", "token")
@@ -241,15 +241,16 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, i
 def pseudonymise(docs: DataFrame, key: bytes, column: str = "text", back: bool = False) -> DataFrame:
     """The table with the column's values replaced; all other columns stay."""
     need(docs, column)
-    names = docs.columns
-    at = names.index(column)
+    safe = plain(docs)
+    names = safe.columns
+    at = docs.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, column):
+        for b in pieces(batches, names[at]):
             new = pa.array([None if t is None else replace(t, key, back)[0] for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return safe.mapInArrow(run, safe.schema).toDF(*docs.columns)
 
 
 def restore(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import BOOL, DOUBLE, need
+from quire.llm.common import BOOL, DOUBLE, need, plain
 from quire.llm.tokens import pieces, span_hashes, word_spans
 
 
@@ -248,4 +248,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all their columns, without the toxic ones."""
     need(docs, "doc_id", "text", "lang")
-    return _scored(docs, model, docs.columns, True)
+    safe = plain(docs)
+    return _scored(safe, model, safe.columns, True).toDF(*docs.columns)
