@@ -252,3 +252,19 @@ def test_pii_formats_links_and_restores():
     assert w[4].replace("-", "") == card == w[5] and int(card[-1]) == pii.luhn(card[:-1]) and card != "4" + "1" * 15
     assert all(x in new for x in ("4111111111111112", "000-45-6789", "999.1.1.1", "31.02.2020", "@mail3.example.com"))
     assert pii.replace(text, b"other")[0] != new
+
+
+@pytest.mark.parametrize("most", [3, 40, 4_000_000])
+def test_column_pairs_counts(most):
+    rng = np.random.default_rng(most)
+    got, want = {}, {}
+    entries = sorted({(int(c), int(x)) for c, x in zip(rng.integers(0, 12, 150), rng.integers(0, 30, 150))})
+    size = np.full(30, 10)
+    for x, y, n in jaccard.column_pairs(*(np.array(v) for v in zip(*entries)), size, jaccard.Config(), most):
+        for k in zip(x.tolist(), y.tolist(), n.tolist()):
+            got[k[:2]] = got.get(k[:2], 0) + k[2]
+    for c, x in entries:
+        for d, y in entries:
+            if c == d and x < y:
+                want[x, y] = want.get((x, y), 0) + 1
+    assert got == want
