@@ -133,12 +133,19 @@ def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Con
     start = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
     df = np.diff(np.append(start, len(col)))
     held, count = [], 0
-
-    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = np.concatenate(held)
-        keys.sort()
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[at] // n, keys[at] % n, np.diff(np.append(at, len(keys)))
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the sums so far
+
+    def add() -> None:
+        """Takes what is held into the sums."""
+        nonlocal keys, times, held, count
+        k = np.concatenate(held)
+        k.sort()
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        k, t = np.concatenate([keys, k[at]]), np.concatenate([times, np.diff(np.append(at, len(k)))])
+        order = np.argsort(k, kind="stable")
+        k, t = k[order], t[order]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        keys, times, held, count = k[at], np.add.reduceat(t, at), [], 0
 
     for d in np.unique(df[df > 1]).tolist():
         starts = start[df == d]
@@ -150,13 +157,19 @@ def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Con
                 y = row[(s[:, None] + np.arange(i + 1, d)).ravel()]
                 sx, sy = size[x], size[y]
                 ok = (config.p + config.q) * np.minimum(sx, sy) >= config.p * (sx + sy)
+                if not ok.any():
+                    continue
                 held.append(x[ok] * n + y[ok])
                 count += len(held[-1])
-                if count >= 2 * most:
-                    yield summed()
-                    held, count = [], 0
+                if count >= most:
+                    add()
+                    if len(keys) > most:
+                        yield keys // n, keys % n, times
+                        keys, times = keys[:0], times[:0]
     if count:
-        yield summed()
+        add()
+    if len(keys):
+        yield keys // n, keys % n, times
 
 
 def _products(blobs: DataFrame, config: Config) -> DataFrame:
