@@ -123,12 +123,14 @@ def paint(layers: list[tuple[int, DataFrame]], keys: list[str]) -> DataFrame:
     return out
 
 
-def components(runs: DataFrame, keys: list[str], corners: bool = True, rounds: int = 64) -> DataFrame:
+def components(runs: DataFrame, keys: list[str], corners: bool = True) -> DataFrame:
     """Runs with `comp`, the smallest run number of its component (numbers by y, x0 in each key).
 
-    Runs of neighbouring rows that touch are edges; labels spread by the minimum over
-    neighbours and by pointer jumping, so rounds grow with the logarithm of a
-    component's length. Each round is checkpointed: lost executors lose nothing.
+    Runs of neighbouring rows that touch are edges. In each round a run takes the lowest
+    label of its neighbours, hands it to the run its label names, and everything with that
+    label follows: labels meet as whole groups, so rounds grow with the logarithm of a
+    component's length. It goes on until nothing changes. Each round is checkpointed: lost
+    executors lose nothing.
     """
     w = Window.partitionBy(*keys).orderBy("y", "x0", "x1")
     t = runs.select(*keys, "y", "x0", "x1").distinct().withColumn("run", F.row_number().over(w)).transform(_kept)
@@ -138,12 +140,12 @@ def components(runs: DataFrame, keys: list[str], corners: bool = True, rounds: i
     edges = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).transform(_kept)
     label = t.select(*keys, "run", F.col("run").alias("comp"))
     before = None
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select(*keys, F.col("run").alias("b"), "comp"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("run")).agg(F.min("comp").alias("__m"))
-        low = label.join(near, [*keys, "run"], "left").select(*keys, "run", F.least("comp", "__m").alias("comp"))
-        jump = low.select(*keys, F.col("run").alias("comp"), F.col("comp").alias("up"))
-        label = low.join(jump, [*keys, "comp"]).select(*keys, "run", F.col("up").alias("comp")).transform(_kept)
-        total = label.agg(F.sum("comp")).first()[0]
+        low = label.join(near, [*keys, "run"], "left").select(*keys, "run", "comp", F.least("comp", "__m").alias("__low"))
+        up = low.select(*keys, F.explode(F.array_distinct(F.array("comp", "run"))).alias("comp"), "__low").groupBy(*keys, "comp").agg(F.min("__low").alias("__up"))
+        label = low.select(*keys, "run", "comp").join(up, [*keys, "comp"]).select(*keys, "run", F.col("__up").alias("comp")).transform(_kept)
+        total = label.agg(F.sum("comp")).first()[0]  # labels only fall
         if total == before:
             break
         before = total

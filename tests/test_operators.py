@@ -83,6 +83,21 @@ def test_runs_equal_pixels(spark):
     assert len(got) == count and sum(r.area for r in got) == p.sum()
 
 
+def test_components_of_many_rows(spark):
+    """A U, a frame and a comb of some hundred rows are one component each; two bars are two."""
+    n, rows = 300, []
+    for y in range(n):
+        ends = [(0, 2), (8, 10)]
+        rows += [(1, y, *x) for x in ends]  # two bars
+        rows += [(2, y, *x) for x in (ends if y < n - 1 else [(0, 10)])]  # U
+        rows += [(3, y, *x) for x in (ends if 0 < y < n - 1 else [(0, 10)])]  # frame
+        rows += [(4, y, 4 * i, 4 * i + 2) for i in range(5) if y >= 40 * (5 - i)] if y < n - 1 else [(4, y, 0, 18)]  # comb, tops from right to left
+    t = spark.createDataFrame(rows, "m int, y int, x0 int, x1 int")
+    got = runs.component_boxes(runs.components(t, ["m"]), ["m"]).collect()
+    count = {m: sum(r.m == m for r in got) for m in (1, 2, 3, 4)}
+    assert count == {1: 2, 2: 1, 3: 1, 4: 1} and sum(r.area for r in got) == sum(r[3] - r[2] for r in rows)
+
+
 def test_order_and_matching(spark):
     assert ordering.pairwise_order(6, lambda pivot, i: float(i > pivot)) == [0, 1, 2, 3, 4, 5]
     assert ordering.pairwise_order(5, lambda pivot, i: float(i < pivot)) == [4, 3, 2, 1, 0]
