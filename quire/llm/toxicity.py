@@ -4,8 +4,10 @@ Every word becomes the sum of two rows of one hashed embedding table: that of th
 word and that of its first bytes, so that unseen compounds of a known stem still
 count. Filters of several widths run over the whole text, each keeps its maximum
 (with zero: ReLU), and a logistic unit weighs them. Training is plain numpy on a
-sample of the labelled rows, bounded by `Config.sample`; on a held-out fifth of it
-a threshold is set for every language.
+sample of the labelled rows, bounded by `Config.sample`. `fit` then scores all labelled
+rows in Spark and sets a threshold for every language from score histograms of the rows
+not trained on, each class weighted to its share among all labelled rows of the language;
+`train` alone sets them on a held-out fifth of its rows.
 
 Results for odd input: a text that is null, empty or without words has only zero
 features and scores like any such text; a language that is null, unknown or too
@@ -44,6 +46,7 @@ class Config:
     rate: float = 0.02
     decay: float = 1e-4
     fewest: int = 12  # held-out rows of each kind that a language needs for a threshold of its own
+    bins: int = 4096  # of the score histograms, over the logit of the score
     seed: int = 7
 
 
@@ -196,14 +199,70 @@ def thresholds(score: np.ndarray, label: np.ndarray, langs: list[str | None], fe
     return found
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, config: Config, label: str = "toxic") -> list[tuple]:
-    """Up to config.sample labelled documents (text, label, lang), half of each kind, picked by a hash of doc_id."""
-    need(docs, "doc_id", "text", "lang")
-    need(labels, "doc_id", label)
-    known = (
+def bin_of(score: np.ndarray, bins: int) -> np.ndarray:
+    """Bins of equal width over logits from -20 to 20."""
+    s = np.clip(score, 1e-12, 1 - 1e-12)
+    return np.clip(np.floor((np.log(s / (1 - s)) + 20) / 40 * bins), 0, bins - 1).astype(np.int32)
+
+
+def histogram_threshold(hits: np.ndarray, others: np.ndarray) -> float:
+    """The bin edge with the highest F1 for weighted rows a bin; of equal ones the middle."""
+    bins = len(hits)
+    tp, fp = np.cumsum(hits[::-1])[::-1], np.cumsum(others[::-1])[::-1]
+    f1 = 2 * tp / np.maximum(tp + fp + hits.sum(), 1e-300)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    return float(1 / (1 + np.exp(-((best[0] + best[-1]) / 2 / bins * 40 - 20))))
+
+
+def known_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, label) of every labelled document."""
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     )
+
+
+def corpus_thresholds(docs: DataFrame, labels: DataFrame, model: Model, trained: list) -> dict[str | None, float]:
+    """Thresholds from all labelled rows: histograms of those not trained on, each class weighted to its number among all."""
+    config, at = model.config, docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bin_of(scores(at.value, b.column(2)), config.bins))], names=["doc_id", "lang", "bin"])
+
+    # every document is scored where it is: only numbers, never texts, go to the join
+    kinds = T.StructType([docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType())])
+    binned = docs.where("doc_id is not null").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, kinds)
+    # at most config.sample ids
+    seen = docs.sparkSession.createDataFrame([(i,) for i in trained], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])).withColumn("seen", F.lit(True))
+    own = binned.join(known_labels(labels), "doc_id").join(F.broadcast(seen), "doc_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+
+    held: dict[str, np.ndarray] = {}
+    total: dict[str, np.ndarray] = {}
+    for r in own.groupBy("lang", "label", "seen", "bin").count().toLocalIterator():
+        total.setdefault(r.lang, np.zeros(2))[r.label] += r["count"]
+        h = held.setdefault(r.lang, np.zeros((2, config.bins)))
+        if not r.seen:
+            h[r.label, r.bin] += r["count"]
+    if not held:
+        return model.threshold
+
+    def cut(h: np.ndarray, n: np.ndarray) -> float:
+        share = n / np.maximum(h.sum(1), 1)
+        return histogram_threshold(h[1] * share[1], h[0] * share[0])
+
+    all_held, all_total = sum(held.values()), sum(total.values())
+    if min(all_held.sum(1)) < 1:
+        return model.threshold
+    found: dict[str | None, float] = {None: cut(all_held, all_total)}
+    return found | {x: cut(h, total[x]) for x, h in sorted(held.items()) if x and min(h.sum(1)) >= config.fewest}
+
+
+def sample_labelled(docs: DataFrame, labels: DataFrame, config: Config, label: str = "toxic") -> list[tuple]:
+    """Up to config.sample labelled documents (text, label, lang, doc_id), half of each kind, picked by a hash of doc_id."""
+    need(docs, "doc_id", "text", "lang")
+    need(labels, "doc_id", label)
+    known = known_labels(labels, label)
     half = config.sample // 2
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.where("label = 1").orderBy(*order).limit(half).unionByName(known.where("label = 0").orderBy(*order).limit(half))
@@ -211,12 +270,15 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, config: Config, label: s
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), "doc_id").collect()
     rows = sorted({(r.doc_id, r.text, r.label, r.lang or "") for r in rows})
     rng = np.random.default_rng(config.seed)
-    return [(rows[i][1], rows[i][2], rows[i][3] or None) for i in rng.permutation(len(rows))]
+    return [(rows[i][1], rows[i][2], rows[i][3] or None, rows[i][0]) for i in rng.permutation(len(rows))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     got = sample_labelled(docs, labels, config)
-    return train([g[0] for g in got], np.array([g[1] for g in got], np.int64), [g[2] for g in got], config)
+    m = train([g[0] for g in got], np.array([g[1] for g in got], np.int64), [g[2] for g in got], config)
+    if m.threshold[None] <= 1:  # else it could not be trained
+        m.threshold = corpus_thresholds(docs, labels, m, sorted({g[3] for i, g in enumerate(got) if i % 5 != 4}))
+    return m
 
 
 def _scored(docs: DataFrame, model: Model, keep: list[str], drop: bool) -> DataFrame:

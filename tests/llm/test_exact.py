@@ -233,6 +233,30 @@ def test_line_dedup_equals_brute_force(spark, tau):
     assert {tuple(x) for x in got} == want
 
 
+def test_toxicity_cuts_follow_the_whole_corpus(spark):
+    """With a sample of equal halves the cuts are those of all rows not trained on, at the true shares."""
+    r = random.Random(1)
+    good, bad = [f"w{i}" for i in range(300)], [f"bad{i}" for i in range(40)]
+    rows = []
+    for i in range(4000):
+        toxic = i % 20 == 0
+        rows.append((i, " ".join(r.choice(bad if r.random() < (0.25 if toxic else 0.05) else good) for _ in range(12)), "es" if i % 3 == 0 else "en", int(toxic)))
+    t = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    config = toxicity.Config(sample=200, bits=12)
+    m = toxicity.fit(t, t.select("doc_id", "toxic"), config)
+    got = toxicity.sample_labelled(t, t.select("doc_id", "toxic"), config)
+    trained = {g[3] for i, g in enumerate(got) if i % 5 != 4}
+    s = toxicity.scores(m, pa.array([x[1] for x in rows]))
+    names, y = np.array([x[2] for x in rows]), np.array([x[3] for x in rows])
+    held = np.array([x[0] not in trained for x in rows])
+    assert {"en", "es", None} == set(m.threshold)
+    for lang in ("en", "es"):
+        own = names == lang
+        weight = np.where(y == 1, (own & (y == 1)).sum() / (own & held & (y == 1)).sum(), (own & (y == 0)).sum() / (own & held & (y == 0)).sum())
+        f1 = lambda c: 2 * weight[own & held & (s >= c) & (y == 1)].sum() / (weight[own & held & (s >= c)].sum() + weight[own & held & (y == 1)].sum())  # noqa: E731,B023
+        assert f1(m.threshold[lang]) > max(f1(c) for c in s[own & held]) - 0.01
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 7, 100, 1009):
         f = pii.Feistel(b"key", "t", n)
