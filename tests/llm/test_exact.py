@@ -278,6 +278,35 @@ def test_pii_formats_links_and_restores():
     assert pii.replace(text, b"other")[0] != new
 
 
+def test_pii_finds_values_beside_other_numbers():
+    def one(x, key=b"k"):
+        new, found = pii.replace(x, key)
+        assert sum(found.values()) == 1 and pii.replace(new, key, True) == (x, found), x
+        return new
+
+    assert one("+4915112345678").startswith("+49") and one("+33612345678").startswith("+33")
+    assert one("+4915112345678")[3:] == one("+49 151 12345678")[3:].replace(" ", "")
+    card, phone, iban = one("4111111111111111"), one("+1 (843) 555-7672"), one("DE89370400440532013000")
+    for tail in (" 123", " 12/25", " 7", ", 12"):
+        assert one("4111111111111111" + tail) == card + tail
+    assert one("123 4111111111111111") == "123 " + card
+    assert one("4111 1111 1111 1111 123") == " ".join(card[i : i + 4] for i in range(0, 16, 4)) + " 123"
+    for tail in (" 42", " 425", "-42", " 12345"):
+        assert one("+1 (843) 555-7672" + tail) == phone + tail
+    assert one("+18435557672") == "+" + "".join(c for c in phone if c.isdigit())
+    for tail in (" ABC", " 12", " A", " EUR 5", " 1234"):
+        assert one("DE89370400440532013000" + tail) == iban + tail
+    spain = one("ES9121000418450200051332")
+    assert one("ES9121000418450200051332 ABC") == spain + " ABC" and one("ES9121000418450200051332 12") == spain + " 12"
+    r = random.Random(5)
+    for n in range(13, 20):
+        for _ in range(40):
+            d = "".join(r.choice("0123456789") for _ in range(n - 1))
+            d = " ".join((d + str(pii.luhn(d)))[i : i + 4] for i in range(0, n, 4)) + f" {r.randrange(1000)}"
+            new, found = pii.replace(d, b"k")
+            assert found == {"card": 1} and pii.replace(new, b"k", True) == (d, found)
+
+
 @pytest.mark.parametrize("most", [3, 40, 4_000_000])
 def test_column_pairs_counts(most):
     rng = np.random.default_rng(most)
