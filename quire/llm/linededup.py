@@ -15,8 +15,11 @@ scan send just their texts, and a banded bit-vector (Hyyrö 2003) run on many pa
 once decides. Copies of a line are one line throughout, so hot lines cost nothing.
 
 Results for odd input: null and empty texts have no lines to drop and stay; a null
-doc_id comes before all others; rows of equal doc_id are the same document, so a line
-repeated at the same place stays; an empty table stays empty. `dedup` keeps all
+doc_id comes before all others; an empty table stays empty. `dropped` names places by
+(doc_id, line number), so to it rows of equal doc_id are the same document and a line
+repeated at the same place stays. `dedup` tells rows of equal doc_id apart by a hash of
+their text, which also orders them; only rows of equal doc_id and text are the same
+document, and stay both; with a null doc_id each row is one of its own. It keeps all
 columns; n_chars, if there, follows the text; a document all of whose lines are
 dropped goes, any other stays, with its remaining lines.
 """
@@ -28,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import binary, exchange, need, pack_arrays, part_of, slots, unpack_arrays, written
+from quire.llm.common import binary, exchange, need, pack_arrays, part_of, plain, slots, unpack_arrays, written
 from quire.llm.tokens import mix, pieces, span_hashes, utf8
 
 NULL_ID = -(1 << 63)
@@ -149,8 +153,8 @@ def _band(raw_a, at_a, la, raw_b, at_b, lb, tau: int) -> np.ndarray:
     return dist <= tau
 
 
-def _entries(docs: DataFrame, config: Config, parts: int) -> DataFrame:
-    """(part, blob): keys with the hash of their line, and the places of lines."""
+def _entries(docs: DataFrame, config: Config, parts: int, by_row: bool) -> DataFrame:
+    """(part, blob): keys with the hash of their line, and the places of lines; by_row: with a hash of the text, else 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -165,7 +169,7 @@ def _entries(docs: DataFrame, config: Config, parts: int) -> DataFrame:
             order = np.argsort(key)
             key, line, both = key[order], line[order], both[order]
             cut = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
-            where, doc, number = (np.concatenate([p[i] for p in places]) for i in range(3))
+            where, doc, number, text = (np.concatenate([p[i] for p in places]) for i in range(4))
             home = part_of(where, parts)
             by = np.argsort(home, kind="stable")
             home_cut = np.searchsorted(home[by], np.arange(parts + 1))
@@ -177,7 +181,7 @@ def _entries(docs: DataFrame, config: Config, parts: int) -> DataFrame:
                     continue
                 used, local = np.unique(line[e], return_inverse=True)
                 which.append(p)
-                blobs.append(pack_arrays(np.diff(key[e], prepend=np.uint64(0)), (local * 2 + both[e]).astype(np.uint32), name[used], where[o], doc[o], number[o]))
+                blobs.append(pack_arrays(np.diff(key[e], prepend=np.uint64(0)), (local * 2 + both[e]).astype(np.uint32), name[used], where[o], doc[o], number[o], text[o]))
             for a in range(0, len(which), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 64], pa.int32()), binary(blobs[a : a + 64])], names=["part", "blob"])
 
@@ -190,7 +194,8 @@ def _entries(docs: DataFrame, config: Config, parts: int) -> DataFrame:
             first, end, text, number = first[long], end[long], text[long], number[long]
             h = span_hashes(raw, first, end)
             ids = b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            places.append((h, ids[text], number.astype(np.int32)))
+            row = span_hashes(raw, off[:-1], off[1:]) if by_row else np.zeros(len(ids), np.uint64)
+            places.append((h, ids[text], number.astype(np.int32), row[text]))
             new, one = np.unique(h, return_index=True)
             one = np.sort(one[~np.isin(new, seen)])
             seen = np.union1d(seen, new)
@@ -206,13 +211,13 @@ def _entries(docs: DataFrame, config: Config, parts: int) -> DataFrame:
 
 
 def _meetings(blobs: DataFrame) -> DataFrame:
-    """kind 0: two different lines that share a key; kind 1: a line with its doc_id and number."""
+    """kind 0: two different lines that share a key; kind 1: a line with its doc_id, number and row."""
 
-    def rows(kind: int, x, y, number=None) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, x, y, number=None, row=None) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(x), 1 << 16):
             c = slice(a, a + (1 << 16))
             n = len(x[c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[c].view(np.int64)), pa.array(y[c].view(np.int64)), pa.nulls(n, pa.int32()) if number is None else pa.array(number[c])], names=["kind", "x", "y", "number"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[c].view(np.int64)), pa.array(y[c].view(np.int64)), pa.nulls(n, pa.int32()) if number is None else pa.array(number[c]), pa.nulls(n, pa.int64()) if row is None else pa.array(row[c].view(np.int64))], names=["kind", "x", "y", "number", "row"])
 
     def pairs(key: np.ndarray, line: np.ndarray, both: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
         """In every group of a key: each of its index lines with every other line."""
@@ -249,12 +254,12 @@ def _meetings(blobs: DataFrame) -> DataFrame:
         keys, lines, names, base = [], [], [], 0
         for b in batches:
             for raw in b.column(1).to_pylist():
-                key, line, name, h, doc, number = unpack_arrays(raw, np.uint64, np.uint32, np.uint64, np.uint64, np.int64, np.int32)
+                key, line, name, h, doc, number, row = unpack_arrays(raw, np.uint64, np.uint32, np.uint64, np.uint64, np.int64, np.int32, np.uint64)
                 keys.append(np.cumsum(key, dtype=np.uint64))
                 lines.append(line.astype(np.int64) + 2 * base)
                 names.append(name)
                 base += len(name)
-                yield from rows(1, h, doc, number)
+                yield from rows(1, h, doc, number, row)
         if not base:
             return
         name, number = np.unique(np.concatenate(names), return_inverse=True)
@@ -266,7 +271,7 @@ def _meetings(blobs: DataFrame) -> DataFrame:
         keep = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))
         yield from pairs(key[keep], line[keep], both[keep], name)
 
-    return blobs.select("part", "blob").mapInArrow(run, "kind int, x bigint, y bigint, number int")
+    return blobs.select("part", "blob").mapInArrow(run, "kind int, x bigint, y bigint, number int, row bigint")
 
 
 def _probes(h: np.ndarray, m: int) -> np.ndarray:
@@ -343,31 +348,55 @@ def _verified(pairs: DataFrame, lines: DataFrame, config: Config) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(run, "x bigint, y bigint")
 
 
-def dropped(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no): each line that goes and the earliest line near it; numbers from 0."""
+def _places(docs: DataFrame, config: Config, by_row: bool) -> DataFrame:
+    """(at, low): the place (d, n, r) of each line that goes, and the earliest of a line near it."""
     need(docs, "doc_id", "text")
     parts = slots(docs.sparkSession)
-    met = written(_meetings(exchange(_entries(docs, config, parts), parts)), "meetings")
+    met = written(_meetings(exchange(_entries(docs, config, parts, by_row), parts)), "meetings")
     pairs = written(met.where("kind = 0").select("x", "y").distinct(), "candidates")
     both = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
     near = _verified(pairs, _texts(docs, _filter(both, config, parts), config), config)
     near = written(near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))), "near")
-    place = met.where("kind = 1").select("x", F.struct(F.col("y").alias("d"), F.col("number").alias("n")).alias("at"))
+    place = met.where("kind = 1").select("x", F.struct(F.col("y").alias("d"), F.col("number").alias("n"), F.col("row").alias("r")).alias("at"))
     first = place.groupBy("x").agg(F.min("at").alias("first"), F.count("*").alias("k"))
     by_near = near.join(first.select(F.col("x").alias("y"), "first"), "y").groupBy("x").agg(F.min("first").alias("near"))
     low = first.join(by_near, "x", "left").where(F.col("near").isNotNull() | (F.col("k") > 1)).select("x", F.least("first", F.coalesce("near", "first")).alias("low"))
+    return place.join(low, "x").where("at > low").select("at", "low")
+
+
+def dropped(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, line_no, first_doc_id, first_line_no): each line that goes and the earliest line near it; numbers from 0."""
     real = lambda c: F.when(c != NULL_ID, c)
     return (
-        place.join(low, "x").where("at > low")
+        _places(docs, config, False)
         .select(real(F.col("at.d")).alias("doc_id"), F.col("at.n").alias("line_no"), real(F.col("low.d")).alias("first_doc_id"), F.col("low.n").alias("first_line_no"))
         .distinct()
     )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with __row, a hash of the text as places have it."""
+    safe = plain(docs)
+    names, i = safe.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, names[i]):
+            raw, off = utf8(b.column(i))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(span_hashes(raw, off[:-1], off[1:]).view(np.int64))], names=[*names, "__row"])
+
+    return safe.mapInArrow(run, T.StructType([*safe.schema, T.StructField("__row", T.LongType())])).toDF(*docs.columns, "__row")
+
+
 def dedup(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """The documents, all their columns, without the dropped lines; documents of dropped lines alone go."""
-    gone = dropped(docs, config).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list("line_no").alias("__gone"))
-    own = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__gone_id")), "left")
+    gone = _places(docs, config, True).groupBy(F.col("at.d").alias("__gone_id"), F.col("at.r").alias("__gone_row")).agg(F.collect_set("at.n").alias("__gone"))
+    own = _rows(docs).withColumn("__d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)))
+    # of rows without id, those of equal text are documents of their own: all lines of the second and later ones are copies
+    again = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1))) > 1
+    own = own.where("doc_id is not null").withColumn("__again", F.lit(False)).unionByName(own.where("doc_id is null").withColumn("__again", again))
+    own = own.join(gone, (F.col("__d") == F.col("__gone_id")) & (F.col("__row") == F.col("__gone_row")), "left")
+    long = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.octet_length(x) >= config.least, i)), lambda i: i.isNotNull())
+    own = own.withColumn("__gone", F.when(F.col("__again") & (F.size(long) > 0), long).otherwise(F.col("__gone")))
     lines = F.split("text", "\n", -1)
     left = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     emptied = F.col("__gone").isNotNull() & (F.size(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))) == 0)

@@ -233,6 +233,15 @@ def test_line_dedup_equals_brute_force(spark, tau):
     assert {tuple(x) for x in got} == want
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    a, b, c, d = ("%s is a line of more than twenty-four bytes" % x * 2 for x in ("alpha", "bravo tango", "charlie kilo lima", "delta echo foxtrot golf"))
+    e = "something else altogether, said twice in one row"
+    rows = [(None, f"{a}\n{b}", 1), (None, f"{c}\n{b}", 2), (None, f"{c}\n{d}", 3), (None, f"{a}\n{b}", 4), (5, f"{d}\nx", 5), (5, f"y\nx\n{d}", 6), (7, e, 7), (7, e, 8)]
+    got = {r.k: r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, k int")).collect()}
+    assert sorted(x for k, t in got.items() if k < 5 for x in t.split("\n")) == sorted([a, b, c, d])
+    assert got[5] == "x" and got[6] == "y\nx" and got[7] == got[8] == e
+
+
 def test_toxicity_cuts_follow_the_whole_corpus(spark):
     """With a sample of equal halves the cuts are those of all rows not trained on, at the true shares."""
     r = random.Random(1)
