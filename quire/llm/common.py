@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,27 +20,50 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, else the session's checkpoint directory; one of this machine's own only where neither is set and executors are threads of the driver."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = getattr(spark.sparkContext, "_quire_folder", None) or tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext._quire_folder = at
+        at = getattr(spark.sparkContext, "_quire_folder", None)
+        if not at:
+            at = spark.sparkContext._quire_folder = tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, at, True)
     return at
 
 
-def local_path(uri: str) -> str:
-    """A mounted path of a file: URI."""
-    return uri[5:].replace("///", "/", 1) if uri.startswith("file:") else uri
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: lineage ends there, and losing an executor loses nothing."""
+    """The frame as a Parquet table in the shared folder: lineage ends there, and losing an executor loses nothing. `drop` removes it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._quire_path = path
+    return got
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._quire_path)
+        path.getFileSystem(t.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of the frame has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def vocabulary(spark: SparkSession, name: str) -> str:
+    """The path of a tokenizer's file: in the folder of spark.quire.vocabularies or QUIRE_VOCABULARIES, else where this environment keeps them."""
+    return f"{spark.conf.get('spark.quire.vocabularies', None) or os.environ.get('QUIRE_VOCABULARIES', '/opt/tokenizers')}/{name}"
 
 
 def need(df: DataFrame, *names: str) -> None:
@@ -53,8 +82,23 @@ def slots(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def is_local(spark: SparkSession) -> bool:
-    return os.path.isdir(local_path(shared_folder(spark)))
+@dataclass(frozen=True)
+class Blocks:
+    """Work dealt by hash to parts x subs blocks: a partition takes its blocks one after another, so memory holds one block whatever the input."""
+
+    parts: int
+    subs: int
+
+    @property
+    def all(self) -> int:
+        return self.parts * self.subs
+
+
+def blocks_for(docs: DataFrame, column: str, most: int) -> Blocks:
+    """As many blocks as leave each about `most` bytes of the column, over the session's partitions."""
+    total = docs.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+    parts = slots(docs.sparkSession)
+    return Blocks(parts, -(-int(total) // (most * parts)) or 1)
 
 
 def binary(views: list[bytes]) -> pa.Array:
@@ -95,9 +139,37 @@ def unpack_arrays(raw: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def exchange(df: DataFrame, parts: int) -> DataFrame:
-    """Sends rows (part int, blob binary) to partition `part`."""
-    return df.repartitionById(parts, F.col("part"))
+def exchange(df: DataFrame, blocks: Blocks) -> DataFrame:
+    """Sends rows (part int, blob binary), part being a block's number, to the block's partition, block after block."""
+    sent = df.repartitionById(blocks.parts, (F.col("part") / blocks.subs).cast("int"))
+    return sent.sortWithinPartitions("part") if blocks.subs > 1 else sent
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[bytes]]:
+    """The blobs of (part, blob) batches, block after block; each block must be read to its end before the next."""
+    rows = ((p, raw) for b in batches for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    for _, own in groupby(rows, key=lambda r: r[0]):
+        yield (raw for _, raw in own)
+
+
+class Seen:
+    """A growing set of hashes: sorted runs of doubling size, merged as they meet, so that adding stays cheap."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the distinct, ascending hashes are new; they are taken in."""
+        fresh = np.ones(len(hashes), bool)
+        for r in self.runs:
+            at = np.minimum(np.searchsorted(r, hashes), len(r) - 1)
+            fresh &= r[at] != hashes
+        run = hashes[fresh]
+        while len(run) and self.runs and len(self.runs[-1]) <= len(run):
+            run = np.sort(np.concatenate([run, self.runs.pop()]))
+        if len(run):
+            self.runs.append(run)
+        return fresh
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -107,4 +179,4 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def plain(df: DataFrame) -> DataFrame:
     """The frame with names that mapInArrow can take: columns with a dot or backtick get another; undo with toDF."""
-    return df.toDF(*(f"__plain_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)))
+    return df.toDF(*(n if "." in c or "`" in c else c for c, n in zip(df.columns, free_names(df, *(f"__plain_{i}" for i in range(len(df.columns)))))))

@@ -3,27 +3,39 @@
 A document is the set of its word 5-grams (64-bit hashes). Documents with equal sets
 are one row of the matrix. Columns are dealt to blocks by hash; a block holds its
 columns whole, so each block gives partial overlap counts of the pairs of rows that
-meet in it, and a sum over blocks gives the overlap. Two bounds follow from the set
-sizes a and b and a threshold p/q: the overlap is at most min(a, b), so pairs with
-(p+q) min(a, b) < p (a+b) are never counted, and at the end pairs with
-(p+q) overlap < p (a+b) are discarded.
+meet in it, and a sum over blocks gives the overlap. There are as many blocks as leave
+each about `Config.block` bytes of text; a partition takes its blocks one after
+another. Two bounds follow from the set sizes a and b and a threshold p/q: the overlap
+is at most min(a, b), so pairs with (p+q) min(a, b) < p (a+b) are never counted, and
+at the end pairs with (p+q) overlap < p (a+b) are discarded.
 
 A column of more than `Config.dense` rows (a passage that many documents share)
 would alone give dense**2 / 2 pairs. Such columns are left out of the first product;
 they go into a list for each row. A pair whose other columns already meet is
 completed from the two lists. A pair that can reach the bound by dense columns alone
 needs q * dense columns >= p * size in both rows; only such rows take part in a
-second product over the dense columns. So nothing is cut and every pair is counted exactly.
-
-Result: one row for each pair of different sets at or over the threshold, `a` and `b`
-being the ids of all documents with the one and the other set (every pair between
-them qualifies), and one row for each set that several documents have (a = b,
-jaccard 1). Lists ascend and a[0] < b[0], or a[0] = b[0] for equal sets.
-
-Results for odd input: texts that are null, empty or without words are in no pair; a
-text of fewer than five words has one n-gram, all its words; documents without id
-are in no pair (`one_of_each` keeps them); repeated rows count once; an empty table
-gives no pairs; extra columns are left out here and kept by `one_of_each`.
+second product over the dense columns. Its rows are cut into tiles of about
+`Config.tile` entries and a task takes two tiles, so no group of rows is ever held
+whole. So nothing is cut and every pair is counted exactly.
+
+Each partition of qualifying pairs is folded where it is into link counts and a
+spanning forest, so that pairs themselves go no further, and documents with equal sets
+are never paired with each other.
+
+`classes`: (doc_id, class_id, links) for each document that has a link: links is the
+number of other documents at or over the threshold (those with an equal set too),
+class_id the smallest doc_id that can be reached over links. `pairs`: (doc_id,
+other_id, overlap, jaccard) between the smallest ids of two different sets; `classes`
+tells who else has a set. A document without links is in neither.
+
+Results for odd input: texts that are null, empty or without words have no links; a
+text of fewer than five words has one n-gram, all its words; a text of any length is
+taken whole; documents without id have no links (`one_of_each` keeps them); rows of
+equal doc_id and text are one document (`one_of_each` keeps or drops them together),
+rows of equal doc_id and different texts are documents of their own; of documents that
+tie for the smallest id the one with the smallest hash of its text leads; an empty
+table gives no rows; extra columns are left out here and kept by `one_of_each`,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, exchange, need, pack_arrays, part_of, slots, unpack_arrays, written
+from quire.llm.common import Blocks, Seen, binary, blocks_for, by_block, drop, exchange, free_names, need, pack_arrays, part_of, unpack_arrays, written
 from quire.llm.tokens import WORD_RE, gram_hashes, mix, pieces, word_hashes
 
 
@@ -47,6 +59,8 @@ class Config:
     q: int = 5
     dense: int = 32
     buffer: int = 2_000_000  # n-grams that a task gathers before it sends them
+    block: int = 16 << 20  # bytes of text whose columns make a block
+    tile: int = 2_000_000  # entries of dense columns in a tile
 
 
 PART = "kind int, x bigint, y bigint, c int, sx int, sy int"
@@ -69,12 +83,12 @@ def distinct_grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.
     return g, doc, mix(sums + size.astype(np.uint64)), size
 
 
-def _incidence(docs: DataFrame, config: Config, parts: int) -> DataFrame:
+def _incidence(docs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
     """(part, blob): the entries of each block of columns, and which documents have which set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        count, seen = 0, np.zeros(0, np.uint64)
+        count, seen = 0, Seen()
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal held, count
@@ -84,44 +98,44 @@ def _incidence(docs: DataFrame, config: Config, parts: int) -> DataFrame:
             g = np.concatenate([h[0] for h in held])
             row = np.concatenate([h[1] + b for h, b in zip(held, base)])
             sets, size = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]).astype(np.uint32)
-            ids, owner = np.concatenate([h[4] for h in held]), np.concatenate([h[5] + b for h, b in zip(held, base)])
+            owner = np.concatenate([h[4] + b for h, b in zip(held, base)])
+            ids, texts = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
             held, count = [], 0
             order = np.argsort(g)
             g, row = g[order], row[order]
-            cut = np.searchsorted(part_of(g, parts), np.arange(parts + 1))
-            home = part_of(sets[owner], parts)
+            part = part_of(g, blocks.all)
+            # who has a set is told anywhere, so that copies in any number are spread
+            home = part_of(mix(texts ^ ids.view(np.uint64)), blocks.all)
             by_home = np.argsort(home, kind="stable")
-            home_cut = np.searchsorted(home[by_home], np.arange(parts + 1))
-            which, blobs = [], []
-            for p in range(parts):
-                e, o = slice(cut[p], cut[p + 1]), by_home[home_cut[p] : home_cut[p + 1]]
-                if e.stop == e.start and not len(o):
-                    continue
+            which = np.union1d(part, home)
+            cut, home_cut = ([*np.searchsorted(x, which), len(x)] for x in (part, home[by_home]))
+            blobs = []
+            for i in range(len(which)):
+                e, o = slice(cut[i], cut[i + 1]), by_home[home_cut[i] : home_cut[i + 1]]
                 used, local = np.unique(row[e], return_inverse=True)
-                which.append(p)
-                blobs.append(pack_arrays(np.diff(g[e], prepend=np.uint64(0)), local.astype(np.uint32), sets[used], size[used], sets[owner[o]], size[owner[o]], ids[o]))
+                blobs.append(pack_arrays(np.diff(g[e], prepend=np.uint64(0)), local.astype(np.uint32), sets[used], size[used], sets[owner[o]], size[owner[o]], ids[o], texts[o]))
             for a in range(0, len(which), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 64], pa.int32()), binary(blobs[a : a + 64])], names=["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 64].astype(np.int32)), binary(blobs[a : a + 64])], names=["part", "blob"])
 
         for b in pieces(batches, "text"):
             g, doc, sets, size = distinct_grams(b.column(1), config.n)
             some = np.flatnonzero(size)
             new, first = np.unique(sets[some], return_index=True)
-            rows = some[first[~np.isin(new, seen)]]  # one document of each set not yet seen
-            seen = np.union1d(seen, new)
+            rows = some[first[seen.new(new)]]  # one document of each set not yet seen
             number = np.full(len(size), -1)
             number[rows] = np.arange(len(rows))
             take = number[doc] >= 0
             g, row = g[take], number[doc[take]]
             # every document with words is listed under its set, also under a set seen before
             all_sets = np.concatenate([sets[rows], sets[some]])
-            held.append((g, row, all_sets, np.concatenate([size[rows], size[some]]), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[some], len(rows) + np.arange(len(some))))
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append((g, row, all_sets, np.concatenate([size[rows], size[some]]), len(rows) + np.arange(len(some)), ids[some], texts[some]))
             count += len(g)
             if count >= config.buffer:
                 yield from send()
         yield from send()
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("r"))
     return rows.mapInArrow(run, "part int, blob binary")
 
 
@@ -173,7 +187,7 @@ def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Con
 
 
 def _products(blobs: DataFrame, config: Config) -> DataFrame:
-    """kind 0: (x, y, partial overlap, sizes); 1: (row, dense column); 2: (row, doc_id, size)."""
+    """kind 0: (x, y, partial overlap, sizes); 1: (row, dense column); 2: (row, doc_id, size, text hash in two halves)."""
     names = [x.split()[0] for x in PART.split(", ")]
 
     def out(kind: int, x, y, c, sx=None, sy=None) -> Iterator[pa.RecordBatch]:
@@ -183,17 +197,17 @@ def _products(blobs: DataFrame, config: Config) -> DataFrame:
             ints = [pa.nulls(n, pa.int32()) if v is None else pa.array(v[cut].astype(np.int32)) for v in (c, sx, sy)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[cut].view(np.int64)), pa.array(y[cut].view(np.int64)), *ints], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         cols, rows, sets, sizes, base = [], [], [], [], 0
-        for b in batches:
-            for raw in b.column(1).to_pylist():
-                g, local, s, z, own, own_size, ids = unpack_arrays(raw, np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.int64)
-                cols.append(np.cumsum(g, dtype=np.uint64))
-                rows.append(local.astype(np.int64) + base)
-                base += len(s)
-                sets.append(s)
-                sizes.append(z)
-                yield from out(2, own, ids, own_size)
+        for raw in blobs:
+            g, local, s, z, own, own_size, ids, texts = unpack_arrays(raw, np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.int64, np.uint64)
+            cols.append(np.cumsum(g, dtype=np.uint64))
+            rows.append(local.astype(np.int64) + base)
+            base += len(s)
+            sets.append(s)
+            sizes.append(z)
+            halves = texts.view(np.int32).reshape(-1, 2)
+            yield from out(2, own, ids, own_size, halves[:, 0], halves[:, 1])
         if not base:
             return
         name, first, number = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
@@ -212,69 +226,134 @@ def _products(blobs: DataFrame, config: Config) -> DataFrame:
         for x, y, c in column_pairs(col[some], row[some], size, config):
             yield from out(0, name[x], name[y], c, size[x], size[y])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in by_block(batches):
+            yield from block(blobs)
+
     return blobs.select("part", "blob").mapInArrow(run, PART)
 
 
-def _dense_products(dense: DataFrame, config: Config, parts: int) -> DataFrame:
+def _dense_products(dense: DataFrame, config: Config) -> DataFrame:
     """(x, y, partial overlap, sizes) over dense columns; dense: (x, col, size)."""
+    names = ["x", "y", "c", "sx", "sy"]
+    kinds = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32())])
 
     def run(t: pa.Table) -> pa.Table:
         name, number = np.unique(t["x"].to_numpy(), return_inverse=True)
-        size = np.zeros(len(name), np.int64)
-        size[number] = t["size"].to_numpy()
+        size, tile = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
+        size[number], tile[number] = t["size"].to_numpy(), t["tile"].to_numpy()
+        two = t["i"][0].as_py() != t["j"][0].as_py()
         col = t["col"].to_numpy()
         order = np.lexsort((number, col))
-        found = [pa.table({"x": name[x], "y": name[y], "c": c.astype(np.int32), "sx": size[x].astype(np.int32), "sy": size[y].astype(np.int32)}) for x, y, c in column_pairs(col[order], number[order], size, config)]
-        schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32())])
-        return pa.concat_tables([schema.empty_table(), *found])
-
-    # columns with the same first row go to one block: those of a group of near copies mostly do, so its pairs meet in few blocks
-    first = dense.groupBy("col").agg(F.min("x").alias("first"))
-    dealt = dense.join(first, "col").withColumn("part", F.pmod(F.xxhash64("first"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(run, "x bigint, y bigint, c int, sx int, sy int")
-
-
-def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(pairs of sets with overlap and sizes; sets with the ids of their documents)."""
+        found = []
+        for x, y, c in column_pairs(col[order], number[order], size, config):
+            if two:  # pairs inside a tile are counted where it meets itself
+                k = tile[x] != tile[y]
+                x, y, c = x[k], y[k], c[k]
+            found.append(pa.table([name[x], name[y], c.astype(np.int32), size[x].astype(np.int32), size[y].astype(np.int32)], names=names))
+        return pa.concat_tables([kinds.empty_table(), *found])
+
+    # columns with the same first row go together: those of a group of near copies mostly do, so its pairs meet in few tasks
+    first = dense.groupBy("col").agg(F.min("x").alias("first"), F.count("*").alias("n"))
+    groups = first.groupBy("first").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / config.tile).cast("int"))
+    total = int(groups.agg(F.sum("n")).first()[0] or 0)
+    bins = -(-total // config.tile) or 1
+    dealt = dense.join(first.select("col", "first"), "col").join(groups.select("first", "tiles"), "first")
+    one = F.col("tiles") == 1
+    dealt = dealt.withColumn("g", F.when(one, F.pmod(F.xxhash64("first"), F.lit(bins))).otherwise(F.col("first"))).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "k")).withColumn("j", F.greatest("tile", "k"))
+    return dealt.select("x", "col", "size", "tile", "tiles", "g", "i", "j").groupBy((F.col("tiles") == 1).alias("one"), "g", "i", "j").applyInArrow(run, "x bigint, y bigint, c int, sx int, sy int")
+
+
+def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(pairs of sets with overlap, sizes and numbers of documents; sets with first document, number and size; set, id and text of every document; tables to drop)."""
     need(docs, "doc_id", "text")
     p, q = config.p, config.q
-    parts = slots(docs.sparkSession)
-    made = written(_products(exchange(_incidence(docs, config, parts), parts), config), "overlaps")
-    sets = made.where("kind = 2").groupBy("x").agg(F.sort_array(F.collect_set("y")).alias("ids"), F.max("c").alias("size"))
+    blocks = blocks_for(docs, "text", config.block)
+    made = written(_products(exchange(_incidence(docs, config, blocks), blocks), config), "overlaps")
+    r = F.shiftleft(F.col("sy").cast("bigint"), 32).bitwiseOR(F.col("sx").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    members = made.where("kind = 2").select("x", F.struct(F.col("y").alias("id"), r.alias("r")).alias("doc"), F.col("c").alias("size")).distinct()
+    sets = members.groupBy("x").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
     dense = made.where("kind = 1").select("x", F.col("y").alias("col"))
-    lists = dense.groupBy("x").agg(F.collect_list("col").alias("cols"))
+    lists = dense.groupBy("x").agg(F.collect_list("col").alias("cols"))  # no longer than its document
+    info = sets.select("x", "n").join(lists, "x", "left")
     heavy = (
         dense.groupBy("x").agg(F.count("*").alias("k"))
         .join(sets.select("x", "size"), "x").where(F.col("k") * q >= F.col("size") * p).select("x", "size")
     )
-    more = _dense_products(written(dense.join(heavy, "x"), "dense"), config, parts)
+    strong = written(dense.join(heavy, "x"), "dense")
+    more = _dense_products(strong, config)
     both = (
         made.where("kind = 0").select("x", "y", "c", F.lit(False).alias("d"), (F.col("sx") + F.col("sy")).alias("both"))
         .unionByName(more.select("x", "y", "c", F.lit(True).alias("d"), (F.col("sx") + F.col("sy")).alias("both")))
     )
     # x and y come in any order of their hashes; dealt by x, the sum needs no exchange of its own and neither does the join to the lists
-    dealt = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "d", "both").repartition(parts, "x")
+    dealt = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "d", "both").repartition(blocks.parts, "x")
     pairs = dealt.groupBy("x", "y").agg(F.sum(F.when(~F.col("d"), F.col("c")).otherwise(0)).alias("few"), F.sum(F.when(F.col("d"), F.col("c"))).alias("many"), F.max("both").alias("both"))
     reaches = lambda n: (p + q) * n >= p * F.col("both")
     known = F.col("few") + F.coalesce("many", F.lit(0))
-    may = pairs.join(lists.select("x", F.col("cols").alias("cx")), "x", "left").where(reaches(known) | F.col("many").isNull() & reaches(F.col("few") + F.coalesce(F.size("cx"), F.lit(0))))
+    may = pairs.join(info.select("x", F.col("n").alias("nx"), F.col("cols").alias("cx")), "x").where(reaches(known) | F.col("many").isNull() & reaches(F.col("few") + F.coalesce(F.size("cx"), F.lit(0))))
     may = may.withColumn("cx", F.when(F.col("many").isNull(), F.col("cx")))  # the others have their dense overlap: no need to send the list on
     kept = (
-        may.join(lists.select(F.col("x").alias("y"), F.col("cols").alias("cy")), "y", "left")
+        may.join(info.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("cols").alias("cy")), "y")
         .withColumn("many", F.coalesce("many", F.size(F.array_intersect("cx", "cy")), F.lit(0))).where(reaches(F.col("few") + F.col("many")))
     )
-    return kept.select("x", "y", (F.col("few") + F.col("many")).alias("overlap"), "both"), sets
+    return kept.select("x", "y", (F.col("few") + F.col("many")).alias("overlap"), "both", "nx", "ny"), sets, members, [made, strong]
 
 
-def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """(a, b, overlap, jaccard); see above."""
-    pairs, sets = _counted(docs, config)
-    far = (
-        pairs.join(sets.select("x", F.col("ids").alias("i")), "x").join(sets.select(F.col("x").alias("y"), F.col("ids").alias("j")), "y")
-        .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "overlap", F.round(F.col("overlap") / (F.col("both") - F.col("overlap")), 6).alias("jaccard"))
-    )
-    same = sets.where(F.size("ids") > 1).select(F.col("ids").alias("a"), F.col("ids").alias("b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    return far.unionByName(same)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the edges."""
+    p = np.arange(n)
+    while True:
+        a, b = p[a], p[b]
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        open_ = a != b
+        if not open_.any():
+            return p
+        a, b = a[open_], b[open_]
+        np.minimum.at(p, a, b)
+        while not np.array_equal(q := p[p], p):
+            p = q
+
+
+def fold(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(u, v, n) from (x, y, nx, ny): of each partition, its nodes u with the node v that leads their component there, and the documents n that they are linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, root, times = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[list[np.ndarray]] = []
+        count = 0
+
+        def take() -> None:
+            nonlocal node, root, times, held, count
+            x, y, nx, ny = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held, count = [], 0
+            name, at = np.unique(np.concatenate([node, root, x, y]), return_inverse=True)
+            k = len(node)
+            own, to, a, b = at[:k], at[k : 2 * k], at[2 * k : 2 * k + len(x)], at[2 * k + len(x) :]
+            sums = np.zeros(len(name), np.int64)
+            for i, w in ((own, times), (a, ny), (b, nx)):
+                sums += np.bincount(i, w, len(name)).astype(np.int64)
+            node, times = name, sums
+            root = name[local_roots(len(name), np.concatenate([own, a]), np.concatenate([to, b]))]
+
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(times)], names=["u", "v", "n"])
+
+        for b in batches:
+            held.append([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            count += b.num_rows
+            if count >= most:
+                take()
+                if len(node) >= most:
+                    yield send()
+                    node, root, times = node[:0], root[:0], times[:0]
+        if count:
+            take()
+        if len(node):
+            yield send()
+
+    return pairs.select("x", "y", "nx", "ny").mapInArrow(run, "u bigint, v bigint, n bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,28 +376,55 @@ def components(edges: DataFrame) -> DataFrame:
         state = after
 
 
+def _classified(docs: DataFrame, config: Config) -> DataFrame:
+    """(doc, lead, links): id and text hash of every document with a link, those of its class's first document, the number of links."""
+    pairs, sets, members, old = _counted(docs, config)
+    folded = written(fold(pairs), "links")
+    sets, members = written(sets, "sets"), written(members.select("x", "doc"), "members")
+    drop(*old)
+    links = folded.groupBy("u").agg(F.sum("n").alias("l")).select(F.col("u").alias("x"), "l")
+    found = components(folded.select("u", "v")).select(F.col("node").alias("x"), "root")
+    known = sets.select("x", "first", "n").join(links, "x", "left").join(found, "x", "left").where("n > 1 or l is not null")
+    known = known.withColumn("root", F.coalesce("root", "x"))
+    lead = known.groupBy("root").agg(F.min("first").alias("lead"))
+    own = known.join(lead, "root").select("x", "lead", (F.coalesce("l", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return members.join(own, "x").select("doc", "lead", "links")
+
+
+def classes(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, class_id, links); see above."""
+    return _classified(docs, config).select(F.col("doc.id").alias("doc_id"), F.col("lead.id").alias("class_id"), "links")
+
+
+def pairs(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(doc_id, other_id, overlap, jaccard) between the first documents of different sets; see above."""
+    found, sets, _, _ = _counted(docs, config)
+    first = sets.select("x", F.col("first.id").alias("id"))
+    both = found.join(first.withColumnRenamed("id", "i"), "x").join(first.select(F.col("x").alias("y"), F.col("id").alias("j")), "y")
+    return both.select(F.least("i", "j").alias("doc_id"), F.greatest("i", "j").alias("other_id"), "overlap", F.round(F.col("overlap") / (F.col("both") - F.col("overlap")), 6).alias("jaccard"))
+
+
 def one_of_each(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """The documents without those of a group of near copies but the one with the smallest id."""
-    pairs, sets = _counted(docs, config)
-    sets = written(sets.select("x", F.explode("ids").alias("id"), F.element_at("ids", 1).alias("first")), "sets")
-    head = sets.select("x", "first").distinct()
-    edges = (
-        pairs.join(head.select("x", F.col("first").alias("u")), "x").join(head.select(F.col("x").alias("y"), F.col("first").alias("v")), "y").select("u", "v")
-        .unionByName(sets.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")))
-    )
-    gone = components(edges).where("node <> root").select(F.col("node").alias("__gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    """The documents without those of a class but its first one."""
+    i, r = free_names(docs, "__gone_id", "__gone_text")
+    gone = _classified(docs, config).where("doc <> lead").select(F.col("doc.id").alias(i), F.col("doc.r").alias(r))
+    return docs.join(gone, (F.col("doc_id").cast("bigint") == F.col(i)) & (F.xxhash64("text") == F.col(r)), "left_anti")
 
 
 ORACLE = rf"""
-WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{WORD_RE}') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-s AS (
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{WORD_RE}') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+s AS MATERIALIZED (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS gs
   FROM w WHERE len(ws) > 0
-), u AS (SELECT gs, list_sort(list_distinct(list(doc_id))) AS ids FROM s GROUP BY gs),
-v AS (SELECT row_number() OVER () AS k, gs, ids, len(gs) AS n FROM u),
-e AS (SELECT k, n, ids, unnest(gs) AS g FROM v),
-o AS (SELECT a.k AS x, b.k AS y, count(*) AS overlap FROM e a JOIN e b ON a.g = b.g AND a.ids[1] < b.ids[1] GROUP BY ALL)
-SELECT a.ids AS a, b.ids AS b, overlap, round(overlap / (a.n + b.n - overlap), 6) AS jaccard FROM o JOIN v a ON a.k = x JOIN v b ON b.k = y WHERE 7 * overlap >= 2 * (a.n + b.n)
-UNION ALL SELECT ids, ids, n, 1.0 FROM v WHERE len(ids) > 1
+), u AS (SELECT gs, min(doc_id) AS first, count(*) AS n FROM s GROUP BY gs),
+v AS MATERIALIZED (SELECT row_number() OVER () AS k, gs, first, n, len(gs) AS size FROM u),
+e AS (SELECT k, unnest(gs) AS g FROM v),
+o AS (SELECT a.k AS x, b.k AS y, count(*) AS overlap FROM e a JOIN e b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN v a ON a.k = x JOIN v b ON b.k = y WHERE 7 * overlap >= 2 * (a.size + b.size)),
+b AS MATERIALIZED (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT k AS node, k AS seen FROM v UNION SELECT c.node, b.v FROM c JOIN b ON b.u = c.seen),
+m AS (SELECT node, min(first) AS class_id FROM c JOIN v ON k = seen GROUP BY node),
+d AS (SELECT u AS node, sum(n) AS links FROM b JOIN v ON k = b.v GROUP BY u)
+SELECT doc_id, class_id, (coalesce(links, 0) + n - 1)::BIGINT AS links
+FROM s JOIN v USING (gs) JOIN m ON m.node = k LEFT JOIN d ON d.node = k WHERE n > 1 OR links IS NOT NULL
 """

@@ -17,6 +17,8 @@ WORD_RE = r"[^\x00-\x2F\x3A-\x5E\x60\x7B-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F
 
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 20
+_PRIME = 4_294_967_291  # the largest below 2**32
+_LONG = 512  # bytes from which a span's hash also takes its residue
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[95] = True
 _IS_WORD[128:] = True
@@ -61,6 +63,10 @@ def span_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, near: np.nd
 
     near: ascending anchors (one for each row of spans) that say which spans are
     worked on together; by default the spans themselves, which then must ascend.
+
+    It is a polynomial modulo 2**64; a span of 512 bytes or more adds one modulo a
+    prime, since strings that cancel modulo powers of two (they need 1024 bytes) don't
+    there. Two of n different strings share a hash with a chance of n**2 / 2**65.
     """
     out = np.empty(first.shape, np.uint64)
     anchor = first if near is None else near
@@ -76,11 +82,32 @@ def span_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, near: np.nd
         up, down = _tables(high - low + 1)
         c = np.zeros(high - low + 1, np.uint64)
         np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=c[1:])
-        out[at:stop] = (c[b - low] - c[a - low]) * down[a - low]
+        h = (c[b - low] - c[a - low]) * down[a - low]
+        if (long := b - a >= _LONG).any():
+            h[long] += mix(_residues(raw, a[long], b[long]))
+        out[at:stop] = h
         at = stop
     return mix(out + (end - first).astype(np.uint64))
 
 
+def _residues(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomials of spans modulo the prime, by Horner's rule in pieces of 512 bytes."""
+    powers = np.ones(_LONG + 1, np.uint64)
+    for i in range(1, _LONG + 1):
+        powers[i] = powers[i - 1] * np.uint64(0x9E3779B1) % np.uint64(_PRIME)
+    out = np.zeros(len(first), np.uint64)
+    for i, (a, z) in enumerate(zip(first.tolist(), end.tolist())):
+        size = -(-(z - a) // _LONG)
+        padded = np.zeros(size * _LONG, np.uint64)
+        padded[: z - a] = raw[a:z]
+        h = 0
+        # 512 products below 2**40 add up below 2**49
+        for x in (padded.reshape(size, _LONG) * powers[:_LONG]).sum(1, dtype=np.uint64).tolist():
+            h = (h * int(powers[_LONG]) + x) % _PRIME
+        out[i] = h
+    return out
+
+
 def _word_mask(raw: np.ndarray) -> np.ndarray:
     is_word = _IS_WORD[raw]
     if raw.size and raw.max() >= 0xC2:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontam, jaccard, knn, langid, linededup, ogg, packing, pii, sstable, toxicity
 
+RANKS, VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
 LONG = "word stream " * 30_000
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta", "en", "a"), (1, "alpha beta gamma delta epsilon zeta eta theta", "en", "a"),
@@ -19,7 +20,7 @@ ROWS = [
 def docs(spark):
     """The documents with columns whose names the operators use inside."""
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
-    for name in ("part", "blob", "x", "y", "grp", "k", "v", "p", "key", "media", "score", "toxic", "exact", "item_id", "a.b"):
+    for name in ("part", "blob", "x", "y", "grp", "k", "v", "p", "key", "media", "score", "toxic", "exact", "item_id", "a.b", "__gone", "__gone_id", "__gone_text", "__gone_row", "__row", "__d", "__again", "__bad", "__plain_0"):
         df = df.withColumn(name, F.lit(f"keep {name}"))
     return df.cache()
 
@@ -42,8 +43,9 @@ def keep_all(got, docs):
 def test_ogg(docs):
     got = ogg.query(docs)
     files = [r for r in ROWS if r[1] is not None]
-    assert got.where("kind = 'header'").count() == 5 * len(files)
-    assert got.where("doc_id is null").count() == 6
+    assert got.where("kind = 'header'").count() == 8 * len(files)
+    assert got.where("status = 'bad'").count() == got.where("status = 'damaged'").count() == len(files)
+    assert got.where("doc_id is null and kind = 'header'").count() == 8
     assert ogg.query(docs.limit(0)).count() == 0
 
 
@@ -73,40 +75,55 @@ def test_decontamination(docs, bench):
 
 
 def test_jaccard(docs):
-    got = jaccard.join(docs).collect()
-    assert [(r.a, r.b, r.jaccard) for r in got] == [([1, 2], [1, 2], 1.0)]
+    got = jaccard.classes(docs).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 1)]
+    assert jaccard.pairs(docs).count() == 0
     left = keep_all(jaccard.one_of_each(docs), docs)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == sorted((r[0] is None, r[0] or 0) for r in ROWS if r[0] != 2)
-    assert jaccard.join(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0
+    assert jaccard.classes(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(1, a, 0), (2, b, 1), (2, a + " eta", 2), (3, b, 3), (3, "nothing like the others at all here", 4)]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, k int")).collect()
+    assert sorted(r.k for r in left) == [0, 1, 4]
 
 
 def test_language(docs):
-    model = langid.fit(docs)
+    model = langid.fit(docs, VOCABULARY)
     rows = langid.classify(docs, model).collect()
     assert len(rows) == len(ROWS) and all(r.predicted is None for r in rows if r.doc_id in (3, 4, 6))
-    none = langid.fit(docs.limit(0))
+    none = langid.fit(docs.limit(0), VOCABULARY)
     assert {r.predicted for r in langid.classify(docs, none).collect()} == {None}
     assert langid.classify(docs.limit(0), model).count() == 0
 
 
 def test_packing(docs):
-    got = packing.pack(docs, packing.Config(capacity=1000, group=20_000)).collect()
-    want = {}
+    config = packing.Config(capacity=1000, group=20_000)
+    got = packing.pack(docs, RANKS, config).collect()
+    encoder = packing.encoding(open(RANKS, "rb").read())
+    want, total = {}, {}
     for i, t, *_ in ROWS:
-        if t and t.split():
-            want[i] = want.get(i, 0) + len(t.split())
-    total = {}
+        if t:
+            want[i] = want.get(i, 0) + len(encoder.encode_ordinary(t)) + 1
     for r in got:
-        total[r.doc_id] = total.get(r.doc_id, 0) + r.n_tokens
+        assert len(r.tokens) == r.n_tokens <= 1000
+        for i, a, z in zip(r.doc_ids, r.starts, [*r.starts[1:], r.n_tokens]):
+            total[i] = total.get(i, 0) + z - a
     assert total == want
-    assert packing.pack(docs.limit(0)).count() == 0
+    assert packing.pack(docs.limit(0), RANKS).count() == 0
 
 
 def test_toxicity(docs, labels):
     model = toxicity.fit(docs, labels)
     assert toxicity.score(docs, model).count() == len(ROWS)
-    assert len(keep_all(toxicity.drop_toxic(docs, model), docs)) == len(ROWS)  # too few labels: nothing is toxic
+    toxic = {(r.doc_id, r.score >= r.threshold) for r in toxicity.score(docs, model).collect() if r.toxic}
+    left = keep_all(toxicity.drop_toxic(docs, model), docs)
+    assert (2, True) in toxic and len(left) == len(ROWS) - sum((r[0], True) in toxic for r in ROWS)
     assert toxicity.score(docs.limit(0), model).count() == 0
+    none = toxicity.fit(docs, labels.where("toxic = 0"))  # one kind alone: nothing is toxic
+    assert toxicity.score(docs, none).where("toxic").count() == toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).where("toxic").count() == 0
 
 
 def test_line_dedup(docs):
@@ -114,6 +131,7 @@ def test_line_dedup(docs):
     assert got == {(2, 0, 1, 0)}
     left = keep_all(linededup.dedup(docs), docs)
     assert len(left) == len(ROWS) - 1  # document 2 had no other line
+    assert [r.text for r in left if r.doc_id == 6] == ["   \n \n"]
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
@@ -126,6 +144,6 @@ def test_pii(docs):
 def test_kernels_take_empty_arrays():
     none = pa.array([], pa.string())
     assert jaccard.distinct_grams(none, 5)[0].size == 0
-    assert langid.distinct_words(none, 32)[0].size == 0
+    assert langid.distinct_words(none).raw.size == langid.distinct_words(none, 32).raw.size == 0
     assert knn.features(none, 10)[0].size == 0
     assert linededup.within(*(np.zeros(0, np.uint8), np.zeros(1, np.int64)) * 2, 2).size == 0
