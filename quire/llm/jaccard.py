@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard join: the product of the document by n-gram incidence with its transpose, in blocks.
 
 A document is the set of its word 5-grams (64-bit hashes). Documents with equal sets
-are one row of the matrix. Columns are dealt to blocks by hash; a block holds its
-columns whole, so each block gives partial overlap counts of the pairs of rows that
-meet in it, and a sum over blocks gives the overlap. There are as many blocks as leave
-each about `Config.block` bytes of text; a partition takes its blocks one after
-another. Two bounds follow from the set sizes a and b and a threshold p/q: the overlap
+are one row of the matrix. Columns are gathered in blocks by hash; there columns of one
+row fall away, and the others are dealt again by their first row, so that the columns
+that the same rows share (a passage, a group of copies) mostly meet in one block. A
+block holds its columns whole, so each gives partial overlap counts of the pairs of
+rows that meet in it, and a sum over blocks gives the overlap. There are as many blocks
+as leave each about `Config.block` bytes of text; a partition takes its blocks one
+after another. Two bounds follow from the set sizes a and b and a threshold p/q: the overlap
 is at most min(a, b), so pairs with (p+q) min(a, b) < p (a+b) are never counted, and
 at the end pairs with (p+q) overlap < p (a+b) are discarded.
 
@@ -63,7 +65,8 @@ class Config:
     tile: int = 2_000_000  # entries of dense columns in a tile
 
 
-PART = "kind int, x bigint, y bigint, c int, sx int, sy int"
+PART = "kind int, x bigint, y bigint, c int, sx int, sy int, part int, blob binary"
+PAIR = "x bigint, y bigint, c int, sx int, sy int"
 
 
 def distinct_grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -186,16 +189,29 @@ def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Con
         yield keys // n, keys % n, times
 
 
-def _products(blobs: DataFrame, config: Config) -> DataFrame:
-    """kind 0: (x, y, partial overlap, sizes); 1: (row, dense column); 2: (row, doc_id, size, text hash in two halves)."""
+def _gathered(blobs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
+    """kind 1: (row, dense column); 2: (row, doc_id, size, text hash in two halves); 3: (part, blob), the other columns of two rows or more for the block of their first row."""
     names = [x.split()[0] for x in PART.split(", ")]
 
-    def out(kind: int, x, y, c, sx=None, sy=None) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, x, y, c=None, sx=None, sy=None) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(x), 1 << 16):
             cut = slice(a, a + (1 << 16))
             n = len(x[cut])
             ints = [pa.nulls(n, pa.int32()) if v is None else pa.array(v[cut].astype(np.int32)) for v in (c, sx, sy)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[cut].view(np.int64)), pa.array(y[cut].view(np.int64)), *ints], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(x[cut].view(np.int64)), pa.array(y[cut].view(np.int64)), *ints, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+
+    def deal(name: np.ndarray, size: np.ndarray, row: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Columns of df rows each, one after another in `row`, ascending."""
+        start = np.cumsum(df) - df
+        part = part_of(mix(name[row[start]]), blocks.all)
+        order = np.argsort(part, kind="stable")
+        which, cut = np.unique(part[order], return_index=True)
+        for p, own in zip(which.tolist(), np.split(order, cut[1:])):
+            d = df[own]
+            at = np.arange(d.sum()) - np.repeat(np.cumsum(d) - d, d) + np.repeat(start[own], d)
+            used, local = np.unique(row[at], return_inverse=True)
+            blob = pack_arrays(d.astype(np.uint32), local.astype(np.uint32), name[used], size[used].astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(2)), *(pa.nulls(1, pa.int32()) for _ in range(3)), pa.array([p], pa.int32()), binary([blob])], names=names)
 
     def block(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         cols, rows, sets, sizes, base = [], [], [], [], 0
@@ -219,12 +235,11 @@ def _products(blobs: DataFrame, config: Config) -> DataFrame:
         keep = np.append(True, (col[1:] != col[:-1]) | (row[1:] != row[:-1]))
         col, row = col[keep], row[keep]
         start = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
-        df = np.repeat(d := np.diff(np.append(start, len(col))), d)
+        d = np.diff(np.append(start, len(col)))
+        df = np.repeat(d, d)
         hot = df > config.dense
-        yield from out(1, name[row[hot]], col[hot], None)
-        some = (df > 1) & ~hot
-        for x, y, c in column_pairs(col[some], row[some], size, config):
-            yield from out(0, name[x], name[y], c, size[x], size[y])
+        yield from out(1, name[row[hot]], col[hot])
+        yield from deal(name, size, row[(df > 1) & ~hot], d[(d > 1) & (d <= config.dense)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in by_block(batches):
@@ -233,6 +248,33 @@ def _products(blobs: DataFrame, config: Config) -> DataFrame:
     return blobs.select("part", "blob").mapInArrow(run, PART)
 
 
+def _products(blobs: DataFrame, config: Config) -> DataFrame:
+    """(x, y, partial overlap, sizes) of the rows that meet in each block's columns."""
+    names = [x.split()[0] for x in PAIR.split(", ")]
+
+    def block(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        df, rows, sets, sizes, base = [], [], [], [], 0
+        for raw in blobs:
+            d, local, s, z = unpack_arrays(raw, np.uint32, np.uint32, np.uint64, np.uint32)
+            df.append(d)
+            rows.append(local.astype(np.int64) + base)
+            base += len(s)
+            sets.append(s)
+            sizes.append(z)
+        name, first, number = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+        size, d = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(df)
+        for x, y, c in column_pairs(np.repeat(np.arange(len(d)), d), number[np.concatenate(rows)], size, config):
+            for a in range(0, len(x), 1 << 16):
+                cut = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([*(pa.array(name[v[cut]].view(np.int64)) for v in (x, y)), *(pa.array(v.astype(np.int32)) for v in (c[cut], size[x[cut]], size[y[cut]]))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in by_block(batches):
+            yield from block(blobs)
+
+    return blobs.select("part", "blob").mapInArrow(run, PAIR)
+
+
 def _dense_products(dense: DataFrame, config: Config) -> DataFrame:
     """(x, y, partial overlap, sizes) over dense columns; dense: (x, col, size)."""
     names = ["x", "y", "c", "sx", "sy"]
@@ -262,7 +304,7 @@ def _dense_products(dense: DataFrame, config: Config) -> DataFrame:
     one = F.col("tiles") == 1
     dealt = dealt.withColumn("g", F.when(one, F.pmod(F.xxhash64("first"), F.lit(bins))).otherwise(F.col("first"))).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "k")).withColumn("j", F.greatest("tile", "k"))
-    return dealt.select("x", "col", "size", "tile", "tiles", "g", "i", "j").groupBy((F.col("tiles") == 1).alias("one"), "g", "i", "j").applyInArrow(run, "x bigint, y bigint, c int, sx int, sy int")
+    return dealt.select("x", "col", "size", "tile", "tiles", "g", "i", "j").groupBy((F.col("tiles") == 1).alias("one"), "g", "i", "j").applyInArrow(run, PAIR)
 
 
 def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
@@ -270,7 +312,8 @@ def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, Dat
     need(docs, "doc_id", "text")
     p, q = config.p, config.q
     blocks = blocks_for(docs, "text", config.block)
-    made = written(_products(exchange(_incidence(docs, config, blocks), blocks), config), "overlaps")
+    made = written(_gathered(exchange(_incidence(docs, config, blocks), blocks), config, blocks), "columns")
+    few = _products(exchange(made.where("kind = 3").select("part", "blob"), blocks), config)
     r = F.shiftleft(F.col("sy").cast("bigint"), 32).bitwiseOR(F.col("sx").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     members = made.where("kind = 2").select("x", F.struct(F.col("y").alias("id"), r.alias("r")).alias("doc"), F.col("c").alias("size")).distinct()
     sets = members.groupBy("x").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
@@ -284,7 +327,7 @@ def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, Dat
     strong = written(dense.join(heavy, "x"), "dense")
     more = _dense_products(strong, config)
     both = (
-        made.where("kind = 0").select("x", "y", "c", F.lit(False).alias("d"), (F.col("sx") + F.col("sy")).alias("both"))
+        few.select("x", "y", "c", F.lit(False).alias("d"), (F.col("sx") + F.col("sy")).alias("both"))
         .unionByName(more.select("x", "y", "c", F.lit(True).alias("d"), (F.col("sx") + F.col("sy")).alias("both")))
     )
     # x and y come in any order of their hashes; dealt by x, the sum needs no exchange of its own and neither does the join to the lists
