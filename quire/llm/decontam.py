@@ -17,13 +17,16 @@ The windows are broadcast, at most `Config.windows` at once; a larger benchmark
 taken in as many slices, each a pass over the index.
 
 Result of `matches`: (doc_id, item_id, exact, near, windows): for each document and
-item with a match, how many of the item's windows occur verbatim and near.
-
-Results for odd input: null, empty or wordless texts and items match nothing; items
-with fewer than `Config.least` words are left out; a null doc_id or item_id is kept as
-an id of its own; rows of equal doc_id or item_id count as one (a window's place in the
-item tells windows apart); an empty table on either side gives no rows; extra columns are left
-out, and kept by `clean`.
+item with a match, how many of the item's windows occur verbatim and near. Items of any
+number of words are searched. `clean` judges documents by items of `Config.least` words
+or more, since one to three words in a row are no sign of a leak.
+
+Results for odd input: null, empty or wordless texts and items match nothing; texts of
+any length are searched whole; a null doc_id or item_id is kept as an id of its own; to
+`matches` rows of equal doc_id count as one, `clean` tells them apart by their text;
+rows of equal item_id count as one (a window's place in the item tells windows apart);
+terms of equal count are ranked by their place; an empty table on either side gives no
+rows; extra columns are left out, and kept by `clean`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, need, pack_arrays, unpack_arrays, written
+from quire.llm.common import binary, free_names, need, pack_arrays, unpack_arrays, written
 from quire.llm.tokens import WORD_RE, pieces, word_hashes
 
 
@@ -45,7 +48,7 @@ class Config:
     n: int = 8
     misses: int = 2
     slack: int = 2
-    least: int = 4
+    least: int = 4  # words of an item that `clean` goes by
     segment: int = 1_000_000  # tokens of a segment, about; a longer document is a segment of its own
     windows: int = 200_000  # broadcast at once
     near: float = 0.5  # `clean` drops a document with this share of an item's windows near
@@ -63,7 +66,7 @@ def index(docs: DataFrame, config: Config = Config()) -> DataFrame:
             nonlocal held, count
             words = np.concatenate([h[0] for h in held])
             sizes = np.concatenate([h[1] for h in held])
-            ids, known = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+            ids, known, texts = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
             held, count = [], 0
             order = np.argsort(words, kind="stable")
             sorted_ = words[order]
@@ -74,20 +77,20 @@ def index(docs: DataFrame, config: Config = Config()) -> DataFrame:
             return pa.RecordBatch.from_arrays([
                 binary([pack_arrays(np.diff(terms, prepend=np.uint64(0)), np.diff(np.append(start, len(words))).astype(np.uint32))]),
                 binary([pack_arrays(gaps.astype(np.uint32))]),
-                binary([pack_arrays(ids, known.astype(np.uint8), np.cumsum(sizes).astype(np.int64))]),
+                binary([pack_arrays(ids, known.astype(np.uint8), np.cumsum(sizes).astype(np.int64), texts)]),
             ], names=["terms", "postings", "docs"])
 
         for b in pieces(batches, "text"):
             words, ptr = word_hashes(b.column(1))
             known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-            held.append((words, np.diff(ptr), b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), known))
+            held.append((words, np.diff(ptr), b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), known, b.column(2).to_numpy(zero_copy_only=False)))
             count += len(words)
             if count >= config.segment:
                 yield segment()
         if held:
             yield segment()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "terms binary, postings binary, docs binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("r")).mapInArrow(run, "terms binary, postings binary, docs binary")
 
 
 @dataclass
@@ -110,9 +113,7 @@ def windows_of(rows: list[tuple], config: Config) -> Query:
     item, start, table, size = [], [], [], []
     for r, a, z in zip(rows, ptr[:-1].tolist(), ptr[1:].tolist()):
         n = min(config.n, z - a)
-        if z - a < config.least:
-            continue
-        for s in range(z - a - n + 1):
+        for s in range(z - a - n + 1 if n else 0):
             item.append(number[r[0]])
             start.append(s)
             size.append(n)
@@ -154,7 +155,7 @@ class Segment:
         base = np.append(0, run)[self.first]
         self.pos = run - base[term]
         self.key = (term << 32) | self.pos  # ascending
-        ids, known, self.ends = unpack_arrays(docs, np.int64, np.uint8, np.int64)
+        ids, known, self.ends, self.texts = unpack_arrays(docs, np.int64, np.uint8, np.int64, np.int64)
         self.ids, self.known = ids, known.astype(bool)
 
     def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -239,6 +240,10 @@ MATCHES = "doc_id bigint, item_id bigint, exact int, near int, windows int"
 
 def matches(docs: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, item_id, exact, near, windows); see above."""
+    return _all_matches(docs, benchmark, config, ["doc_id"])
+
+
+def _all_matches(docs: DataFrame, benchmark: DataFrame, config: Config, keys: list[str]) -> DataFrame:
     need(benchmark, "item_id", "text")
     stored = written(index(docs, config), "index")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -249,12 +254,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, config: Config = Config()) ->
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else items
         q = windows_of([(r.item_id, r.text) for r in own.collect()], config)  # one slice, about config.windows
         rank(q, _counts(stored, q.terms))
-        part = _matches(stored, q, config)
+        part = _matches(stored, q, config, keys)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _matches(stored: DataFrame, q: Query, config: Config) -> DataFrame:
+def _matches(stored: DataFrame, q: Query, config: Config, keys: list[str]) -> DataFrame:
     at = stored.sparkSession.sparkContext.broadcast(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,29 +273,32 @@ def _matches(stored: DataFrame, q: Query, config: Config) -> DataFrame:
                 ed, ew, nd, nw = search(s, q, config)
                 d, w, exact = np.concatenate([ed, nd]), np.concatenate([ew, nw]), np.repeat([1, 0], [len(ed), len(nd)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(s.ids[d], pa.int64(), mask=~s.known[d]), pa.array([q.items[i] for i in q.item[w]], pa.int64()),
+                    pa.array(s.ids[d], pa.int64(), mask=~s.known[d]), pa.array(s.texts[d]), pa.array([q.items[i] for i in q.item[w]], pa.int64()),
                     pa.array(q.start[w]), pa.array(exact.astype(np.int32)), pa.array(per_item[q.item[w]].astype(np.int32)),
-                ], names=["doc_id", "item_id", "start", "exact", "windows"])
+                ], names=["doc_id", "r", "item_id", "start", "exact", "windows"])
 
-    hits = stored.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, exact int, windows int")
-    once = hits.groupBy("doc_id", "item_id", "windows", "start").agg(F.max("exact").alias("exact"), F.min("exact").alias("far"))
+    hits = stored.mapInArrow(run, "doc_id bigint, r bigint, item_id bigint, start bigint, exact int, windows int")
+    once = hits.groupBy(*keys, "item_id", "windows", "start").agg(F.max("exact").alias("exact"), F.min("exact").alias("far"))
     return (
-        once.groupBy("doc_id", "item_id", "windows").agg(F.sum("exact").cast("int").alias("exact"), F.sum(F.lit(1) - F.col("far")).cast("int").alias("near"))
-        .select("doc_id", "item_id", "exact", "near", "windows")
+        once.groupBy(*keys, "item_id", "windows").agg(F.sum("exact").cast("int").alias("exact"), F.sum(F.lit(1) - F.col("far")).cast("int").alias("near"))
+        .select(*keys, "item_id", "exact", "near", "windows")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, config: Config = Config()) -> DataFrame:
     """The documents, all their columns, without those that hold a window verbatim or `near` of an item's windows nearly."""
-    bad = matches(docs, benchmark, config).where((F.col("exact") > 0) | (F.col("near") >= config.near * F.col("windows"))).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__bad")), "left_anti")
+    items = benchmark.where(F.regexp_count(F.lower("text"), F.lit(WORD_RE)) >= config.least)
+    i, r = free_names(docs, "__bad", "__bad_text")
+    bad = _all_matches(docs, items, config, ["doc_id", "r"]).where((F.col("exact") > 0) | (F.col("near") >= config.near * F.col("windows")))
+    bad = bad.select(F.col("doc_id").alias(i), F.col("r").alias(r)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(r)), "left_anti")
 
 
 ORACLE = rf"""
 WITH dw AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '{WORD_RE}') AS ws FROM documents),
 tok AS (SELECT doc_id, r, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM dw),
 bw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '{WORD_RE}') AS ws FROM benchmark),
-st AS (SELECT item_id, ws, least(8, len(ws)) AS n, unnest(range(len(ws) - least(8, len(ws)) + 1)) AS s FROM bw WHERE len(ws) >= 4),
+st AS (SELECT item_id, ws, least(8, len(ws)) AS n, unnest(range(len(ws) - least(8, len(ws)) + 1)) AS s FROM bw WHERE len(ws) > 0),
 win AS (SELECT item_id, s, n, least(2, n // 4) AS allowed, unnest(range(n)) AS j, unnest(ws[s+1:s+n]) AS term FROM st),
 cf AS (SELECT term, count(*) AS c FROM tok WHERE term IN (SELECT term FROM win) GROUP BY term),
 rk AS (SELECT win.*, row_number() OVER (PARTITION BY item_id, s ORDER BY coalesce(c, 0), j) AS k FROM win LEFT JOIN cf USING (term)),
