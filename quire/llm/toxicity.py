@@ -7,12 +7,15 @@ count. Filters of several widths run over the whole text, each keeps its maximum
 sample of the labelled rows, bounded by `Config.sample`. `fit` then scores all labelled
 rows in Spark and sets a threshold for every language from score histograms of the rows
 not trained on, each class weighted to its share among all labelled rows of the language;
-`train` alone sets them on a held-out fifth of its rows.
+`train` alone sets them on a held-out fifth of its rows. `Config.prior` rows of the mix
+of all languages join those of each, so a threshold moves from the common one to the
+language's own as its labels grow.
 
 Results for odd input: a text that is null, empty or without words has only zero
-features and scores like any such text; a language that is null, unknown or too
-rarely labelled gets the threshold of all languages together; no labels of both
-kinds at all: score 0, nothing is toxic. Labels that are null or without document
+features and scores like any such text; a text of any length is read whole; a language
+that is null or has no labels gets the threshold of all languages together; without
+labels of both kinds nothing is toxic; a score equal to the threshold is toxic; an empty
+table gives no rows. Labels that are null or without document
 are left out; a document labelled twice counts as toxic if one row says so. Equal
 texts get equal scores. Extra columns are kept by `drop_toxic` and left out by
 `score`; duplicate rows give duplicate rows.
@@ -45,7 +48,7 @@ class Config:
     batch: int = 32
     rate: float = 0.02
     decay: float = 1e-4
-    fewest: int = 12  # held-out rows of each kind that a language needs for a threshold of its own
+    prior: float = 100  # rows of all languages that join each one's own for its threshold
     bins: int = 4096  # of the score histograms, over the logit of the score
     seed: int = 7
 
@@ -125,7 +128,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], config:
         [np.zeros(k, np.float32) for _ in config.widths], rng.normal(0, 0.3, k * nw), 0.0, {None: 2.0},
     )
     m.table[-1] = 0
-    if len(labels) < 10 or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max():
         return m
     held = np.arange(len(labels)) % 5 == 4
     ids = [word_ids(pa.array([t]), config) for t in texts]
@@ -172,33 +175,16 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], config:
             bias = np.array([m.out_bias])
             adam("out_bias", bias, g_bias, rate)
             m.out_bias = float(bias[0])
-    m.threshold = thresholds(scores(m, pa.array([texts[i] for i in np.flatnonzero(held)], pa.string())), labels[held], [langs[i] for i in np.flatnonzero(held)], config.fewest)
+    if labels[held].min(initial=1) == labels[held].max(initial=0) or not held.any():
+        held[:] = True  # too few rows to hold out both kinds
+    own = np.flatnonzero(held)
+    names, number = np.unique([langs[i] or "" for i in own], return_inverse=True)
+    counts = np.zeros((len(names), 2, config.bins))
+    np.add.at(counts, (number, labels[own].astype(np.int64), bin_of(scores(m, pa.array([texts[i] for i in own], pa.string())), config.bins)), 1)
+    m.threshold = thresholds(dict(zip(names.tolist(), counts)), config.prior)
     return m
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the highest F1; of equal ones the middle."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    ends = np.flatnonzero(np.append(s[1:] != s[:-1], True))
-    hit = np.cumsum(y)[ends]
-    f1 = 2 * hit / (ends + 1 + y.sum())
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    low = s[ends[best[-1]]]
-    below = s[ends[best[-1]] + 1] if ends[best[-1]] + 1 < len(s) else 0.0
-    return float((low + below) / 2)
-
-
-def thresholds(score: np.ndarray, label: np.ndarray, langs: list[str | None], fewest: int) -> dict[str | None, float]:
-    found: dict[str | None, float] = {None: best_threshold(score, label) if label.any() else 2.0}
-    names = np.array([x if x is not None else "\0" for x in langs], object)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = names == lang
-        if min(label[own].sum(), (1 - label[own]).sum()) >= fewest:
-            found[lang] = best_threshold(score[own], label[own])
-    return found
-
-
 def bin_of(score: np.ndarray, bins: int) -> np.ndarray:
     """Bins of equal width over logits from -20 to 20."""
     s = np.clip(score, 1e-12, 1 - 1e-12)
@@ -214,6 +200,13 @@ def histogram_threshold(hits: np.ndarray, others: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-((best[0] + best[-1]) / 2 / bins * 40 - 20))))
 
 
+def thresholds(counts: dict[str, np.ndarray], prior: float) -> dict[str | None, float]:
+    """Thresholds of all languages (None) and of each, from (weighted) rows [class, bin] by language."""
+    whole = sum(counts.values())
+    mix = prior * whole / whole.sum()
+    return {None: histogram_threshold(whole[1], whole[0])} | {x: histogram_threshold(*(h + mix)[::-1]) for x, h in sorted(counts.items()) if x}
+
+
 def known_labels(labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, label) of every labelled document."""
     return (
@@ -247,15 +240,10 @@ def corpus_thresholds(docs: DataFrame, labels: DataFrame, model: Model, trained:
     if not held:
         return model.threshold
 
-    def cut(h: np.ndarray, n: np.ndarray) -> float:
-        share = n / np.maximum(h.sum(1), 1)
-        return histogram_threshold(h[1] * share[1], h[0] * share[0])
-
-    all_held, all_total = sum(held.values()), sum(total.values())
-    if min(all_held.sum(1)) < 1:
+    if min(sum(held.values()).sum(1)) < 1:  # every row of a kind was trained on
         return model.threshold
-    found: dict[str | None, float] = {None: cut(all_held, all_total)}
-    return found | {x: cut(h, total[x]) for x, h in sorted(held.items()) if x and min(h.sum(1)) >= config.fewest}
+    share = {x: total[x] / np.maximum(h.sum(1), 1) for x, h in held.items()}
+    return thresholds({x: h * share[x][:, None] for x, h in held.items()}, config.prior)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, config: Config, label: str = "toxic") -> list[tuple]:
