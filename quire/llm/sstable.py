@@ -17,14 +17,15 @@ Keys order like the identifiers: a null is the empty key, an integer 0x00 and it
 eight big-endian bytes with the sign flipped, a string 0x01 and its UTF-8 bytes. The
 value is the UTF-8 text after a 0x01, or empty for a null text.
 
-Shards are cut from range partitions of the key. The cuts come from a scan of the
-key column alone (`approx_percentile`), and rows are sent straight to their
-partition; a partition is written as it streams past, one shard at a time, so memory
-holds one shard, and no document is cut. A document larger than a shard is a shard of its own.
-
-Results for odd input: repeated keys are all kept, by text; rows with equal key and
-text are kept as often as they occur; an empty table gives no shard; extra columns
-are left out. `get` of an unknown key finds nothing.
+Shards are cut from range partitions of the whole key and a hash of the value, so that
+neither a common prefix nor one hot key fills a partition. A partition is sorted by
+Spark (it spills) and written as it streams past, one shard at a time, so memory holds
+one shard, and no document is cut. A document larger than a shard is a shard of its own.
+
+Results for odd input: repeated keys are all kept, by a hash of their text and then by
+text; rows with equal key and text are kept as often as they occur; a null or empty
+text is kept as such; an empty table gives no shard; extra columns are left out. `get`
+of an unknown key finds nothing.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import need, slots
+from quire.llm.common import col, need, slots
 
 MAGIC = 0x53535451_00000001
 FOOTER = struct.Struct("<QQQQQII")
@@ -225,13 +226,11 @@ def build(docs: DataFrame, key: str = "doc_id", value: str = "text", config: Con
     """One row for each shard: its first and last key, counts and bytes."""
     need(docs, key, value)
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{value}`").alias("v"))
-    text_key = isinstance(rows.schema["k"].dataType, T.StringType)
-    if not text_key:
+    rows = docs.select(col(key).alias("k"), col(value).alias("v"))
+    if not isinstance(rows.schema["k"].dataType, T.StringType):
         rows = rows.withColumn("k", F.col("k").cast("bigint"))
-    n = parts or slots(spark)
-    rows = rows.withColumn("p", _ranges(rows, n, text_key)) if n > 1 else rows.withColumn("p", F.lit(0))
-    sent = rows.repartitionById(n, F.col("p")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("v").asc_nulls_first())
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("v")]
+    sent = rows.repartitionByRange(parts or slots(spark), *order).sortWithinPartitions(*order, F.col("v").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: Builder | None = None
@@ -254,26 +253,6 @@ def build(docs: DataFrame, key: str = "doc_id", value: str = "text", config: Con
     return sent.select("k", "v").mapInArrow(run, SCHEMA)
 
 
-def _ranges(rows: DataFrame, n: int, text_key: bool):
-    """The range partition of a key, by n-quantiles of the key column (nulls go first)."""
-    if text_key:
-        # quantiles of the first six bytes as a number keep the order of strings
-        number = F.conv(F.rpad(F.hex(F.substring(F.encode("k", "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("bigint")
-    else:
-        number = F.col("k")
-    cuts = rows.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return F.coalesce(_bisect(number, cuts, 0), F.lit(0))
-
-
-def _bisect(number, cuts: list[int], base: int):
-    """How many cuts are at most the number, as a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(base)
-    m = len(cuts) // 2
-    return F.when(number < F.lit(cuts[m]), _bisect(number, cuts[:m], base)).when(number.isNotNull(), _bisect(number, cuts[m + 1 :], base + m + 1))
-
-
 def lookup(shards: DataFrame, keys: list[int | str | None]) -> DataFrame:
     """(key, value) of the keys; shards whose range holds none of them are not read."""
     coded = sorted({key_of(k) for k in keys})
