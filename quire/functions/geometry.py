@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,30 +16,47 @@ def crop(rows: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.transform(F.slice(rows, y + 1, h), lambda r: F.slice(r, x + 1, w))
 
 
-def _cross(p: Column, f) -> Column:
-    """Sum of f(point, next point, cross product) around the polygon."""
-    n = F.size(p)
+def _around(p: Column, fields: dict[str, Column], step, finish=None) -> Column:
+    """One walk around the polygon: step(acc, ax, ay, bx, by) gives the fields after each edge, from the last point to the first and on."""
+    last = F.get(p, F.size(p) - 1)
+    zero = F.struct(last["x"].cast("double").alias("px"), last["y"].cast("double").alias("py"), *(c.alias(n) for n, c in fields.items()))
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = F.get(p, i), F.get(p, F.pmod(i + 1, n))
-        ax, ay, bx, by = (c.cast("double") for c in (a["x"], a["y"], b["x"], b["y"]))
-        return acc + f(ax, ay, bx, by, ax * by - bx * ay)
+    def merge(acc: Column, q: Column) -> Column:
+        x, y = q["x"].cast("double"), q["y"].cast("double")
+        made = step(acc, acc["px"], acc["py"], x, y)
+        return F.struct(x.alias("px"), y.alias("py"), *(made[n].alias(n) for n in fields))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), step)).otherwise(F.lit(0.0))
+    return F.aggregate(p, zero, merge, finish)
+
+
+def _moments(p: Column, finish) -> Column:
+    """finish of struct(a, mx, my): twice the signed area and six times the first moments."""
+
+    def step(acc: Column, ax: Column, ay: Column, bx: Column, by: Column) -> dict[str, Column]:
+        c = ax * by - bx * ay
+        return {"a": acc["a"] + c, "mx": acc["mx"] + (ax + bx) * c, "my": acc["my"] + (ay + by) * c}
+
+    return _around(p, {n: F.lit(0.0) for n in ("a", "mx", "my")}, step, finish)
 
 
 def signed_area(p: Column) -> Column:
-    return _cross(p, lambda ax, ay, bx, by, c: c) / 2
+    return _around(p, {"a": F.lit(0.0)}, lambda acc, ax, ay, bx, by: {"a": acc["a"] + (ax * by - bx * ay)}, lambda m: m["a"] / 2)
 
 
 def area(p: Column) -> Column:
     return F.abs(signed_area(p))
 
 
+def area_and_centroid(p: Column) -> Column:
+    """struct(area, x, y) from one walk; polygons without area give 0 or what the tiny divisor makes of them."""
+    m = lambda s: 6 * (s["a"] / 2 + 1e-32)
+    return _moments(p, lambda s: F.struct(F.abs(s["a"] / 2).alias("area"), (s["mx"] / m(s)).alias("x"), (s["my"] / m(s)).alias("y")))
+
+
 def centroid(p: Column) -> Column:
-    """struct(x, y); polygons without area give 0 or what the tiny divisor makes of them."""
-    m = signed_area(p) + 1e-32
-    return F.struct((_cross(p, lambda ax, ay, bx, by, c: (ax + bx) * c) / (6 * m)).alias("x"), (_cross(p, lambda ax, ay, bx, by, c: (ay + by) * c) / (6 * m)).alias("y"))
+    """struct(x, y); see area_and_centroid."""
+    c = area_and_centroid(p)
+    return F.struct(c["x"].alias("x"), c["y"].alias("y"))
 
 
 def bbox(p: Column) -> Column:
@@ -55,23 +72,13 @@ def y_at_left(p: Column) -> Column:
 
 def point_in_polygon(x: Column, y: Column, p: Column) -> Column:
     """1 inside, 0 on the edge, -1 outside."""
-    n = F.size(p)
-    steps = F.sequence(F.lit(0), n - 1)
-
-    def parts(i: Column) -> tuple[Column, ...]:
-        a, b = F.get(p, i), F.get(p, F.pmod(i + 1, n))
-        return tuple(c.cast("double") for c in (a["x"], a["y"], b["x"], b["y"]))
-
-    def on_edge(i: Column) -> Column:
-        ax, ay, bx, by = parts(i)
-        return ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
 
-    def crossed(i: Column) -> Column:
-        ax, ay, bx, by = parts(i)
-        return ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by == ay, F.lit(1.0)).otherwise(by - ay) + ax)
+    def step(acc: Column, ax: Column, ay: Column, bx: Column, by: Column) -> dict[str, Column]:
+        edge = ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+        crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.when(by == ay, F.lit(1.0)).otherwise(by - ay) + ax)
+        return {"odd": acc["odd"] != crossed, "edge": acc["edge"] | edge}
 
-    inside = F.pmod(F.size(F.filter(steps, crossed)), F.lit(2)) == 1
-    return F.when(n < 1, F.lit(-1)).when(F.exists(steps, on_edge), F.lit(0)).when(inside, F.lit(1)).otherwise(F.lit(-1))
+    return _around(p, {"odd": F.lit(False), "edge": F.lit(False)}, step, lambda s: F.when(s["edge"], F.lit(0)).when(s["odd"], F.lit(1)).otherwise(F.lit(-1)))
 
 
 def translate(p: Column, dx: Column, dy: Column) -> Column:
@@ -120,3 +127,9 @@ def largest_rotated(w: Column, h: Column, radians: Column) -> Column:
     w1 = F.when(half, F.when(wide, x / F.greatest(s, F.lit(1e-300))).otherwise(x / F.greatest(c, F.lit(1e-300)))).otherwise((w * c - h * s) / safe)
     h1 = F.when(half, F.when(wide, x / F.greatest(c, F.lit(1e-300))).otherwise(x / F.greatest(s, F.lit(1e-300)))).otherwise((h * c - w * s) / safe)
     return F.when((w <= 0) | (h <= 0), F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))).otherwise(F.struct(w1.alias("w"), h1.alias("h")))
+
+
+def by_area(df: DataFrame, poly: str, size: Column, least: float, most: float, parent: str | None = None) -> DataFrame:
+    """Rows whose polygon has at least three corners, no parent (if that column is given) and an area within shares of a size; with `area`."""
+    t = df.withColumn("area", area(F.col(poly))).where((F.size(poly) >= 3) & F.col("area").between(least * size, most * size))
+    return t if parent is None else t.where(F.col(parent).isNull())

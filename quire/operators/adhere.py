@@ -65,13 +65,13 @@ def region_confidence(regions: DataFrame, scores: DataFrame, keys: list[str], re
     return hit.groupBy(*keys, region).agg((F.sum(F.col("value") * F.col("__n")) / F.sum("__n")).alias("conf"))
 
 
-def main_bounds(profile: DataFrame, keys: list[str], distance: int = 30) -> DataFrame:
-    """(keys, left, right) of the main column of (keys, x, n): the deepest valley on each side of the middle, below a twentieth of the maximum; the page's ends without one."""
+def main_bounds(profile: DataFrame, keys: list[str], distance: int = 30, share: float = 0.05) -> DataFrame:
+    """(keys, left, right) of the main column of (keys, x, n): the deepest valley on each side of the middle, below a share of the maximum; the page's ends without one."""
     w = Window.partitionBy(*keys)
     near = w.orderBy("x").rangeBetween(-distance, distance)
     t = profile.withColumn("top", F.max("n").over(w)).withColumn("a", F.min("x").over(w)).withColumn("b", F.max("x").over(w)).withColumn("low", F.min("n").over(near))
     mid = (F.col("a") + F.col("b")) / 2
-    valley = (F.col("n") == F.col("low")) & (F.col("n") * 20 < F.col("top")) & (F.col("x") > F.col("a")) & (F.col("x") < F.col("b"))
+    valley = (F.col("n") == F.col("low")) & (F.col("n") < share * F.col("top")) & (F.col("x") > F.col("a")) & (F.col("x") < F.col("b"))
     left = F.max_by("x", F.when(valley & (F.col("x") < mid), F.struct((-F.col("n")).alias("n"), F.col("x"))))
     right = F.max_by("x", F.when(valley & (F.col("x") >= mid), F.struct((-F.col("n")).alias("n"), (-F.col("x")).alias("x"))))
     return t.groupBy(*keys).agg(F.coalesce(left, F.min("a")).alias("left"), F.coalesce(right, F.max("b")).alias("right"))

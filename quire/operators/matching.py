@@ -28,11 +28,16 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def match_boxes(regions: DataFrame, boxes: DataFrame, page: str = "page_id", centers: bool = False) -> DataFrame:
-    """regions(page, region_idx, x0, y0, x1, y1) with box_idx: the first box that holds the region (or its centre), else of the boxes that hold the centre the one with the nearest centre; null if none."""
-    b = boxes.select(page, "box_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+def match_boxes(regions: DataFrame, boxes: DataFrame, page: str = "page_id", centers: bool = False, grid: int = 256) -> DataFrame:
+    """regions(page, region_idx, x0, y0, x1, y1) with box_idx: the first box that holds the region (or its centre), else of the boxes that hold the centre the one with the nearest centre; null if none.
+
+    A box that holds a region holds its centre, so regions meet boxes on the grid rows of their centres.
+    """
+    b = boxes.select(page, "box_idx", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1")).where("bx0 < bx1 and by0 < by1")
+    b = with_cells(b, "by0", "by1", grid)
     cx, cy = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
-    both = regions.withColumn("cx", cx).withColumn("cy", cy).join(b, page, "left")
+    r = regions.withColumn("cx", cx).withColumn("cy", cy).withColumn("cell", F.floor(F.col("cy") / grid))
+    both = r.join(b, [page, "cell"], "left")
     holds = lambda x0, y0, x1, y1: (F.col("bx0") <= x0) & (x1 < F.col("bx1")) & (F.col("by0") <= y0) & (y1 < F.col("by1"))
     whole = F.lit(False) if centers else holds(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     middle = holds(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy"))
@@ -51,14 +56,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, page: str = "page
     return near.where(point_in_polygon(F.col("x"), F.col("y"), F.col("poly")) >= (0 if edge else 1)).drop("cell", "bb")
 
 
-def without_inside(df: DataFrame, low: str, high: str, keys: list[str], row: str) -> DataFrame:
-    """Rows whose interval lies in no longer interval of the same keys."""
-    o = df.select(*keys, F.col(low).alias("__l"), F.col(high).alias("__h"), F.col(row).alias("__r"))
-    inside = (F.col("__l") <= F.col(low)) & (F.col(high) <= F.col("__h")) & (F.col("__h") - F.col("__l") > F.col(high) - F.col(low)) & (F.col("__r") != F.col(row))
-    cond = inside
-    for k in keys:
-        cond = cond & df[k].eqNullSafe(o[k])
-    return df.join(o, cond, "left_anti")
+def without_inside(df: DataFrame, low: str, high: str, keys: list[str]) -> DataFrame:
+    """Rows whose interval lies in no longer interval of the same keys.
+
+    By rising start and falling end, an interval that holds another comes before it, and
+    equal ones stand together: the furthest end before tells, no pairs are made.
+    """
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(low, F.col(high).desc()))
+    before = F.max(high).over(Window.partitionBy(*keys).orderBy("__n").rangeBetween(Window.unboundedPreceding, -1))
+    t = df.withColumn("__n", place).withColumn("__b", before)
+    return t.where(F.col("__b").isNull() | (F.col("__b") < F.col(high)) | F.col(low).isNull() | F.col(high).isNull()).drop("__n", "__b")
 
 
 def with_children(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,8 +81,8 @@ def skip_existing(work: DataFrame, done: DataFrame, keys: list[str], overwrite:
 def nearest(left: DataFrame, right: DataFrame, at: str, to: str, row: str, keys: list[str]) -> DataFrame:
     """left with the right row of equal keys whose `to` is nearest to `at`; ties go to the smaller `row`.
 
-    One sort of both sides by key and value finds the neighbours below and above;
-    no pairs are made.
+    Sorts of both sides by key and value, up and down, find the neighbours below and
+    above; no pairs are made.
     """
     tag = F.struct(F.col(to).alias("v"), F.col(row).alias("r"))
     r = right.groupBy(*keys, to).agg(F.min(row).alias(row))  # of equal values only the smallest row can be nearest
@@ -84,7 +91,8 @@ def nearest(left: DataFrame, right: DataFrame, at: str, to: str, row: str, keys:
     )
     w = Window.partitionBy(*keys).orderBy("__at")
     below = F.last("__t", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("__t", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # downwards, so that this frame grows from row to row too
+    above = F.last("__t", True).over(Window.partitionBy(*keys).orderBy(F.col("__at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     found = both.withColumn("__b", below).withColumn("__a", above).where("__t is null")
     d = lambda c: F.abs(F.col(f"{c}.v") - F.col("__at"))
     pick = F.when(F.col("__b").isNull(), F.col("__a")).when(F.col("__a").isNull(), F.col("__b")).when(
@@ -93,6 +101,28 @@ def nearest(left: DataFrame, right: DataFrame, at: str, to: str, row: str, keys:
     return found.withColumn("__p", pick).select(*left.columns, F.col("__p.r").alias(row), F.col("__p.v").alias(to))
 
 
+def by_rank(left: DataFrame, right: DataFrame, keys: list[str], size: str, to_size: str, row: str, to_row: str, rank: str = "k") -> DataFrame:
+    """Rows of equal keys paired by rank of size (largest first, ties by row): the prefix that both sides have."""
+    n = lambda v, r: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(v).desc(), r)).cast("bigint")
+    return left.withColumn(rank, n(size, row)).join(right.withColumn(rank, n(to_size, to_row)), [*keys, rank])
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, d) of two sides (keys, idx, cx, cy, area): pairs in rising distance until every row of both sides has one.
+
+    Pairs are only ever added in rising distance, so the result is a prefix of them; it
+    ends where the last row of either side is first met. Ties go by i, then j.
+    """
+    p = a.select(*keys, F.col("idx").alias("i"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("area").alias("aa"))
+    q = b.select(*keys, F.col("idx").alias("j"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("area").alias("ba"))
+    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) + F.pow(F.col("aa") - F.col("ba"), 2))
+    both = p.join(q, keys).select(*keys, "i", "j", F.round(d, 9).alias("d"))  # the shapes of one page
+    place = both.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("d", "i", "j")))
+    met = lambda c: F.min("n").over(Window.partitionBy(*keys, c))
+    t = place.withColumn("m", F.greatest(met("i"), met("j")))
+    return t.withColumn("last", F.max("m").over(Window.partitionBy(*keys))).where("n <= last").select(*keys, "i", "j", "d")
+
+
 def main_or_head(main: Column, head: Column, w: Column, h: Column) -> Column:
     """Whether a region is a heading by its share of heading pixels and its shape."""
     return ((head >= 0.6 * main) & (w >= 1.3 * h) & (w <= 3 * h)) | ((head >= 0.3 * main) & (w >= 3 * h))
@@ -111,3 +141,10 @@ def robust_mean(df: DataFrame, keys: list[str], ratio: str, angle: str, least: f
     long = df.where(F.col(ratio) > least).withColumn("m", F.median(ratio).over(w)).where((F.col(ratio) >= 0.67 * F.col("m")) & (F.col(ratio) <= 1.33 * F.col("m")))
     dev = long.withColumn("med", F.median(angle).over(w)).withColumn("dev", F.round(F.abs(F.col(angle) - F.col("med")), 9)).withColumn("mad", F.median("dev").over(w))
     return dev.where("dev <= 2 * mad").groupBy(*keys).agg(F.avg(angle).alias("slope"))
+
+
+def slopes(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) -> DataFrame:
+    """(keys, n, slope, r2, stderr) of a regression of y on x for keys with more than `least` rows."""
+    t = df.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("__x"), F.regr_syy(y, x).alias("__y"))
+    error = F.sqrt(F.try_divide((1 - F.col("r2")) * F.col("__y"), F.col("__x") * (F.col("n") - 2)))
+    return t.where(F.col("n") > least).withColumn("stderr", error).drop("__x", "__y")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, truth, pred, n)."""
-    return df.groupBy(*(keys or []), truth, pred).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, truth, pred, n): rows, or the sum of their weights (pixels counted before)."""
+    return df.groupBy(*(keys or []), truth, pred).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
 
 def normalised(cm: DataFrame, truth: str, pred: str, mode: str = "all") -> DataFrame:
@@ -18,10 +18,10 @@ def normalised(cm: DataFrame, truth: str, pred: str, mode: str = "all") -> DataF
     return cm.withColumn("share", share)
 
 
-def per_class(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:
+def per_class(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, cls, tp, fp, fn, iou, dice) for each class that occurs, from one pass over the rows."""
     keys = keys or []
-    n = confusion(df, truth, pred, keys)
+    n = confusion(df, truth, pred, keys, weight)
     sides = n.select(*keys, "n", F.explode(F.array(F.struct(F.col(truth).alias("cls"), F.lit(0).alias("side")), F.struct(F.col(pred).alias("cls"), F.lit(1).alias("side")))).alias("s"), (F.col(truth) == F.col(pred)).alias("hit"))
     t = sides.groupBy(*keys, F.col("s.cls").alias("cls")).agg(
         F.sum(F.when(F.col("hit") & (F.col("s.side") == 0), F.col("n")).otherwise(0)).alias("tp"),
@@ -31,9 +31,9 @@ def per_class(df: DataFrame, truth: str, pred: str, keys: list[str] | None = Non
     return t.withColumn("iou", F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn"))).withColumn("dice", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-def mean_iou(df: DataFrame, truth: str, pred: str) -> DataFrame:
+def mean_iou(df: DataFrame, truth: str, pred: str, weight: str | None = None) -> DataFrame:
     """(mean_iou) over all classes that occur in the truth."""
-    return per_class(df, truth, pred).where("tp + fn > 0").agg(F.avg("iou").alias("mean_iou"))
+    return per_class(df, truth, pred, weight=weight).where("tp + fn > 0").agg(F.avg("iou").alias("mean_iou"))
 
 
 def image_metric(df: DataFrame, truth: str, pred: str, image: str, metric: str = "iou", smooth: float = 0.001) -> DataFrame:
@@ -73,3 +73,17 @@ def otsu(hist: DataFrame, value: str, n: str = "n") -> DataFrame:
     d = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0"))
     between = F.col("w0") * (F.col("w") - F.col("w0")) * d * d
     return t.withColumn("b", F.round(between / (F.col("w") * F.col("w")), 6)).agg(F.max_by(F.col(value), F.struct("b", (-F.col(value)).alias("v"))).alias("threshold"))
+
+
+def _as_characters(words: Column, all_: Column) -> Column:
+    """Words as characters from U+0100 on, by their place in a list."""
+    code = lambda w: F.lpad(F.hex(F.array_position(all_, w) + 256), 4, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
+
+
+def line_rates(df: DataFrame, truth: Column, read: Column, keys: list[str]) -> DataFrame:
+    """(keys, edits, chars, cer, word_edits, words, wer): edits of characters and of blank-separated words against the truth's number of each; lines of fewer than 50 000 different words."""
+    t = df.select(*keys, truth.alias("__t"), read.alias("__r"), F.split(truth, " ").alias("__a"), F.split(read, " ").alias("__b")).withColumn("__d", F.array_distinct(F.concat("__a", "__b")))
+    t = t.withColumn("word_edits", F.levenshtein(_as_characters(F.col("__a"), F.col("__d")), _as_characters(F.col("__b"), F.col("__d"))).cast("bigint"))
+    edits, chars, words = F.levenshtein("__t", "__r").cast("bigint"), F.length("__t").cast("bigint"), F.size("__a").cast("bigint")
+    return t.select(*keys, edits.alias("edits"), chars.alias("chars"), F.round(F.try_divide(edits, chars), 6).alias("cer"), "word_edits", words.alias("words"), F.round(F.try_divide(F.col("word_edits"), words), 6).alias("wer"))

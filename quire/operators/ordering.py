@@ -75,7 +75,7 @@ def merge_halves(df: DataFrame, keys: list[str], row: str) -> DataFrame:
 
 
 def pairwise_order(n: int, before: Callable[[int, int], float]) -> list[int]:
-    """Quicksort with the first item as pivot; before(i, pivot) of 0.5 or more puts i after the pivot."""
+    """Quicksort with the first item as pivot; before(pivot, i) of 0.5 or more puts i after the pivot."""
     done: list[int] = []
     todo = [list(range(n))]
     while todo:
@@ -90,7 +90,7 @@ def pairwise_order(n: int, before: Callable[[int, int], float]) -> list[int]:
 
 
 def xy_cut(boxes: np.ndarray, gap: int = 1) -> list[int]:
-    """Order of boxes (x0, y0, x1, y1): cut at the widest empty band across, else between columns, else by y and x."""
+    """Order of boxes (x0, y0, x1, y1): cut at every empty band across, else between all columns, each part again; else by y and x."""
     order: list[int] = []
 
     def gaps(low: np.ndarray, high: np.ndarray) -> list[float]:

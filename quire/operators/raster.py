@@ -155,13 +155,15 @@ def skew_angle(mask: np.ndarray, angles: np.ndarray | None = None, sigma: float
     m = (mask[..., 0] if mask.ndim == 3 else mask) > 0
     if not m.any():
         return 0.0
-    side = int(1.1 * max(m.shape))
-    canvas = np.zeros((side, side), np.uint8)
-    y, x = (side - m.shape[0]) // 2, (side - m.shape[1]) // 2
-    canvas[y : y + m.shape[0], x : x + m.shape[1]] = m * 255
+    side = int(np.ceil(1.1 * np.hypot(*m.shape))) + 2
+    y, x = np.nonzero(m)
+    y, x = y - (m.shape[0] - 1) / 2, x - (m.shape[1] - 1) / 2
 
     def best(tried: np.ndarray) -> float:
-        spread = [smooth((turn(canvas, float(t)) > 127).sum(1), sigma).std() for t in tried]
+        spread = []
+        for t in np.deg2rad(tried):  # where each pixel of ink lies after the turn; no image is made
+            row = np.rint(np.cos(t) * y - np.sin(t) * x + side / 2).astype(np.int64)
+            spread.append(smooth(np.bincount(row, minlength=side), sigma).std())
         return float(tried[int(np.argmax(spread))]) if max(spread) > 0 else 0.0
 
     if angles is None:
@@ -244,6 +246,41 @@ def to_runs(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, column).mapInArrow(run, schema)
 
 
+def from_runs(runs: DataFrame, keys: list[str], h: int, w: int, label: str | None = None) -> DataFrame:
+    """(keys, image) of h x w: runs (keys, y, x0, x1) painted in 255 or their label; what lies outside is cut off."""
+    from quire.operators.grouped import by_key
+
+    kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])
+
+    def kernel(t: pa.Table) -> pa.Table:
+        a = np.zeros((h, w), np.uint8)
+        cols = [t.column(c).to_pylist() for c in ("y", "x0", "x1", *([label] if label else []))]
+        for y, x0, x1, *k in zip(*cols):
+            if 0 <= y < h:
+                a[y, max(0, x0) : max(0, x1)] = k[0] if k else 255
+        return t.slice(0, 1).select(keys).append_column("image", pa.array([pack(a)], kind))
+
+    schema = T.StructType([*(runs.schema[k] for k in keys), T.StructField("image", IMAGE)])
+    return by_key(runs.select(*keys, "y", "x0", "x1", *([label] if label else [])), keys, ["y", "x0"], kernel, schema)
+
+
+def pair_counts(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """(keys, a, b, n): how often two label images of a row have which labels at one pixel; the second is brought to the size of the first."""
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in (a, b)] + [T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (u, v) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                if u is None or v is None:
+                    continue
+                x = unpack(u)[..., 0]
+                pair, n = np.unique(x.astype(np.int32) * 256 + resize(unpack(v)[..., 0], *x.shape), return_counts=True)
+                row = pa.array(np.full(len(n), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keys))), pa.array(pair // 256, pa.int32()), pa.array(pair % 256, pa.int32()), pa.array(n)], names=schema.names)
+
+    return df.select(*keys, a, b).mapInArrow(run, schema)
+
+
 def from_raw(df: DataFrame, data: str, h: str, w: str, c: str, out: str = "image") -> DataFrame:
     """An image column from raw bytes and sizes."""
     return df.withColumn(out, F.struct(F.col(h).cast("int").alias("h"), F.col(w).cast("int").alias("w"), F.col(c).cast("int").alias("c"), F.col(data).alias("data")))

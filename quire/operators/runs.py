@@ -1,15 +1,21 @@
 """Masks as runs (keys, y, x0, x1, label), x half open: algebra without pixels.
 
-Every operator keeps work local to (keys, y), so a mask of any size is spread over
-its rows; only components follow neighbours across rows.
+Operators keep work local to (keys, y), so a mask of any size is spread over its rows;
+only components follow neighbours across rows, page by page or spread.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.operators.grouped import by_key, local_roots
 
 
 def area(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,14 +129,55 @@ def paint(layers: list[tuple[int, DataFrame]], keys: list[str]) -> DataFrame:
     return out
 
 
+def touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, corners: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of neighbouring rows that touch; runs are sorted by y and x0."""
+    n = len(y)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    y, x0, x1 = (v.astype(np.int64) for v in (y, x0, x1))
+    low = min(int(x0.min()), int(x1.min()))
+    x0, x1, y = x0 - low, x1 - low, y - int(y.min())
+    wide = int(max(x0.max(), x1.max())) + 2
+    far = np.maximum.accumulate(y * wide + x1)  # the furthest end so far in each row
+    first = np.searchsorted(far, (y + 1) * wide + x0, "left" if corners else "right")
+    first = np.maximum(first, np.searchsorted(y, y + 1, "left"))
+    stop = np.searchsorted(y * wide + x0, (y + 1) * wide + x1, "right" if corners else "left")
+    count = np.maximum(stop - first, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    ok = x1[b] >= x0[a] if corners else x1[b] > x0[a]
+    return a[ok], b[ok]
+
+
 def components(runs: DataFrame, keys: list[str], corners: bool = True) -> DataFrame:
     """Runs with `comp`, the smallest run number of its component (numbers by y, x0 in each key).
 
-    Runs of neighbouring rows that touch are edges. In each round a run takes the lowest
-    label of its neighbours, hands it to the run its label names, and everything with that
-    label follows: labels meet as whole groups, so rounds grow with the logarithm of a
-    component's length. It goes on until nothing changes. Each round is checkpointed: lost
-    executors lose nothing.
+    Runs of neighbouring rows that touch belong together. One exchange by the keys (a
+    page, a label of it), then union-find over each key's runs where they are; a mask
+    that is too large for one task goes to `components_spread`.
+    """
+    out = T.StructType([*(runs.schema[k] for k in keys), *(T.StructField(c, T.IntegerType()) for c in ("y", "x0", "x1", "comp"))])
+
+    def kernel(t: pa.Table) -> pa.Table:
+        y, x0, x1 = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        one = np.append(True, (y[1:] != y[:-1]) | (x0[1:] != x0[:-1]) | (x1[1:] != x1[:-1]))
+        y, x0, x1 = y[one], x0[one], x1[one]
+        comp = local_roots(len(y), *touching(y, x0, x1, corners)) + 1
+        rows = t.slice(0, 1).select(keys).take(pa.array(np.zeros(len(y), np.int64)))
+        for c, v in zip(("y", "x0", "x1", "comp"), (y, x0, x1, comp)):
+            rows = rows.append_column(c, pa.array(v.astype(np.int32)))
+        return rows
+
+    return by_key(runs.select(*keys, "y", "x0", "x1"), keys, ["y", "x0", "x1"], kernel, out)
+
+
+def components_spread(runs: DataFrame, keys: list[str], corners: bool = True) -> DataFrame:
+    """As `components`, for masks of any size: nothing but neighbours need meet in a task.
+
+    In each round a run takes the lowest label of its neighbours, hands it to the run its
+    label names, and everything with that label follows: labels meet as whole groups, so
+    rounds grow with the logarithm of a component's length. It goes on until nothing
+    changes. Each round is checkpointed: lost executors lose nothing.
     """
     w = Window.partitionBy(*keys).orderBy("y", "x0", "x1")
     t = runs.select(*keys, "y", "x0", "x1").distinct().withColumn("run", F.row_number().over(w)).transform(_kept)
@@ -158,7 +205,7 @@ def _kept(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if at is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
