@@ -10,21 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import scores
 from quire.functions.geometry import bbox
-from quire.operators import inference, matching, ordering, raster, runs
+from quire.operators import inference, ordering, polygons, raster, regions
 from quire.sources import pages
 
-LABELS = {1: "paragraph", 2: "heading", 3: "marginalia-left", 4: "image", 5: "separator", 6: "table"}
-
-
-def _rect(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1"):
-    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1))
-
 
 def binarize(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None) -> DataFrame:
     """(page_id, name, image): ink black on white."""
@@ -43,26 +38,34 @@ def enhance(images: DataFrame, zoo: inference.Registry) -> DataFrame:
 
 
 def regions_of(images: DataFrame, zoo: inference.Registry, min_share: float = 0.0002, tile: tuple[int, int] | None = None) -> DataFrame:
-    """(page_id, region_idx, kind, x0, y0, x1, y1, area, conf, poly): components of each label that cover at least a share of the page."""
-    seg = inference.segment(images, "image", zoo.loader("region"), ["page_id", "name"], tile)
-    found = raster.to_runs(seg, "label", ["page_id"])
-    size = seg.select("page_id", (F.col("label.h") * F.col("label.w")).alias("size"))
-    parts = runs.component_boxes(runs.components(found, ["page_id", "label"]), ["page_id", "label"]).join(size, "page_id").where(F.col("area") >= min_share * F.col("size"))
-    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v)]), F.col("label"))
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("label", "y0", "x0", "comp"))
-    return parts.select("page_id", n.alias("region_idx"), F.coalesce(kind, F.lit("paragraph")).alias("kind"), "x0", "y0", "x1", "y1", "area", F.lit(None).cast("double").alias("conf"), _rect().alias("poly"))
-
-
-def lines_of(images: DataFrame, regions: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None) -> DataFrame:
-    """(page_id, region_idx, line_idx, x0, y0, x1, y1, poly): text lines whose centre lies in a text region, in order."""
-    seg = inference.segment(images, "image", zoo.loader("textline"), ["page_id"], tile)
-    found = runs.component_boxes(runs.components(raster.to_runs(seg, "label", ["page_id"]).where("label = 1"), ["page_id"]), ["page_id"])
-    at = found.withColumn("x", (F.col("x0") + F.col("x1")) / 2).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
-    text = regions.where(~F.col("kind").isin("image", "separator", "table")).select("page_id", "region_idx", F.col("poly").alias("poly"))
-    inside = matching.points_in_polygons(at, text, edge=False)
-    own = matching.first_by(inside, ["page_id", "comp"], [F.col("region_idx")])
-    n = F.row_number().over(Window.partitionBy("page_id", "region_idx").orderBy("y", "x", "comp")) - 1
-    return own.select("page_id", "region_idx", n.alias("line_idx"), "x0", "y0", "x1", "y1", _rect().alias("poly"))
+    """(page_id, region_idx, kind, x0, y0, x1, y1, area, conf, poly): components of each label that cover at least a share of the page, with their outlines."""
+    seg = inference.segment(images, "image", zoo.loader("region"), ["page_id"], tile)
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in regions.KINDS.items() for x in (k, v)]), F.col("label"))
+    return regions.found(seg, ["page_id"], min_share).withColumn("kind", F.coalesce(kind, F.lit("paragraph"))).select("page_id", "region_idx", "kind", "x0", "y0", "x1", "y1", "area", "conf", "poly")
+
+
+def analysed(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None, min_share: float = 0.0002, right_to_left: bool = False, angles: list[float] | None = None) -> DataFrame:
+    """(page_id, name, h, w, num_col, slope, border, regions with their lines): all models of a page where it is, nothing shuffled.
+
+    Needs the models `region` and `textline`; `page` (frame), `col_classifier` and
+    `reading_order` are used where the registry has them.
+    """
+    keys = ["page_id", "name"]
+    t = inference.segment(images, "image", zoo.loader("region"), [*keys, "image"], tile)
+    t = inference.segment(t, "image", zoo.loader("textline"), [*keys, "image", F.col("label").alias("r"), F.col("conf").alias("c")], tile).withColumnRenamed("label", "line").drop("conf")
+    t = t.withColumnRenamed("r", "label").withColumnRenamed("c", "conf")
+    have = {c for c, _ in zoo.specs}
+    if "page" in have:
+        t = inference.segment(t, "image", zoo.loader("page"), [*keys, "image", F.col("label").alias("r"), F.col("conf").alias("c"), "line"]).withColumnRenamed("label", "page").drop("conf")
+        t = t.withColumnRenamed("r", "label").withColumnRenamed("c", "conf")
+    else:
+        t = t.withColumn("page", F.lit(None).cast(raster.IMAGE))
+    if "col_classifier" in have:
+        got = inference.classify(t, "image", zoo.loader("col_classifier"), [*keys, "label", "conf", "line", "page"], (448, 448))
+        t = got.withColumn("expected", scores.column_class(F.col("scores"))["num_col"].cast("int"))
+    else:
+        t = t.withColumn("expected", F.lit(None).cast("int"))
+    return regions.layout(t, keys, zoo.loader("reading_order") if "reading_order" in have else None, min_share, right_to_left, None if angles is None else np.array(angles))
 
 
 def crop_boxes(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,15 +87,15 @@ def crop_boxes(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFram
     return both.select("page_id", "image", "boxes").mapInArrow(run, schema)
 
 
-def layout(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None) -> DataFrame:
-    """(page_id, name, xml): regions, lines and reading order of each page as PAGE-XML."""
-    r = regions_of(images, zoo, tile=tile)
-    lines = lines_of(images, r, zoo, tile)
-    text = r.where(~F.col("kind").isin("image", "separator", "table"))
-    kept = matching.with_children(text, lines, ["page_id", "region_idx"]).unionByName(r.where(F.col("kind").isin("image", "separator", "table")))
-    order = ordering.xy_cut_order(kept.where("kind in ('paragraph', 'heading')"))
-    page = images.select("page_id", "name", F.col("image.h").alias("h"), F.col("image.w").alias("w"), F.lit(1).alias("num_col"), F.lit(0.0).alias("slope"))
-    return pages.write_page_xml(page, kept.join(order, ["page_id", "region_idx"], "left"), lines.withColumn("text", F.lit(None).cast("string")).withColumn("conf", F.lit(None).cast("double")))
+def layout(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None, right_to_left: bool = False, angles: list[float] | None = None) -> DataFrame:
+    """(page_id, name, xml): frame, regions, lines, slopes and reading order of each page as PAGE-XML.
+
+    The pages' analysis is persisted, since regions and lines are both read from it.
+    """
+    done = analysed(images, zoo, tile, right_to_left=right_to_left, angles=angles).persist(StorageLevel.MEMORY_AND_DISK)
+    found = done.select("page_id", F.inline("regions"))
+    listed = found.select("page_id", "region_idx", F.inline("lines")).select("page_id", "region_idx", "line_idx", "poly", F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("conf"))
+    return pages.write_page_xml(done.drop("regions"), found.select("page_id", "region_idx", "kind", "ord", "conf", "slope", "poly"), listed)
 
 
 def ocr(images: DataFrame, xmls: DataFrame, zoo: inference.Registry, charset: list[str], least: float = 0.3) -> DataFrame:
@@ -118,6 +121,43 @@ def reading_order(xmls: DataFrame) -> DataFrame:
     return ordering.xy_cut_order(b, "page_id", "id")
 
 
+def reading_order_by_model(xmls: DataFrame, zoo: inference.Registry, sizes: tuple[int, int] = (672, 448)) -> DataFrame:
+    """(page_id, id, ord) of the paragraphs and headings of PAGE-XML (page_id, xml), by the pairwise model `reading_order`."""
+    parsed = pages.parse_page(xmls)
+    r = pages.regions(parsed, ["page_id"]).where(F.col("poly").isNotNull())
+    label = F.element_at(F.create_map(*[F.lit(x) for k, v in pages.LABELS.items() for x in (k, v)]), F.col("kind"))
+    listed = r.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(label, F.lit(0)).alias("label"), "id", "kind", "poly"))).alias("regions"))
+    both = pages.frame(parsed, ["page_id"]).select("page_id", "w", "h").join(listed, "page_id")
+    load, schema = zoo.loader("reading_order"), f"page_id {dict(xmls.dtypes)['page_id']}, id string, ord int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for b in batches:
+            for i, (w, h, own) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
+                a = np.zeros((h, w), np.uint8)
+                for q in own:  # ascending labels: later ones are painted over earlier ones
+                    a[polygons.fill([[(p["x"], p["y"]) for p in q["poly"]]], (0, w, 0, h))] = q["label"]
+                main = [q for q in own if q["kind"] in ("paragraph", "heading", "header")]
+                order = regions.order_by_model(a, [[(p["x"], p["y"]) for p in q["poly"]] for q in main], model, sizes)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(order), pa.int64())), pa.array([main[k]["id"] for k in order], pa.string()), pa.array(range(len(order)), pa.int32())], names=["page_id", "id", "ord"])
+
+    return both.mapInArrow(run, schema)
+
+
+def with_order(xmls: DataFrame, order: DataFrame) -> DataFrame:
+    """PAGE-XML (page_id, xml) with its ReadingOrder replaced by (page_id, id, ord), after the frame if there is one."""
+    ref = F.concat(F.lit('<RegionRefIndexed index="'), F.col("s.k").cast("string"), F.lit('" regionRef="'), F.col("s.id"), F.lit('"/>'))
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1
+    refs = order.withColumn("s", F.struct(n.alias("k"), "id")).withColumn("x", ref)
+    group = refs.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s.k", "x"))), lambda r: r["x"]), "").alias("__refs"))
+    new = F.concat(F.lit('<ReadingOrder><OrderedGroup id="reading_order">'), "__refs", F.lit("</OrderedGroup></ReadingOrder>"))
+    bare = F.regexp_replace("xml", r"(?s)\s*<(\w+:)?ReadingOrder[ >/].*?</(\w+:)?ReadingOrder>", "")
+    head = r"(?s)(<(?:\w+:)?Page\b[^>]*>(?:\s*(?:<(?:\w+:)?AlternativeImage\b[^>]*>|<(?:\w+:)?(?:Border|PrintSpace)\b[^>]*>.*?</(?:\w+:)?(?:Border|PrintSpace)>))*)"
+    at = F.length(F.regexp_substr(bare, F.lit(r"(?s)^.*?" + head)))
+    xml = F.when(F.col("__refs").isNull(), F.col("xml")).otherwise(F.concat(F.substr(bare, F.lit(1), at), new, F.substr(bare, at + 1)))
+    return xmls.join(group, "page_id", "left").withColumn("xml", xml).drop("__refs")
+
+
 def extract_images(images: DataFrame, zoo: inference.Registry, least: int = 150) -> DataFrame:
     """(page_id, region_idx, image): image regions at least so high and wide."""
     r = regions_of(images, zoo).where("kind = 'image'").where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,13 +64,16 @@ class Registry:
         return spark.createDataFrame(rows, "category string, variant string, filename string, dist_url string, type string, help string")
 
 
-def segment(df: DataFrame, column: str, load: Callable[[], Model], keys: list[str], tile: tuple[int, int] | None = None, margin: float = 0.1, batch: int = 4) -> DataFrame:
+def segment(df: DataFrame, column: str, load: Callable[[], Model], keys: list[str | Column], tile: tuple[int, int] | None = None, margin: float = 0.1, batch: int = 4) -> DataFrame:
     """(keys, label, conf): label raster by the best class and its score in 1/255, at the image's size.
 
     Without a tile the image goes in whole; with one, tiles overlap by the margin and
     their scores are blended by sigmoid weights.
     """
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("label", raster.IMAGE), T.StructField("conf", raster.IMAGE)])
+    kept = df.select(*keys)
+    df, keys = df.select(*keys, F.col(column).alias("__image")), kept.columns
+    column = "__image"
+    schema = T.StructType([kept.schema[k] for k in keys] + [T.StructField("label", raster.IMAGE), T.StructField("conf", raster.IMAGE)])
     kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])
 
     def scores(model: Model, a: np.ndarray) -> np.ndarray:
@@ -105,7 +108,7 @@ def segment(df: DataFrame, column: str, load: Callable[[], Model], keys: list[st
                 confs.append(raster.pack(np.clip(np.rint(p.max(-1) * 255), 0, 255)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in keys), pa.array(labels, kind), pa.array(confs, kind)], names=schema.names)
 
-    return df.select(*keys, column).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def classify(df: DataFrame, column: str, load: Callable[[], Model], keys: list[str], size: tuple[int, int], batch: int = 8) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Reading and writing pages: file scans, PAGE-XML in and out, rasters, HTML pages."""
+"""Reading and writing pages: file scans, PAGE-XML in and out, one file a page, HTML pages."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +96,7 @@ def _escape(c: Column) -> Column:
 def write_page_xml(pages: DataFrame, region_rows: DataFrame, line_rows: DataFrame, created: Column | None = None) -> DataFrame:
     """(page_id, name, xml) of pages(page_id, name, h, w, num_col, slope), regions(page_id, region_idx, kind, ord, conf, poly) and lines(page_id, region_idx, line_idx, poly, text, conf).
 
-    Regions stand by kind, then by index, and get ids in that order; the reading
+    Pages may have a `border` polygon, regions a `slope`. Regions stand by kind, then by index, and get ids in that order; the reading
     order has left marginals, text by `ord`, right marginals.
     """
     coords = lambda p, c=None: F.concat(F.lit('<Coords points="'), points_string(p), F.lit('"'), F.coalesce(F.concat(F.lit(' conf="'), conf_string(c), F.lit('"')), F.lit("")) if c is not None else F.lit(""), F.lit("/>"))
@@ -111,7 +115,8 @@ def write_page_xml(pages: DataFrame, region_rows: DataFrame, line_rows: DataFram
     tag = F.when(F.col("rank") <= 5, "TextRegion").when(F.col("rank") == 6, "ImageRegion").when(F.col("rank") == 7, "SeparatorRegion").otherwise("TableRegion")
     kind = F.when(F.col("rank") <= 5, F.concat(F.lit(' type="'), F.regexp_replace("kind", "-(left|right)$", ""), F.lit('"'))).otherwise(F.lit(""))
     r = numbered.join(per_region, ["page_id", "region_idx"], "left").withColumn("tag", tag)
-    r = r.withColumn("x", F.concat(F.lit("<"), "tag", F.lit(' id="'), region_id(F.col("n")), F.lit('"'), kind, F.lit(">"), coords(F.col("poly"), F.col("conf")), F.coalesce("lines", F.lit("")), F.lit("</"), "tag", F.lit(">")))
+    turn = F.when((F.col("rank") <= 5) & F.col("slope").isNotNull(), F.concat(F.lit(' orientation="'), (-F.col("slope")).cast("string"), F.lit('"'))) if "slope" in region_rows.columns else F.lit(None)
+    r = r.withColumn("x", F.concat(F.lit("<"), "tag", F.lit(' id="'), region_id(F.col("n")), F.lit('"'), kind, F.coalesce(turn, F.lit("")), F.lit(">"), coords(F.col("poly"), F.col("conf")), F.coalesce("lines", F.lit("")), F.lit("</"), "tag", F.lit(">")))
     side = F.when(F.col("rank") == 4, 0).when(F.col("rank") <= 3, 1).when(F.col("rank") == 5, 2)
     body = r.withColumn("side", side).groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n", "x"))), lambda s: s["x"]), "").alias("body"),
@@ -123,31 +128,63 @@ def write_page_xml(pages: DataFrame, region_rows: DataFrame, line_rows: DataFram
     xml = F.concat(
         F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}"><Metadata><Creator>quire</Creator><Created>'), stamp, F.lit("</Created><LastChange>"), stamp, F.lit("</LastChange><Comments>num_col "), F.col("num_col").cast("string"), F.lit("</Comments></Metadata><Page imageFilename=\""),
         _escape(F.col("name")), F.lit('" imageWidth="'), F.col("w").cast("string"), F.lit('" imageHeight="'), F.col("h").cast("string"), F.lit('" readingDirection="left-to-right" textLineOrder="top-to-bottom" orientation="'), (-F.col("slope")).cast("string"), F.lit('" custom="layout {num_col:'), F.col("num_col").cast("string"), F.lit(';}">'),
+        F.coalesce(F.when(F.size("border") > 0, F.concat(F.lit("<Border>"), coords(F.col("border")), F.lit("</Border>"))), F.lit("")) if "border" in pages.columns else F.lit(""),
         F.when(F.size("refs") > 0, F.concat(F.lit('<ReadingOrder><OrderedGroup id="reading_order">'), ref, F.lit("</OrderedGroup></ReadingOrder>"))).otherwise(F.lit("")), F.coalesce("body", F.lit("")), F.lit("</Page></PcGts>"),
     )
     return p.select("page_id", "name", xml.alias("xml"))
 
 
-def save_pages(df: DataFrame, folder: str, name: str = "name", content: str = "xml", overwrite: bool = False) -> None:
-    """One document a row, partitioned by stem; names that are there are skipped unless overwritten."""
+def written_stems(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(stem) of the files in a folder; null where there is none yet. No content is read."""
+    try:
+        return spark.read.format("binaryFile").load(folder).select(stem(F.col("path")).alias("stem")).distinct()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def save_files(df: DataFrame, folder: str, name: str = "name", content: str = "xml", suffix: str = ".xml", overwrite: bool = False) -> int:
+    """Writes the content of each row to folder/stem.suffix, whole or not at all, and tells how many; names that are there are skipped unless overwritten.
+
+    Files are written where the rows are, to a path or URI that all executors see, under a
+    name of the attempt's own first, so that a task that is run again does no harm.
+    """
     t = df.select(stem(F.col(name)).alias("stem"), F.col(content).alias("value"))
-    if not overwrite:
-        try:
-            done = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract("path", "stem=([^/]+)", 1).alias("stem")).distinct()
-            t = t.join(done, "stem", "left_anti")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    spark_mode = "overwrite" if overwrite else "append"
-    t.write.mode(spark_mode).partitionBy("stem").option("lineSep", "\n").text(folder)
+    done = None if overwrite else written_stems(df.sparkSession, folder)
+    if done is not None:
+        t = t.join(done, "stem", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where.create_dir(path, recursive=True)
+        for b in batches:
+            n = 0
+            for s, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if s is not None and v is not None:
+                    part = f"{path}/.{s}.{uuid.uuid4().hex}"
+                    with where.open_output_stream(part) as f:
+                        f.write(v if isinstance(v, bytes) else v.encode())
+                    where.move(part, f"{path}/{s}{suffix}")
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    return t.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def save_pages(df: DataFrame, folder: str, name: str = "name", content: str = "xml", overwrite: bool = False) -> int:
+    """One stem.xml a page."""
+    return save_files(df, folder, name, content, ".xml", overwrite)
 
 
 def html_regions(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, idx, kind, text) of an HTML page: h1 a heading, p a paragraph, nav and footer marginalia, div an image or advert."""
+    """(key, tag, pos, kind, text) of an HTML page, read once: h1 a heading, p a paragraph, nav and footer marginalia, div an image or advert."""
     kinds = {"h1": "heading", "p": "paragraph", "nav": "marginalia", "footer": "marginalia", "div": "image"}
-    out = None
-    for i, (tag, kind) in enumerate(kinds.items()):
-        found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>"), F.lit(1))
-        t = pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, F.lit(i).alias("tag"), "pos", F.lit(kind).alias("kind"), F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("text"))
-        out = t if out is None else out.unionByName(t)
-    return out
+
+    def found(i: int, tag: str, kind: str) -> Column:
+        raw = F.regexp_extract_all(F.col(html), F.lit(rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>"), F.lit(1))
+        return F.transform(raw, lambda r, n: F.struct(F.lit(i).alias("tag"), n.alias("pos"), F.lit(kind).alias("kind"), F.trim(F.regexp_replace(r, "<[^>]*>", "")).alias("text")))
+
+    return pages.select(key, F.inline(F.concat(*[found(i, t, k) for i, (t, k) in enumerate(kinds.items())])))
