@@ -179,10 +179,10 @@ def box_fallback_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS ({_BOX}) SELECT page_id, region_idx, x0, x1 FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.page_id = r.page_id AND o.region_idx <> r.region_idx AND o.x0 <= r.x0 AND r.x1 <= o.x1 AND o.x1 - o.x0 > r.x1 - r.x0)
+WITH r AS ({_BOX}) SELECT page_id, region_idx, x0, x1 FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.page_id = r.page_id AND o.x0 <= r.x0 AND r.x1 <= o.x1 AND o.x1 - o.x0 > r.x1 - r.x0)
 """)
 def anti_contained(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.without_inside(boxes(spark, sf).select("page_id", "region_idx", "x0", "x1"), "x0", "x1", ["page_id"], "region_idx")
+    return matching.without_inside(boxes(spark, sf).select("page_id", "region_idx", "x0", "x1"), "x0", "x1", ["page_id"])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -200,8 +200,8 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH r AS ({_BOX}) SELECT page_id, region_idx, (x1 - x0) * (y1 - y0) AS area FROM r WHERE (x1 - x0) * (y1 - y0) BETWEEN 0.0002 * 1000000 AND 0.0005 * 1000000")
 def area_filter(spark: SparkSession, sf: str) -> DataFrame:
     poly = _rect(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    a = boxes(spark, sf).withColumn("area", geometry.area(poly).cast("int"))
-    return a.where("area between 0.0002 * 1000000 and 0.0005 * 1000000").select("page_id", "region_idx", "area")
+    a = geometry.by_area(boxes(spark, sf).withColumn("poly", poly), "poly", F.lit(1_000_000), 0.0002, 0.0005)
+    return a.select("page_id", "region_idx", F.col("area").cast("int").alias("area"))
 
 
 def _rect(x0, y0, x1, y1):
@@ -218,9 +218,8 @@ SELECT page_id, region_idx, round(abs(m), 4) AS area, round(((ax + bx) * c1 + (b
 def shoelace_centroid(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda x, y: F.struct(F.col(x).alias("x"), y.alias("y"))
     poly = F.array(at("x0", F.col("y0")), at("x1", F.col("y0")), at("x1", F.col("y1")), at("x0", F.col("y1") + 3))
-    c = geometry.centroid(F.col("p"))
-    t = boxes(spark, sf).withColumn("p", poly)
-    return t.select("page_id", "region_idx", F.round(geometry.area(F.col("p")), 4).alias("area"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"))
+    c = boxes(spark, sf).select("page_id", "region_idx", geometry.area_and_centroid(poly).alias("c"))
+    return c.select("page_id", "region_idx", F.round("c.area", 4).alias("area"), F.round("c.x", 4).alias("cx"), F.round("c.y", 4).alias("cy"))
 
 
 @query(f"""
@@ -284,8 +283,8 @@ def skew_robust_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 5) AS r2 FROM lineitem GROUP BY l_suppkey HAVING count(*) > 2")
 def region_slope(spark: SparkSession, sf: str) -> DataFrame:
-    y, x = F.col("l_extendedprice"), F.col("l_quantity")
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_r2(y, x), 5).alias("r2")).where("n > 2").drop("n")
+    t = matching.slopes(table(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return t.select("l_suppkey", F.round("slope", 4).alias("slope"), F.round("r2", 5).alias("r2"))
 
 
 @query("""
@@ -302,10 +301,10 @@ SELECT nation, k, s_suppkey, c_custkey, round(abs(s_acctbal - c_acctbal), 2) AS
 """)
 def match_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers and customers of a nation paired by rank of size, as shapes are before their centres decide."""
-    rank = lambda n, v, k: F.row_number().over(Window.partitionBy(n).orderBy(F.col(v).desc(), k)).cast("bigint")
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), rank("s_nationkey", "s_acctbal", "s_suppkey").alias("k"), "s_suppkey", "s_acctbal")
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), rank("c_nationkey", "c_acctbal", "c_custkey").alias("k"), "c_custkey", "c_acctbal")
-    return s.join(c, ["nation", "k"]).select("nation", "k", "s_suppkey", "c_custkey", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("d"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    both = matching.by_rank(s, c, ["nation"], "s_acctbal", "c_acctbal", "s_suppkey", "c_custkey")
+    return both.select("nation", "k", "s_suppkey", "c_custkey", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("d"))
 
 
 _RUNS = "SELECT l_suppkey AS m, (l_orderkey % 40)::INT AS y, (l_partkey % 60)::INT AS x0, (l_partkey % 60 + l_linenumber + 1)::INT AS x1, l_returnflag AS f FROM lineitem"
@@ -364,7 +363,7 @@ def paint_labels(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("m", "label").agg(F.sum(F.col("x1") - F.col("x0")).alias("n"))
 
 
-_SPARSE = f"SELECT m, y, x0, x1, row_number() OVER (PARTITION BY m ORDER BY y, x0, x1) AS run FROM ({_BACK.format(f'SELECT DISTINCT m, y, x FROM ({_PIX}) WHERE f = {chr(39)}R{chr(39)}')})"
+_SPARSE = f"SELECT m, y, x0, x1, row_number() OVER (PARTITION BY m ORDER BY y, x0, x1) AS run FROM ({_BACK.format(f'SELECT DISTINCT m, y, x FROM ({_PIX})')})"
 
 
 @query(f"""
@@ -373,23 +372,10 @@ c AS (SELECT m, run, run AS comp FROM t UNION SELECT c.m, e.b, c.comp FROM c JOI
 SELECT m, comp::INT AS comp, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) + 1 AS y1, sum(x1 - x0)::BIGINT AS area FROM t JOIN (SELECT m, run, min(comp) AS comp FROM c GROUP BY m, run) USING (m, run) GROUP BY m, comp
 """)
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    t = runs.components(runs.normalise(mask(spark, sf, "R"), ["m"]), ["m"])
+    t = runs.components(runs.normalise(mask(spark, sf), ["m"]), ["m"])
     return runs.component_boxes(t, ["m"])
 
 
 @query()
 def xy_cut(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.xy_cut_order(boxes(spark, sf))
-
-
-@query()
-def xml_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as lines in regions, written as PAGE-XML and read again."""
-    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("region_idx"))
-    n = table(spark, sf, "nation")
-    rect = lambda k: F.expr(f"array(struct({k} * 10 as x, 0 as y), struct({k} * 10 + 8 as x, 0 as y), struct({k} * 10 + 8 as x, 9 as y))")
-    page = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("world.png").alias("name"), F.lit(100).alias("h"), F.lit(300).alias("w"), F.lit(1).alias("num_col"), F.lit(0.5).alias("slope"))
-    reg = r.select(F.lit(1).alias("page_id"), "region_idx", F.lit("paragraph").alias("kind"), F.col("region_idx").alias("ord"), F.lit(0.75).alias("conf"), rect("region_idx").alias("poly"))
-    lin = n.select(F.lit(1).alias("page_id"), F.col("n_regionkey").alias("region_idx"), F.col("n_nationkey").alias("line_idx"), rect("n_nationkey").alias("poly"), F.col("n_name").alias("text"), F.lit(0.5).alias("conf"))
-    xml = pages.write_page_xml(page, reg, lin, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return pages.lines(pages.parse_page(xml), ["page_id"]).select("page_id", "region_id", "line_id", "text", "conf", geometry.points_string(F.col("poly")).alias("points"))

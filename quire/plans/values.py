@@ -24,11 +24,11 @@ def query(sql: str | None = None):
 
 
 @query("""
-WITH s AS (SELECT vec_id, embedding[1:6] AS s FROM embeddings), n AS (SELECT vec_id, list_position(s, list_max(s)) AS n, list_max(s)::DOUBLE AS c FROM s)
+WITH s AS (SELECT vec_id, embedding AS s FROM embeddings), n AS (SELECT vec_id, list_position(s, list_max(s)) AS n, list_max(s)::DOUBLE AS c FROM s)
 SELECT vec_id, least(greatest(n, 2), 5)::INT AS num_col, round(CASE WHEN n < 2 OR n > 5 THEN 1 ELSE c END, 5) + 0::DOUBLE AS conf FROM n
 """)
 def column_class(spark: SparkSession, sf: str) -> DataFrame:
-    s = scores.column_class(F.slice("embedding", 1, 6), 2, 5)
+    s = scores.column_class(F.col("embedding"), 2, 5)
     return table(spark, sf, "embeddings").select("vec_id", s["num_col"].cast("int").alias("num_col"), (F.round(s["conf"], 5) + F.lit(0.0)).alias("conf"))
 
 
@@ -51,7 +51,7 @@ def tile_blend(spark: SparkSession, sf: str) -> DataFrame:
     """Overlapping windows of 16 blended by sigmoid weights towards their edges."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.array(*[F.lit(i) for i in range(0, 49, 8)])).alias("s"))
     t = e.select("vec_id", "s", F.posexplode(F.slice("embedding", F.col("s") + 1, F.lit(16))).alias("k", "v"))
-    w = 1 / (1 + F.exp(5 - 5 * F.least(F.col("k"), 15 - F.col("k")) / 4))
+    w = F.get(signal.blend_window(4), F.least(F.col("k"), 15 - F.col("k")))
     return t.groupBy("vec_id", (F.col("s") + F.col("k")).alias("x")).agg((F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 5) + F.lit(0.0)).alias("v"))
 
 
@@ -87,8 +87,7 @@ SELECT strftime(d, '%Y-%m-%d') AS d, n FROM s WHERE n < p AND n < q
 """)
 def column_valleys(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("d")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("d")  # one row for each day
-    return d.withColumn("p", F.lag("n").over(w)).withColumn("q", F.lead("n").over(w)).where("n < p and n < q").select("d", "n")
+    return signal.valleys(d, [], "d", "n").select("d", "n")  # one row for each day
 
 
 _CM = "SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY quality, toxic"
@@ -162,17 +161,6 @@ def ctc_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", F.array_join(F.transform(c, lambda x: F.substr(x, F.lit(1), F.lit(1))), "").alias("text")).where("text <> ''")
 
 
-@query("""
-WITH w AS (SELECT n_nationkey AS k, n_name AS t, lag(n_name) OVER (ORDER BY n_nationkey) AS p FROM nation)
-SELECT k, levenshtein(p, t)::BIGINT AS edits, length(t)::BIGINT AS chars, round(levenshtein(p, t) / length(t), 6) AS cer FROM w WHERE p IS NOT NULL
-""")
-def cer(spark: SparkSession, sf: str) -> DataFrame:
-    """Character error rates of each name read as the one before it."""
-    n = table(spark, sf, "nation")
-    w = n.withColumn("p", F.lag("n_name").over(Window.orderBy("n_nationkey"))).where("p is not null")  # 25 rows
-    return metrics.error_rates(w, F.col("n_name"), F.col("p"), [F.col("n_nationkey").alias("k")]).select("k", F.col("edits").cast("bigint").alias("edits"), F.col("chars").cast("bigint").alias("chars"), F.round("cer", 6).alias("cer"))
-
-
 @query("SELECT doc_id, flip, angle, n_chars FROM documents CROSS JOIN (SELECT unnest(['none', 'h', 'v']) AS flip) CROSS JOIN (SELECT unnest([-5, 0, 5]) AS angle)")
 def augment_grid(spark: SparkSession, sf: str) -> DataFrame:
     return augment.grid(table(spark, sf, "documents"), {"flip": ["none", "h", "v"], "angle": [-5, 0, 5]}, [F.col("doc_id"), F.col("n_chars")])
@@ -185,11 +173,11 @@ def nearest_resize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT vec_id, label, [exp(x::DOUBLE) for x in embedding[1:10]] AS e FROM embeddings), q AS (SELECT vec_id, label, [x / list_sum(e) for x in e] AS p FROM p)
+WITH p AS (SELECT vec_id, label, [exp(x::DOUBLE) for x in embedding] AS e FROM embeddings), q AS (SELECT vec_id, label, [x / list_sum(e) for x in e] AS p FROM p)
 SELECT vec_id, round(-ln(p[label + 1]), 5) AS loss, round(1 - 2 * p[label + 1] / (1 + list_sum([x * x for x in p]) + 1e-6), 5) AS dice_loss FROM q
 """)
 def class_losses(spark: SparkSession, sf: str) -> DataFrame:
-    p, y = signal.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))), signal.one_hot(F.col("label"), 10)
+    p, y = signal.softmax(F.transform("embedding", lambda x: x.cast("double"))), signal.one_hot(F.col("label"), 64)
     t = table(spark, sf, "embeddings").select("vec_id", p.alias("p"), F.transform(y, lambda v: v.cast("double")).alias("y"))
     return t.select("vec_id", F.round(scores.cross_entropy(F.col("y"), F.col("p")), 5).alias("loss"), F.round(scores.soft_dice_loss(F.col("y"), F.col("p")), 5).alias("dice_loss"))
 

@@ -172,9 +172,13 @@ def test_page_xml_round_trip(spark, tmp_path):
     assert got == {("region_0001", "paragraph"): 2, ("region_0002", "heading"): 1, ("region_0003", "marginalia"): 0, ("region_0004", "marginalia"): 3, ("region_0005", "ImageRegion"): None}
     assert [(r.line_id, r.text) for r in pages.lines(p, ["page_id"]).orderBy("line_idx").collect()] == [("region_0001_line_0001", "x < y"), ("region_0001_line_0002", "")]
     assert tuple(pages.frame(p, ["page_id"]).first()) == (1, 60, 50, 0, 0, 60, 50)
-    pages.save_pages(xml, str(tmp_path / "out"))
-    pages.save_pages(xml, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out").glob("stem=a&b/*")) + list((tmp_path / "out").glob("stem=*/*.txt"))) >= 1
+    assert [pages.save_pages(xml, str(tmp_path / "out"), overwrite=o) for o in (False, False, True)] == [1, 0, 1]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a&b.xml"]
+    again = pages.list_xml(spark, str(tmp_path / "out")).withColumn("xml", F.col("content").cast("string"))
+    assert pages.regions(pages.parse_page(again), ["stem"]).count() == 5
+    framed = pages.write_page_xml(page.withColumn("border", F.expr(poly)), reg.withColumn("slope", F.lit(1.5)), lin)
+    p = pages.parse_page(framed)
+    assert tuple(pages.frame(p, ["page_id"]).first()) == (1, 60, 50, 1, 2, 30, 9) and [r._orientation for r in p.select("pc.Page.TextRegion").first()[0]] == [-1.5] * 4
 
 
 def test_streams(spark, tmp_path):
