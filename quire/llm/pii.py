@@ -7,7 +7,7 @@ What is replaced, and what makes it valid:
     ssn    ddd-dd-dddd, no area 000, 666 or 9xx, no group 00, no serial 0000
     phone  +cc (a real country code) and 7 to 12 digits, or (ddd) ddd-dddd or ddd-ddd-dddd
     ip     four numbers up to 255
-    date   yyyy-mm-dd, d.m.yyyy, m/d/yyyy (d/m/yyyy if only that exists), any day that exists; days of 1900 to 2099 stay in those years, others out of them
+    date   yyyy-mm-dd, d.m.yyyy, m/d/yyyy (d/m/yyyy if only that exists), any day that exists; days of 1900 to 2099 stay in those years, others out of them, days after the 12th such days
     mail   the local part, of up to 64 characters as the standard has it; the domain stays
     token  32 or more hexadecimal digits with both letters and digits
 
@@ -242,8 +242,11 @@ def _date(key: bytes, s: str, back: bool) -> str | None:
             n = (date(part["y"], part["m"], part["d"]) - _DAY0).days
         except ValueError:
             continue
-        # day-first dates with slashes are permuted among those that can't be read month first, so that they can be restored
-        rule = (lambda d: d.day > 12) if order == "dmy" and sep == "/" else (lambda _: True)
+        day = _DAY0 + timedelta(n)
+        # dates are permuted among those that are written and read alike (with a field of one digit; day first or not), in whatever form they stand, so that they stay linked and can be restored
+        alike = lambda d: (d.day > 12, d.day < 10 or d.month < 10)
+        own = alike(day)
+        rule = lambda d: alike(d) == own  # noqa: E731,B023
         if 0 <= n < _DAYS:
             real = lambda x: _DAY0 + timedelta(x)
             day = real(_network(key, "date", _DAYS)(n, back, lambda x: rule(real(x))))

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import random
+from datetime import date
 
 import numpy as np
 import pyarrow as pa
@@ -460,6 +461,11 @@ def test_pii_depends_on_the_value_alone():
     for long in ("f0" * 64, "9f" * 5000):  # every part of a long value changes
         new = pii.replace(long, b"k")[0]
         assert all(new[i : i + 32] != long[i : i + 32] for i in range(0, len(long), 32))
+    for d in (date(1990, 1, 6), date(1990, 12, 31), date(1850, 10, 10), date(2024, 2, 29)):  # in whatever form
+        got = {pii.replace(x, b"k")[0] for x in (f"{d:%Y-%m-%d}", f"{d:%d.%m.%Y}", f"{d.day}.{d.month}.{d.year}", f"{d:%m/%d/%Y}", *([f"{d:%d/%m/%Y}"] if d.day > 12 else []))}
+        iso = min(x for x in got if "-" in x)
+        y, m, t = iso.split("-")
+        assert got <= {iso, f"{t}.{m}.{y}", f"{int(t)}.{int(m)}.{y}", f"{m}/{t}/{y}", f"{t}/{m}/{y}"}
     year = lambda x: int(pii.replace(x, b"k")[0][:4])
     assert all(1900 <= year(f"{y}-01-01") < 2100 for y in (1900, 1987, 2099)) and not any(1900 <= year(f"{y}-01-01") < 2100 for y in (1899, 2100, 1600))
 
