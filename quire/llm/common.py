@@ -37,16 +37,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._quire_tables = [*getattr(spark.sparkContext, "_quire_tables", []), path]
     got = spark.read.schema(df.schema).parquet(path)
     got._quire_path = path
     return got
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+    spark.sparkContext._quire_tables.remove(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables of `written` that nothing will read again."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._quire_path)
-        path.getFileSystem(t.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t._quire_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all tables of `written`: for when the results that read them have been written or collected."""
+    for path in list(getattr(spark.sparkContext, "_quire_tables", [])):
+        _delete(spark, path)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -61,6 +73,25 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded_texts(docs: DataFrame, picked: DataFrame, most: int, columns: list[str]) -> list:
+    """Rows (doc_id, label, text, columns) of the picked ids (doc_id, label), one a document: by a hash of the id, as many as fit into `most` bytes of text.
+
+    picked must be of bounded size. Of rows of equal doc_id the one with the smallest hash
+    of its text is taken. Sizes are gathered first, so neither a hot id nor long texts can
+    bring more to the driver.
+    """
+    size = F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sizes = docs.select("doc_id", size.alias("s")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("s").alias("s"), F.min(F.xxhash64("doc_id")).alias("place")).collect()
+    chosen, left = [], most
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if r.s.n <= left:
+            left -= r.s.n
+            chosen.append((r.doc_id, r.label, r.s.h))
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType())]))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), *columns).join(F.broadcast(ids), ["doc_id", "h"])
+    return rows.dropDuplicates(["doc_id"]).collect()
+
+
 def vocabulary(spark: SparkSession, name: str) -> str:
     """The path of a tokenizer's file: in the folder of spark.quire.vocabularies or QUIRE_VOCABULARIES, else where this environment keeps them."""
     return f"{spark.conf.get('spark.quire.vocabularies', None) or os.environ.get('QUIRE_VOCABULARIES', '/opt/tokenizers')}/{name}"

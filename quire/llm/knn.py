@@ -2,8 +2,8 @@
 
 Features are hashed runs of word characters and runs of symbols, as written, and a
 mark for words in capitals; their document frequencies are counted over all
-documents. A bounded sample of labelled rows (`Config.sample`, half of each class)
-is weighted by log tf and idf and factored by a randomised SVD in numpy. Their
+documents. A bounded sample of labelled rows (`Config.sample` and `Config.bytes`, half of
+each class) is weighted by log tf and idf and factored by a randomised SVD in numpy. Their
 unit vectors are broadcast: sample x dim floats, whatever the corpus. Every document
 is projected and its cosines with all of them are computed exactly, block by block.
 The k-th largest cosine is the cut: all neighbours at least as similar vote, those
@@ -14,8 +14,9 @@ is the cut with the best balanced accuracy when the sample votes on itself this
 Results for odd input: a text that is null, empty or blank has a zero vector, no
 votes and score 0.5; so has every document if the labels lack a class. Null labels
 and labels without document are left out; a document labelled twice is good if one
-row says so. Repeated rows give repeated rows, an empty table none; extra columns
-are left out.
+row says so, and of rows of equal id one is sampled. A text of any length is read
+whole. Neighbours that tie with the k-th all vote; a score equal to the threshold is
+good. Repeated rows give repeated rows, an empty table none; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import need
+from quire.llm.common import bounded_texts, need
 from quire.llm.tokens import _IS_WORD, mix, pieces, runs, span_hashes, utf8
 
 
 @dataclass(frozen=True)
 class Config:
     sample: int = 4096  # labelled rows at most, half of each class
+    bytes: int = 64 << 20  # of their texts at most
     bits: int = 15  # 2**bits features
     dim: int = 48
     k: int = 15
@@ -168,17 +170,16 @@ def project(m: Model, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config(), label: str = "quality") -> Model:
-    """Trains on labelled documents picked by a hash of doc_id, at most config.sample of them."""
+    """Trains on labelled documents picked by a hash of doc_id, at most config.sample of them and config.bytes of text."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", label)
     df, n = document_frequencies(docs, config)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("good"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     half = config.sample // 2
-    picked = known.where("good = 1").orderBy(*order).limit(half).unionByName(known.where("good = 0").orderBy(*order).limit(half))
-    # at most config.sample ids, a bound of its own: broadcasting them saves a shuffle of the texts
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text, r.good) for r in rows})
+    known = known.withColumnRenamed("good", "label")
+    picked = known.where("label = 1").orderBy(*order).limit(half).unionByName(known.where("label = 0").orderBy(*order).limit(half))
+    rows = sorted((r.doc_id, r.text, r.label) for r in bounded_texts(docs, picked, config.bytes, []))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64), df, n, config)
 
 

@@ -4,7 +4,7 @@ Every word becomes the sum of two rows of one hashed embedding table: that of th
 word and that of its first bytes, so that unseen compounds of a known stem still
 count. Filters of several widths run over the whole text, each keeps its maximum
 (with zero: ReLU), and a logistic unit weighs them. Training is plain numpy on a
-sample of the labelled rows, bounded by `Config.sample`. `fit` then scores all labelled
+sample of the labelled rows, bounded by `Config.sample` and `Config.bytes`. `fit` then scores all labelled
 rows in Spark and sets a threshold for every language from score histograms of the rows
 not trained on, each class weighted to its share among all labelled rows of the language;
 `train` alone sets them on a held-out fifth of its rows. `Config.prior` rows of the mix
@@ -16,7 +16,8 @@ features and scores like any such text; a text of any length is read whole; a la
 that is null or has no labels gets the threshold of all languages together; without
 labels of both kinds nothing is toxic; a score equal to the threshold is toxic; an empty
 table gives no rows. Labels that are null or without document
-are left out; a document labelled twice counts as toxic if one row says so. Equal
+are left out; a document labelled twice counts as toxic if one row says so; of rows of
+equal id one is sampled. Equal
 texts get equal scores. Extra columns are kept by `drop_toxic` and left out by
 `score`; duplicate rows give duplicate rows.
 """
@@ -32,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import BOOL, DOUBLE, need, plain
+from quire.llm.common import BOOL, DOUBLE, bounded_texts, need, plain
 from quire.llm.tokens import pieces, span_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class Config:
     sample: int = 8000  # labelled rows that training reads at most, half of each kind
+    bytes: int = 64 << 20  # of their texts at most
     bits: int = 18  # the table has 2**bits rows
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
@@ -247,16 +249,14 @@ def corpus_thresholds(docs: DataFrame, labels: DataFrame, model: Model, trained:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, config: Config, label: str = "toxic") -> list[tuple]:
-    """Up to config.sample labelled documents (text, label, lang, doc_id), half of each kind, picked by a hash of doc_id."""
+    """Up to config.sample labelled documents (text, label, lang, doc_id) and config.bytes of text, half of each kind, picked by a hash of doc_id."""
     need(docs, "doc_id", "text", "lang")
     need(labels, "doc_id", label)
     known = known_labels(labels, label)
     half = config.sample // 2
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.where("label = 1").orderBy(*order).limit(half).unionByName(known.where("label = 0").orderBy(*order).limit(half))
-    # at most config.sample ids, a bound of its own: broadcasting them saves a shuffle of the texts
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), "doc_id").collect()
-    rows = sorted({(r.doc_id, r.text, r.label, r.lang or "") for r in rows})
+    rows = sorted((r.doc_id, r.text, r.label, r.lang or "") for r in bounded_texts(docs, picked, config.bytes, ["lang"]))
     rng = np.random.default_rng(config.seed)
     return [(rows[i][1], rows[i][2], rows[i][3] or None, rows[i][0]) for i in rng.permutation(len(rows))]
 
