@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import need, written
+from quire.llm.common import need, slots, written
 from quire.llm.tokens import mix, pieces, span_hashes, utf8
 
 
@@ -149,4 +149,20 @@ def pack(docs: DataFrame, vocabulary: str, config: Config = Config()) -> DataFra
             ], names=["grp", "bin", "n_tokens", "doc_ids", "starts", "doc_starts", "tokens"],
         )
 
-    return whole.withColumn("grp", F.pmod("deal", F.lit(groups))).groupBy("grp").applyInArrow(run, SCHEMA)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's groups, one after another."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            grp = b.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(grp)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for a, z in zip(cuts, cuts[1:]):
+                if held and held[-1].column(4)[0].as_py() != grp[a]:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
+    parts = min(groups, slots(docs.sparkSession))  # groups are dealt evenly, where a hash would put several into one partition
+    sent = whole.withColumn("grp", F.pmod("deal", F.lit(groups))).repartitionById(parts, F.pmod("grp", F.lit(parts)).cast("int")).sortWithinPartitions("grp")
+    return sent.mapInArrow(packed, SCHEMA)
