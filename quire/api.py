@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from quire.functions import scores
 from quire.functions.geometry import bbox
-from quire.operators import inference, ordering, polygons, raster, regions
+from quire.operators import inference
+from quire.operators import lines as lines_
+from quire.operators import ordering, polygons, raster, regions
 from quire.sources import pages
 
 
@@ -37,6 +39,37 @@ def enhance(images: DataFrame, zoo: inference.Registry) -> DataFrame:
     return raster.map_images(images.select("page_id", "name", "image"), "image", kernel)
 
 
+def working_images(images: DataFrame, zoo: inference.Registry, lower: int | None = None, upper: int | None = None, better: bool = True) -> DataFrame:
+    """(page_id, name, image, num_col, scale_x, scale_y): pages at the working size of their number of columns, by the model `col_classifier` or the bounds where they agree; what had to grow goes through `enhancement` if wished and there."""
+    have = {c for c, _ in zoo.specs}
+    if lower is not None and lower == upper or "col_classifier" not in have:
+        t = images.select("page_id", "name", "image", F.struct(F.lit(upper or lower or 1).alias("num_col"), F.lit(1.0).alias("conf")).alias("c"))
+    else:
+        scored = inference.classify(images, "image", zoo.loader("col_classifier"), ["page_id", "name", "image"], (448, 448))
+        t = scored.withColumn("c", scores.column_class(F.col("scores"), lower, upper)).drop("scores")
+    w, h, n, conf = F.col("image.w"), F.col("image.h"), F.col("c.num_col"), F.col("c.conf")
+    t = t.withColumn("size", F.when(n <= 2, scores.small_working_size(n, conf, w, h)).otherwise(scores.working_size(n, conf, w, h)))
+    load = zoo.loader("enhancement") if better and "enhancement" in have else None
+    schema = T.StructType([images.schema["page_id"], images.schema["name"], T.StructField("image", raster.IMAGE), T.StructField("num_col", T.IntegerType()), T.StructField("scale_x", T.DoubleType()), T.StructField("scale_y", T.DoubleType())])
+    kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None if load is None else load()
+        for b in batches:
+            made, sx, sy = [], [], []
+            for v, s in zip(b.column(2).to_pylist(), b.column(4).to_pylist()):
+                a = raster.unpack(v)
+                new = None if a is None else raster.resize(a, max(1, s["h"]), max(1, s["w"]))
+                if model is not None and new is not None and new.shape[1] > a.shape[1]:
+                    new = np.clip(np.rint(raster.resize(model(new[None].astype(np.float32) / 255)[0], *new.shape[:2]) * 255), 0, 255).astype(np.uint8)
+                made.append(raster.pack(new))
+                sx.append(None if a is None else new.shape[1] / a.shape[1])
+                sy.append(None if a is None else new.shape[0] / a.shape[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, kind), b.column(3), pa.array(sx, pa.float64()), pa.array(sy, pa.float64())], names=schema.names)
+
+    return t.select("page_id", "name", "image", n.cast("int").alias("num_col"), "size").mapInArrow(run, schema)
+
+
 def regions_of(images: DataFrame, zoo: inference.Registry, min_share: float = 0.0002, tile: tuple[int, int] | None = None) -> DataFrame:
     """(page_id, region_idx, kind, x0, y0, x1, y1, area, conf, poly): components of each label that cover at least a share of the page, with their outlines."""
     seg = inference.segment(images, "image", zoo.loader("region"), ["page_id"], tile)
@@ -87,6 +120,45 @@ def crop_boxes(images: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFram
     return both.select("page_id", "image", "boxes").mapInArrow(run, schema)
 
 
+def line_image(a: np.ndarray, outline: list[tuple[int, int]], height: int = 32) -> np.ndarray | None:
+    """A line cut from its page, white outside its outline, upright: turned by its moments from three degrees on; one that fills less than half its box and is long is straightened piece by piece."""
+    x, y = [p[0] for p in outline], [p[1] for p in outline]
+    box = max(0, min(x)), min(a.shape[1], max(x) + 1), max(0, min(y)), min(a.shape[0], max(y) + 1)
+    if box[0] >= box[1] or box[2] >= box[3]:
+        return None
+    m = polygons.fill([outline], box)
+    cut = np.where(m[..., None], a[box[2] : box[3], box[0] : box[1]], 255).astype(np.uint8)
+    if cut.shape[0] > cut.shape[1] * 1.4:  # a standing line
+        return np.rot90(cut, -1).copy()
+    if m.mean() < 0.5 and cut.shape[1] * height / cut.shape[0] > 90:
+        return lines_.straightened(cut, m, height)
+    angle = lines_.moments_angle(m)
+    if 3 < abs(angle) < 45:
+        cut, m = raster.turn(cut, angle, 255, True), raster.turn(m.astype(np.uint8) * 255, angle, 0, True) > 127
+        yy, xx = np.nonzero(m)
+        cut = cut[yy.min() : yy.max() + 1, xx.min() : xx.max() + 1]
+    return cut
+
+
+def line_images(images: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(page_id, keys, image) of lines (page_id, keys, poly), each as `line_image` makes it; a page travels once, with the list of its lines."""
+    listed = lines.where(F.size("poly") > 0).groupBy("page_id").agg(F.collect_list(F.struct(*keys, "poly")).alias("lines"))
+    both = images.select("page_id", "image").join(listed, "page_id")
+    schema = T.StructType([both.schema["page_id"], *(lines.schema[k] for k in keys), T.StructField("image", raster.IMAGE)])
+    kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            element = b.schema.field("lines").type.value_type
+            for i, (v, own) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                a = raster.unpack(v)
+                got = [] if a is None else [(o, line_image(a, [(p["x"], p["y"]) for p in o["poly"]])) for o in own]
+                got = [(o, c) for o, c in got if c is not None]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(got), pa.int64())), *(pa.array([o[k] for o, _ in got], element.field(k).type) for k in keys), pa.array([raster.pack(c) for _, c in got], kind)], names=schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
 def layout(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None, right_to_left: bool = False, angles: list[float] | None = None) -> DataFrame:
     """(page_id, name, xml): frame, regions, lines, slopes and reading order of each page as PAGE-XML.
 
@@ -98,12 +170,16 @@ def layout(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | N
     return pages.write_page_xml(done.drop("regions"), found.select("page_id", "region_idx", "kind", "ord", "conf", "slope", "poly"), listed)
 
 
-def ocr(images: DataFrame, xmls: DataFrame, zoo: inference.Registry, charset: list[str], least: float = 0.3) -> DataFrame:
-    """(page_id, region_id, line_id, line_idx, text, conf) of the lines of each page's PAGE-XML (page_id, xml)."""
+def ocr(images: DataFrame, xmls: DataFrame, zoo: inference.Registry, charset: list[str], least: float = 0.3, binary: DataFrame | None = None) -> DataFrame:
+    """(page_id, region_id, line_id, line_idx, text, conf) of the lines of each page's PAGE-XML (page_id, xml).
+
+    Lines are cut along their outlines and made upright. With binary images of the same
+    pages each line is read twice and the surer reading stays. Uses the model `ocr`.
+    """
     found = pages.lines(pages.parse_page(xmls), ["page_id"])
-    b = found.withColumn("b", bbox(F.col("poly"))).select("page_id", "region_id", "line_id", "line_idx", *[F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]).where("x0 < x1 and y0 < y1")
     keys = ["region_id", "line_id", "line_idx"]
-    return inference.recognise(crop_boxes(images, b, keys), "image", zoo.loader("ocr"), charset, ["page_id", *keys], least=least)
+    read = lambda src: inference.recognise(line_images(src, found.select("page_id", *keys, "poly"), keys), "image", zoo.loader("ocr"), charset, ["page_id", *keys], least=least)
+    return read(images) if binary is None else inference.voted(read(images), read(binary), ["page_id", *keys])
 
 
 def region_texts(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,15 @@ from quire.operators import raster
 Model = Callable[[np.ndarray], np.ndarray]  # [n, h, w, c] in 0..1 -> [n, h, w, classes] or [n, classes] or [n, steps, symbols]
 
 
+_made: dict[str, Model] = {}
+
+
+def _once(name: str, make: Callable[[], Model]) -> Model:
+    if name not in _made:
+        _made[name] = make()
+    return _made[name]
+
+
 @dataclass(frozen=True)
 class Spec:
     category: str
@@ -54,9 +64,14 @@ class Registry:
         return name if name.startswith("/") else f"{self.base}/{name}"
 
     def loader(self, category: str, variant: str = "") -> Callable[[], Model]:
+        """What gives the model in a task: made once in each Python process, whatever the number of tasks."""
         self.get(category, variant)
-        make, path = self.loaders[category, variant], self.path(category, variant)
-        return lambda: make(path)
+        make, path, name = self.loaders[category, variant], self.path(category, variant), uuid.uuid4().hex
+        return lambda: _once(name, lambda: make(path))
+
+    def asdict(self) -> dict[str, str]:
+        """The file of each category; of several variants that of the last."""
+        return {c: s.filename for (c, _), s in sorted(self.specs.items())}
 
     def table(self, spark) -> DataFrame:
         """The registry as rows, by category and variant."""
@@ -140,6 +155,13 @@ def split_wide(a: np.ndarray) -> list[np.ndarray]:
     return [a[:, :at], a[:, at:]] if at else [a]
 
 
+def voted(df: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text, conf) of two readings of the same lines (in colour and binary, upright and turned): the surer one; equal ones the first."""
+    a, b = df.select(*keys, F.struct("conf", F.lit(1).alias("k"), "text").alias("s")), others.select(*keys, F.struct("conf", F.lit(0).alias("k"), "text").alias("s"))
+    best = a.unionByName(b).groupBy(*keys).agg(F.max("s").alias("s"))
+    return best.select(*keys, F.col("s.text").alias("text"), F.col("s.conf").alias("conf"))
+
+
 def recognise(df: DataFrame, column: str, load: Callable[[], Model], charset: list[str], keys: list[str], batch: int = 8, least: float = 0.3) -> DataFrame:
     """(keys, text, conf) of line images: resize, batch, greedy CTC, mean score of the steps that aren't blank; doubtful text is ''."""
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("text", T.StringType()), T.StructField("conf", T.DoubleType())])

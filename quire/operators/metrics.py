@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.grouped import by_key
+from quire.operators.runs import overlap
+
 
 def confusion(df: DataFrame, truth: str, pred: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, truth, pred, n): rows, or the sum of their weights (pixels counted before)."""
@@ -87,3 +92,18 @@ def line_rates(df: DataFrame, truth: Column, read: Column, keys: list[str]) -> D
     t = t.withColumn("word_edits", F.levenshtein(_as_characters(F.col("__a"), F.col("__d")), _as_characters(F.col("__b"), F.col("__d"))).cast("bigint"))
     edits, chars, words = F.levenshtein("__t", "__r").cast("bigint"), F.length("__t").cast("bigint"), F.size("__a").cast("bigint")
     return t.select(*keys, edits.alias("edits"), chars.alias("chars"), F.round(F.try_divide(edits, chars), 6).alias("cer"), "word_edits", words.alias("words"), F.round(F.try_divide(F.col("word_edits"), words), 6).alias("wer"))
+
+
+def component_loss(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loss) of component runs (keys, y, x0, x1, comp): 1 - sum of singular values / pixels of the matrix of shared pixels, 0 where components of both sides match one to one."""
+    n = overlap(truth.withColumnRenamed("comp", "ct"), pred.withColumnRenamed("comp", "cp"), keys, "ct", "cp")
+
+    def kernel(t: pa.Table) -> pa.Table:
+        a, b = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("ct", "cp"))
+        m = np.zeros((a.max() + 1, b.max() + 1))
+        m[a, b] = t.column("n").to_numpy()
+        loss = 1 - np.linalg.svd(m, compute_uv=False).sum() / m.sum()
+        return t.slice(0, 1).select(keys).append_column("loss", pa.array([float(loss)]))
+
+    kinds = dict(n.dtypes)
+    return by_key(n, keys, ["ct", "cp"], kernel, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "loss double"]))

@@ -168,6 +168,63 @@ def reading_order(pages: DataFrame, model: Callable[[], Callable[[np.ndarray], n
     return pages.select(key, "label", "num_col", "regions").mapInArrow(run, schema)
 
 
+def early_layout(regions: np.ndarray, tables: np.ndarray | None = None, lines: np.ndarray | None = None, conf: np.ndarray | None = None, table_conf: np.ndarray | None = None, least: float = 1e-5) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """(labels, lines, confidence): separators, images, text (a pixel fatter) and tables painted one after another, specks left out; lines only in text, tables with their own confidence."""
+
+    def big(m: np.ndarray) -> np.ndarray:
+        comp, boxes = columns.labelled(m)
+        keep = np.append(False, np.bincount(comp.ravel(), minlength=len(boxes) + 1)[1:] >= least * m.size)
+        return keep[comp]
+
+    text = regions == 1
+    fat = text.copy()
+    fat[1:] |= text[:-1]
+    fat[:, 1:] |= fat[:, :-1].copy()
+    out = np.zeros(regions.shape, np.uint8)
+    out[big(regions == 5)] = 5
+    out[regions == 4] = 4
+    out[big(fat)] = 1
+    for k in (2, 3, 7):
+        out[regions == k] = k
+    if tables is not None:
+        m = big(tables > 0)
+        out[m] = 6
+        conf = np.where(m, table_conf, conf) if conf is not None and table_conf is not None else conf
+    return out, None if lines is None else lines & np.isin(out, TEXT), conf
+
+
+def full_layout(early: np.ndarray, full: np.ndarray, keep_separators: bool = False) -> np.ndarray:
+    """Early labels with the separators and drop capitals of a fuller model: drop capitals that fill 60 % of their box, three tenths of it text before, become the box, others what is not text; headings stay with the region that has them."""
+    out = early.copy()
+    if not keep_separators:
+        out[full == 5] = 5
+    comp, boxes = columns.labelled(columns.shrink(full == 7, 2, 2))
+    for i, (x0, x1, y0, y1) in enumerate(boxes.tolist(), 1):
+        part = np.s_[y0:y1, x0:x1]
+        n, size = int((comp[part] == i).sum()), (x1 - x0) * (y1 - y0)
+        if n <= 1e-5 * early.size:
+            continue
+        if n > 0.6 * size and (early[part] == 1).sum() >= 0.3 * size:
+            out[part] = 7
+        else:
+            out[part][np.isin(full[part], (0, 4, 7))] = 7
+    text = (out == 1) & (full == 2)
+    out[text] = 2
+    return out
+
+
+def relabel_headings(labels: np.ndarray, regions: list[dict], full: np.ndarray) -> list[str]:
+    """The kind of each text region by its share of heading pixels in a fuller model and its shape: mostly heading and somewhat wide, or partly heading and very wide."""
+    out = []
+    for r in regions:
+        part = np.s_[r["y0"] : r["y1"], r["x0"] : r["x1"]]
+        head, main = int((full[part] == 2).sum()), int((full[part] == 1).sum()) + int((full[part] == 2).sum())
+        w, h = r["x1"] - r["x0"], r["y1"] - r["y0"]
+        is_head = (head >= 0.6 * main and 1.3 * h <= w <= 3 * h or head >= 0.3 * main and w >= 3 * h) and head > 0
+        out.append("heading" if is_head else "paragraph")
+    return out
+
+
 KINDS = {1: "paragraph", 2: "heading", 3: "marginalia", 4: "image", 5: "separator", 6: "table", 7: "drop-capital"}
 TEXT = (1, 2, 3, 7)
 LAYOUT = (

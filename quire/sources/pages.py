@@ -42,6 +42,34 @@ def image_with_xml(images: DataFrame, xmls: DataFrame, binarised: DataFrame | No
     return both if binarised is None else both.join(binarised.select("stem", F.col("content").alias("content_bin")), "stem", "left")
 
 
+def first_with_prefix(images: DataFrame, stems: DataFrame) -> DataFrame:
+    """stems(stem) with the first image (by name) whose file name is the stem, a dot and anything."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    every = images.withColumn("__n", name).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("__n", r"\.")) - 1), lambda k: F.array_join(F.slice(F.split("__n", r"\."), F.lit(1), k), "."))).alias("__s"))
+    best = every.groupBy("__s").agg(F.min_by(F.struct(*images.columns), "__n").alias("image"))
+    return stems.join(best, stems["stem"] == F.col("__s")).drop("__s")
+
+
+def count_by_class(spark: SparkSession, folder: str) -> DataFrame:
+    """(class, n): files in each directory of a folder."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return t.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("class")).agg(F.count("*").alias("n"))
+
+
+METS = "mets STRUCT<fileSec STRUCT<fileGrp ARRAY<STRUCT<_USE STRING, file ARRAY<STRUCT<_ID STRING, _MIMETYPE STRING, FLocat STRUCT<_href STRING>>>>>>, structMap ARRAY<STRUCT<_TYPE STRING, div STRUCT<div ARRAY<STRUCT<_ID STRING, _ORDER INT, fptr ARRAY<STRUCT<_FILEID STRING>>>>>>>>"
+
+
+def mets_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_id, ord, grp, file_id, mimetype, href): the files of METS workspaces with the pages they belong to (null for none)."""
+    raw = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(F.col("content").cast("string"), r"(</?|\s)(?:mets|xlink):", "$1").alias("xml"))
+    kind = METS.split(" ", 1)[1]
+    m = raw.select("path", F.from_xml("xml", kind[len("STRUCT<") : -1]).alias("m")).where("m is not null")
+    files = m.select("path", F.explode("m.fileSec.fileGrp").alias("g")).select("path", F.col("g._USE").alias("grp"), F.explode("g.file").alias("f"))
+    divs = m.select("path", F.explode("m.structMap").alias("s")).where("s._TYPE = 'PHYSICAL'").select("path", F.explode("s.div.div").alias("d"))
+    owners = divs.select("path", F.col("d._ID").alias("page_id"), F.col("d._ORDER").alias("ord"), F.explode("d.fptr").alias("p")).select("path", "page_id", "ord", F.col("p._FILEID").alias("file_id"))
+    return files.select("path", "grp", F.col("f._ID").alias("file_id"), F.col("f._MIMETYPE").alias("mimetype"), F.col("f.FLocat._href").alias("href")).join(owners, ["path", "file_id"], "left")
+
+
 def parse_page(df: DataFrame, xml: str = "xml") -> DataFrame:
     """The column read as PAGE-XML into `pc`; what isn't XML gives nulls."""
     return df.withColumn("pc", F.from_xml(F.col(xml).cast("string"), SCHEMA))

@@ -137,3 +137,29 @@ def test_frames_and_features(spark):
     got = {r.page_id: r for r in regions.page_features(df, "n").collect()}
     assert got[1].num_col == 2 and abs(got[1].slope + 3) < 0.5 and (got[2].num_col, got[2].slope) == (1, 0.0) and got[3].slope is None
     assert inference.Registry().specs == {}
+
+
+def test_working_sizes_and_line_images(spark):
+    small = stand_ins.page(300, 600)
+    df = spark.createDataFrame([(1, "p.png", raster.pack(small))], "page_id bigint, name string, image struct<h:int,w:int,c:int,data:binary>")
+    zoo = stand_ins.registry()
+    r = api.working_images(df, zoo).first()
+    assert (r.image.w, r.image.h, r.num_col, r.scale_x) == (1000, 500, 1, 1000 / 600)
+    zoo.add(inference.Spec("col_classifier"), lambda path: lambda x: np.repeat([[0.0, 0.0, 0.95, 0.05, 0.0, 0.0]], len(x), 0))
+    assert (lambda r: (r.image.w, r.num_col))(api.working_images(df, zoo).first()) == (3000, 3)
+    assert (lambda r: (r.image.w, r.num_col))(api.working_images(df, zoo, upper=2).first()) == (1300, 2)
+    calls = []
+    zoo.add(inference.Spec("once"), lambda path: calls.append(path) or (lambda x: x))
+    load = zoo.loader("once")
+    assert load() is load() and len(calls) == 1 and zoo.asdict()["page"] == "page.npz"
+    a = np.full((200, 300, 3), 255, np.uint8)
+    a[50:60, 20:280] = 0
+    tilted = raster.turn(a, 8.0, 255)
+    m = tilted[..., 0] < 128
+    y, x = np.nonzero(m)
+    outline = [(int(x.min()), int(y[x == x.min()].max())), (int(x.max()), int(y[x == x.max()].min())), (int(x.max()), int(y[x == x.max()].max()) + 2), (int(x.min()), int(y[x == x.min()].max()) + 8)]
+    assert api.line_image(tilted, outline).shape[0] < 40 and api.line_image(a, [(400, 1), (410, 2), (400, 9)]) is None
+    assert api.line_image(a.transpose(1, 0, 2), [(50, 20), (59, 20), (59, 279), (50, 279)]).shape[:2] == (10, 260)
+    one = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.5)], "i int, text string, conf double")
+    two = spark.createDataFrame([(1, "x", 0.9), (2, "y", 0.5)], "i int, text string, conf double")
+    assert sorted((r.i, r.text) for r in inference.voted(one, two, ["i"]).collect()) == [(1, "x"), (2, "b")]

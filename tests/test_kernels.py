@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import columns, lines, matching, metrics, polygons, raster, runs
-from quire.sources import images
+from quire.operators import augment, columns, lines, matching, metrics, polygons, raster, regions, runs
+from quire.sources import images, pages
 
 
 def png(a, depth, color, interlaced=False, filters=None, palette=b"", clear=b""):
@@ -319,3 +319,68 @@ def test_slopes(spark):
     slope, base = np.polyfit(x, y, 1)
     error = (((y - slope * x - base) ** 2).sum() / 38 / ((x - x.mean()) ** 2).sum()) ** 0.5
     assert len(got) == 1 and abs(got[0].slope - slope) < 1e-9 and abs(got[0].stderr - error) < 1e-6
+
+
+def test_component_loss(spark):
+    rows = lambda *b: spark.createDataFrame([(1, y, x0, x1) for x0, x1, y0, y1 in b for y in range(y0, y1)], "m int, y int, x0 int, x1 int")
+    parts = lambda *b: runs.components(rows(*b), ["m"])
+    same = metrics.component_loss(parts((0, 4, 0, 4), (8, 12, 0, 4)), parts((0, 4, 0, 4), (8, 12, 0, 4)), ["m"]).first().loss
+    merged = metrics.component_loss(parts((0, 4, 0, 4), (5, 9, 0, 4)), parts((0, 9, 0, 4)), ["m"]).first().loss
+    assert abs(same) < 1e-9 and abs(merged - (1 - np.hypot(16, 16) / 32)) < 1e-9
+
+
+def test_pairs_of_images_and_labels(spark):
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 256, (40, 60, 3)).astype(np.uint8)
+    label = (a[..., :1] > 128).astype(np.uint8)
+    config = {"flip": ["h"], "rotate": [10], "rotate_90": True, "shift": ["down"], "scale": [0.5], "brighten": [1.2]}
+    got = {n: (x, y) for n, x, y in augment.pair_variants(a, label, config)}
+    assert len(got) == 7 and all(x.shape[:2] == y.shape[:2] for x, y in got.values())
+    assert (got["flip_h"][1] == label[:, ::-1]).all() and (got["brighten_1.2"][1] == label).all() and (got["shift_down"][1][1:] == label[:-1]).all()
+    x, y = got["rotate_10"]
+    assert x.shape[0] < 40 and (x.sum(2) > 0).mean() > 0.95 and 0.3 < y.mean() < 0.7
+    flat = np.full((30, 30, 3), 77, np.uint8)
+    assert (augment.elastic(flat, 20, 3, 1) == 77).all() and (augment.elastic(a, 15, 2, 1) != a).any() and (augment.elastic(a, 15, 2, 1) == augment.elastic(a, 15, 2, 1)).all()
+    assert augment.crop_turned(flat, 0).shape == flat.shape and augment.red_ink_on_background(np.array([[[0, 0, 0]], [[255] * 3]]), flat, np.full((2, 1, 3), 5))[:, 0, 0].tolist() == [5, 77]
+    df = spark.createDataFrame([(1, raster.pack(a), raster.pack(label)), (2, None, None)], "i int, image struct<h:int,w:int,c:int,data:binary>, label struct<h:int,w:int,c:int,data:binary>")
+    rows = augment.augment_pairs(df, "image", "label", {"flip": ["h"]}, ["i"], (32, 32)).collect()
+    assert {r.variant for r in rows} == {f"{n}_{y}_{x}" for n in ("original", "flip_h") for y in (0, 8) for x in (0, 28)} and {(r.image.h, r.label.w) for r in rows} == {(32, 32)}
+
+
+def test_layers_of_labels():
+    a = np.zeros((100, 100), np.uint8)
+    a[10:30, 10:60], a[40:44, 5:90], a[60:90, 20:50] = 1, 5, 4
+    a[0, 99] = 1
+    table = np.zeros_like(a)
+    table[12:20, 12:30] = 1
+    out, lines_, conf = regions.early_layout(a, table, a == 1, np.full(a.shape, 9), np.full(a.shape, 7), 0.001)
+    assert out[15, 15] == 6 and conf[15, 15] == 7 and conf[25, 15] == 9 and out[41, 50] == 5 and out[70, 30] == 4 and out[30, 30] == 1 and out[0, 99] == 0 and lines_[25, 20]
+    full = np.where(out == 1, 1, 0).astype(np.uint8)
+    full[10:30, 40:60] = 7
+    full[20:30, 10:40] = 2
+    full[95:98, :] = 5
+    got = regions.full_layout(out, full)
+    assert got[20, 50] == 7 and got[25, 35] == 2 and got[96, 50] == 5 and regions.full_layout(out, full, True)[96, 50] == 0
+    boxes = [{"x0": 0, "y0": 0, "x1": 90, "y1": 20}, {"x0": 0, "y0": 40, "x1": 30, "y1": 70}, {"x0": 40, "y0": 40, "x1": 90, "y1": 70}]
+    full = np.zeros((100, 100), np.uint8)
+    full[0:20, 0:60], full[0:20, 60:90], full[40:70, 0:30], full[40:70, 40:70], full[40:70, 70:90] = 1, 2, 2, 2, 1
+    assert regions.relabel_headings(a, boxes, full) == ["heading", "paragraph", "heading"]
+
+
+def test_files_and_workspaces(spark, tmp_path):
+    for n in ("a.png", "a.bin.png", "ab.png", "b.tif"):
+        (tmp_path / n).write_bytes(b"x")
+    found = pages.first_with_prefix(pages.list_images(spark, str(tmp_path)), spark.createDataFrame([("a",), ("b",), ("c",)], "stem string")).collect()
+    assert sorted((r.stem, r.image.path.split("/")[-1]) for r in found) == [("a", "a.bin.png"), ("b", "b.tif")]
+    (tmp_path / "d").mkdir()
+    for i in range(3):
+        (tmp_path / "d" / f"{i}.npy").write_bytes(b"x")
+    assert {r["class"]: r.n for r in pages.count_by_class(spark, str(tmp_path)).collect()}["d"] == 3
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "mets.xml").write_text(
+        '<mets:mets xmlns:mets="http://www.loc.gov/METS/" xmlns:xlink="http://www.w3.org/1999/xlink"><mets:fileSec><mets:fileGrp USE="IMG"><mets:file ID="f1" MIMETYPE="image/png"><mets:FLocat LOCTYPE="URL" xlink:href="img/1.png"/></mets:file>'
+        '<mets:file ID="f2" MIMETYPE="image/png"><mets:FLocat xlink:href="img/2.png"/></mets:file></mets:fileGrp><mets:fileGrp USE="OCR"><mets:file ID="x1" MIMETYPE="text/xml"><mets:FLocat xlink:href="x/1.xml"/></mets:file></mets:fileGrp></mets:fileSec>'
+        '<mets:structMap TYPE="PHYSICAL"><mets:div TYPE="physSequence"><mets:div ID="p1" ORDER="1"><mets:fptr FILEID="f1"/><mets:fptr FILEID="x1"/></mets:div><mets:div ID="p2" ORDER="2"><mets:fptr FILEID="f2"/></mets:div></mets:div></mets:structMap></mets:mets>'
+    )
+    got = sorted((r.grp, r.page_id, r.ord, r.file_id, r.href) for r in pages.mets_files(spark, str(tmp_path / "w")).collect())
+    assert got == [("IMG", "p1", 1, "f1", "img/1.png"), ("IMG", "p2", 2, "f2", "img/2.png"), ("OCR", "p1", 1, "x1", "x/1.xml")]
