@@ -60,9 +60,9 @@ class Config:
     p: int = 2  # the threshold is p / q
     q: int = 5
     dense: int = 32
-    buffer: int = 2_000_000  # n-grams that a task gathers before it sends them
-    block: int = 16 << 20  # bytes of text whose columns make a block
-    tile: int = 2_000_000  # entries of dense columns in a tile
+    buffer: int = 1_000_000  # n-grams that a task gathers before it sends them
+    block: int = 8 << 20  # bytes of text whose columns make a block
+    tile: int = 250_000  # entries of dense columns in a tile
 
 
 PART = "kind int, x bigint, y bigint, c int, sx int, sy int, part int, blob binary"
@@ -73,7 +73,9 @@ def distinct_grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.
     """(grams, document of each, hash of each document's set, its size); the grams of a document are distinct."""
     g, ptr = gram_hashes(*word_hashes(texts), n)
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    order = np.lexsort((g, doc))
+    order = np.argsort(g)
+    # few documents: a stable sort of small integers takes one pass
+    order = order[np.argsort(doc[order].astype(np.uint16) if len(ptr) < 1 << 16 else doc[order], kind="stable")]
     g, doc = g[order], doc[order]
     if len(g):
         keep = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))
@@ -120,7 +122,7 @@ def _incidence(docs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
             for a in range(0, len(which), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 64].astype(np.int32)), binary(blobs[a : a + 64])], names=["part", "blob"])
 
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 2 << 20):
             g, doc, sets, size = distinct_grams(b.column(1), config.n)
             some = np.flatnonzero(size)
             new, first = np.unique(sets[some], return_index=True)
@@ -142,7 +144,7 @@ def _incidence(docs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
     return rows.mapInArrow(run, "part int, blob binary")
 
 
-def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Config, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def column_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Config, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(x, y, count) of the rows that meet in columns, x < y; entries are sorted by column and row, a pair can come several times."""
     if not len(col):
         return
@@ -230,6 +232,13 @@ def _gathered(blobs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
         size = np.concatenate(sizes)[first].astype(np.int64)
         col, row = np.concatenate(cols), number[np.concatenate(rows)]
         del cols, rows, sets, sizes
+        order = np.argsort(col)
+        col, row = col[order], row[order]
+        same = col[1:] == col[:-1]  # most columns have one row and fall away before the slower sort
+        some = np.append(same, False) | np.append(False, same)
+        col, row = col[some], row[some]
+        if not len(col):
+            return
         order = np.lexsort((row, col))
         col, row = col[order], row[order]
         keep = np.append(True, (col[1:] != col[:-1]) | (row[1:] != row[:-1]))
