@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import layout, shapes, values
+from quire.plans import images, layout, shapes, values
 
-QUERIES: dict = layout.QUERIES | values.QUERIES | shapes.QUERIES
-ORACLES: dict[str, str] = layout.ORACLES | values.ORACLES | shapes.ORACLES
+QUERIES: dict = layout.QUERIES | values.QUERIES | shapes.QUERIES | images.QUERIES
+ORACLES: dict[str, str] = layout.ORACLES | values.ORACLES | shapes.ORACLES | images.ORACLES
