@@ -261,11 +261,11 @@ def label_under_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH p AS MATERIALIZED ({_LPIX}), s AS (SELECT DISTINCT m, y, x FROM ({_PIX}) WHERE f = 'N')
-SELECT m, l, round(avg((y % 10) / 10.0), 6) AS conf FROM p JOIN s USING (m, y, x) GROUP BY m, l
+SELECT m, l, round(avg((y % 10) / 10.0), 4) AS conf FROM p JOIN s USING (m, y, x) GROUP BY m, l
 """)
 def region_confidence(spark: SparkSession, sf: str) -> DataFrame:
     known = runs.normalise(mask(spark, sf, "N"), ["m"]).withColumn("value", (F.col("y") % 10) / 10)
-    return adhere.region_confidence(_lines(spark, sf), known, ["m"], "l").withColumn("conf", F.round("conf", 6))
+    return adhere.region_confidence(_lines(spark, sf), known, ["m"], "l").withColumn("conf", F.round("conf", 4))
 
 
 @query(f"""

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import augment, columns, lines, matching, metrics, polygons, raster, regions, runs
+from quire.operators import augment, columns, lines, matching, metrics, ordering, polygons, raster, regions, runs
 from quire.sources import images, pages
 
 
@@ -384,3 +384,20 @@ def test_files_and_workspaces(spark, tmp_path):
     )
     got = sorted((r.grp, r.page_id, r.ord, r.file_id, r.href) for r in pages.mets_files(spark, str(tmp_path / "w")).collect())
     assert got == [("IMG", "p1", 1, "f1", "img/1.png"), ("IMG", "p2", 2, "f2", "img/2.png"), ("OCR", "p1", 1, "x1", "x/1.xml")]
+
+
+def test_xy_cut_equals_cuts_at_empty_rows_and_columns():
+    def plain(boxes, own):
+        for axis in (1, 0):
+            used = {i for k in own for i in range(boxes[k][axis], boxes[k][axis + 2])}
+            parts = {}
+            for k in own:
+                parts.setdefault(sum(i not in used for i in range(boxes[k][axis])), []).append(k)
+            if len(parts) > 1:
+                return [k for _, part in sorted(parts.items()) for k in plain(boxes, part)]
+        return sorted(own, key=lambda k: (boxes[k][1], boxes[k][0], k))
+
+    r = random.Random(11)
+    for _ in range(300):
+        boxes = [(x := r.randrange(25), y := r.randrange(25), x + r.randint(1, 8), y + r.randint(1, 8)) for _ in range(r.randint(0, 9))]
+        assert ordering.xy_cut(np.array(boxes, float).reshape(-1, 4)) == plain(boxes, list(range(len(boxes))))
