@@ -51,8 +51,8 @@ NULL_ID = -(1 << 63)
 class Config:
     tau: int = 2
     least: int = 24  # bytes from which tau edits don't count
-    buffer: int = 4_000_000  # keys that a task gathers before it sends them
-    block: int = 16 << 20  # bytes of text whose keys make a block
+    buffer: int = 2_000_000  # keys that a task gathers before it sends them
+    block: int = 8 << 20  # bytes of text whose keys make a block
     filter_bits: int = 1 << 29  # of the largest Bloom filter that is broadcast, 16 for each candidate
 
 
@@ -81,27 +81,24 @@ def segments(length: np.ndarray, tau: int) -> tuple[list[np.ndarray], list[np.nd
 def line_keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, is it an index key too) of all keys of the lines."""
     n = end - first
-    keys, lines, both = [], [], []
-
-    def put(shorter: np.ndarray, i: int, at: np.ndarray, size: np.ndarray, ok: np.ndarray, own: bool) -> None:
-        k = np.flatnonzero(ok)
-        a = first[k] + at[k]
-        h = span_hashes(raw, a, a + size[k], first[k])
-        keys.append(mix(h + (shorter[k].astype(np.uint64) * np.uint64(64) + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)))
-        lines.append(k)
-        both.append(np.full(len(k), own))
-
+    at, sizes, salts, own = [], [], [], []
     for delta in range(tau + 1):
         shorter = n - delta
         start, size = segments(shorter, tau)
         for i in range(tau + 1):
             low, high = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
             for shift in range(low, high + 1):
-                at = start[i] + shift
-                put(shorter, i, at, size[i], (size[i] > 0) & (at >= 0) & (at + size[i] <= n), delta == 0 and shift == 0)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(keys), np.concatenate(lines), np.concatenate(both)
+                at.append(start[i] + shift)
+                sizes.append(size[i])
+                salts.append(shorter.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1))
+                own.append(delta == 0 and shift == 0)
+    # all probes of a line side by side, so that its bytes are summed once
+    a, size, salt = (np.stack(x, 1) for x in (at, sizes, salts))
+    ok = (size > 0) & (a >= 0) & (a + size <= n[:, None])
+    a = np.where(ok, a, 0) + first[:, None]
+    key = mix(span_hashes(raw, a, a + np.where(ok, size, 0), first) + salt * np.uint64(0x9E3779B97F4A7C15))
+    line, probe = np.nonzero(ok)
+    return key[line, probe], line, np.array(own)[probe]
 
 
 def within(raw_a: np.ndarray, off_a: np.ndarray, raw_b: np.ndarray, off_b: np.ndarray, tau: int, batch: int = 1 << 22) -> np.ndarray:
@@ -162,11 +159,12 @@ def _band(raw_a, at_a, la, raw_b, at_b, lb, tau: int) -> np.ndarray:
 
 def letter_counts(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """How often each line has bytes of each of eight kinds, modulo 256, in one word; an edit changes the sum of differences by two at most."""
-    size = end - first
-    owner = np.repeat(np.arange(len(first)), size)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[owner]
-    n = np.bincount(owner * 8 + (raw[at] & 7), minlength=8 * len(first))
-    return n.astype(np.uint8).view(np.uint64)
+    kind, out = raw & 7, np.empty((len(first), 8), np.uint8)
+    sums = np.zeros(len(raw) + 1, np.uint8)
+    for k in range(8):
+        np.cumsum(kind == k, dtype=np.uint8, out=sums[1:])
+        out[:, k] = sums[end] - sums[first]
+    return out.view(np.uint64).ravel()
 
 
 def _alike(a: np.ndarray, b: np.ndarray, tau: int) -> np.ndarray:
