@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontam, jaccard, linededup, packing, toxicity
-from quire.llm.common import vocabulary, written
+from quire.llm.common import drop, vocabulary, written
 from quire.session import share_code, table
 
 
@@ -85,7 +85,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = written(made, f"stage-{name}")
+        if k:
+            drop(docs)  # nothing reads it any more
+        docs = made

@@ -421,7 +421,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(own.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "stars")
+        before, now = now, written(small, "stars")
+        drop(before)
         after = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
         if after == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
