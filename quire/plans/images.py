@@ -102,3 +102,27 @@ def bright_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Components of bright pixels of at least two pixels, from label rasters."""
     seg = raster.map_images(images(spark, sf), "image", lambda a: a // 128, "label")
     return regions.found(seg.select("vec_id", F.col("label")), ["vec_id"], 2 / 64, conf=None).select("vec_id", "x0", "y0", "x1", "y1", "area")
+
+
+@query(f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id, y, x FROM ({_PIXELS}) WHERE v >= 128), c AS (
+  SELECT vec_id, y, x, y * 8 + x AS comp FROM p UNION SELECT p.vec_id, p.y, p.x, c.comp FROM c JOIN p ON p.vec_id = c.vec_id AND abs(p.y - c.y) <= 1 AND abs(p.x - c.x) <= 1 AND c.comp < p.y * 8 + p.x),
+m AS (SELECT vec_id, y, x, min(comp) AS comp FROM c GROUP BY ALL), b AS (SELECT vec_id, comp, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS n FROM m GROUP BY vec_id, comp),
+f AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, comp) AS k FROM b)
+SELECT e.vec_id, coalesce(x0, 0)::INT AS x0, coalesce(y0, 0)::INT AS y0, coalesce(x1, 8)::INT AS x1, coalesce(y1, 8)::INT AS y1 FROM embeddings e LEFT JOIN f ON f.vec_id = e.vec_id AND k = 1
+""")
+def page_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The box of the largest component of bright pixels, the whole image without one."""
+    seg = raster.map_images(images(spark, sf), "image", lambda a: a // 128, "label")
+    return regions.frames(seg, "vec_id").select("vec_id", "x0", "y0", "x1", "y1")
+
+
+@query(f"""
+WITH p AS MATERIALIZED ({_PIXELS}), n AS (SELECT vec_id, v, count(*) AS k FROM p GROUP BY vec_id, v),
+c AS (SELECT vec_id, v, sum(k) OVER (PARTITION BY vec_id ORDER BY v) AS w0, sum(k * v) OVER (PARTITION BY vec_id ORDER BY v) AS s0, 64 AS w, sum(k * v) OVER (PARTITION BY vec_id) AS s FROM n),
+t AS (SELECT vec_id, arg_max(v, (w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) ** 2, -v)) AS cut FROM c WHERE w0 < w GROUP BY vec_id)
+SELECT vec_id, count(*) FILTER (WHERE v > cut) AS ink FROM p JOIN t USING (vec_id) GROUP BY vec_id
+""")
+def otsu_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels above each image's threshold of greatest variance between classes."""
+    return pixels(raster.map_images(images(spark, sf), "image", raster.otsu_mask), ["vec_id"]).where("v = 255").groupBy("vec_id").agg(F.count("*").alias("ink"))

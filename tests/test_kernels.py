@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import augment, columns, lines, matching, metrics, ordering, polygons, raster, regions, runs
+from quire.operators.grouped import local_roots
 from quire.sources import images, pages
 
 
@@ -401,3 +402,15 @@ def test_xy_cut_equals_cuts_at_empty_rows_and_columns():
     for _ in range(300):
         boxes = [(x := r.randrange(25), y := r.randrange(25), x + r.randint(1, 8), y + r.randint(1, 8)) for _ in range(r.randint(0, 9))]
         assert ordering.xy_cut(np.array(boxes, float).reshape(-1, 4)) == plain(boxes, list(range(len(boxes))))
+
+
+def test_a_snake_of_ten_thousand_rows_is_one_component():
+    y, x0, x1 = [], [], []
+    for i in range(10_000):  # bars joined left and right in turn, single runs between them
+        y.append(i)
+        x0.append(0 if i % 2 == 0 or i % 4 == 1 else 18)
+        x1.append(20 if i % 2 == 0 else 2 if i % 4 == 1 else 20)
+    a, b = runs.touching(*(np.array(v) for v in (y, x0, x1)))
+    assert len(a) == 9_999 and (local_roots(10_000, a, b) == 0).all()
+    a, b = runs.touching(np.arange(5), np.array([0, 3, 6, 9, 12]), np.array([3, 6, 9, 12, 15]))
+    assert len(a) == 4 and len(runs.touching(np.arange(5), np.array([0, 3, 6, 9, 12]), np.array([3, 6, 9, 12, 15]), False)[0]) == 0
