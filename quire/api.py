@@ -80,24 +80,23 @@ def regions_of(images: DataFrame, zoo: inference.Registry, min_share: float = 0.
 def analysed(images: DataFrame, zoo: inference.Registry, tile: tuple[int, int] | None = None, min_share: float = 0.0002, right_to_left: bool = False, angles: list[float] | None = None) -> DataFrame:
     """(page_id, name, h, w, num_col, slope, border, regions with their lines): all models of a page where it is, nothing shuffled.
 
-    Needs the models `region` and `textline`; `page` (frame), `col_classifier` and
-    `reading_order` are used where the registry has them.
+    Needs the models `region` and `textline`; `page` (frame), `table`, `full_layout` (drop
+    capitals, headings), `col_classifier` and `reading_order` are used where the registry
+    has them.
     """
-    keys = ["page_id", "name"]
-    t = inference.segment(images, "image", zoo.loader("region"), [*keys, "image"], tile)
-    t = inference.segment(t, "image", zoo.loader("textline"), [*keys, "image", F.col("label").alias("r"), F.col("conf").alias("c")], tile).withColumnRenamed("label", "line").drop("conf")
-    t = t.withColumnRenamed("r", "label").withColumnRenamed("c", "conf")
-    have = {c for c, _ in zoo.specs}
-    if "page" in have:
-        t = inference.segment(t, "image", zoo.loader("page"), [*keys, "image", F.col("label").alias("r"), F.col("conf").alias("c"), "line"]).withColumnRenamed("label", "page").drop("conf")
-        t = t.withColumnRenamed("r", "label").withColumnRenamed("c", "conf")
-    else:
-        t = t.withColumn("page", F.lit(None).cast(raster.IMAGE))
+    keys, have = ["page_id", "name"], {c for c, _ in zoo.specs}
+    t = images.select(*keys, "image")
+    for category, tiled in (("region", tile), ("textline", tile), ("page", None), ("table", tile), ("full_layout", tile)):
+        if category in have or category in ("region", "textline"):
+            t = inference.segment(t, "image", zoo.loader(category), t.columns, tiled).withColumnsRenamed({"label": f"m_{category}", "conf": f"c_{category}"})
+        else:
+            t = t.withColumns({f"{k}_{category}": F.lit(None).cast(raster.IMAGE) for k in "mc"})
     if "col_classifier" in have:
-        got = inference.classify(t, "image", zoo.loader("col_classifier"), [*keys, "label", "conf", "line", "page"], (448, 448))
+        got = inference.classify(t, "image", zoo.loader("col_classifier"), [c for c in t.columns if c != "image"], (448, 448))
         t = got.withColumn("expected", scores.column_class(F.col("scores"))["num_col"].cast("int"))
     else:
         t = t.withColumn("expected", F.lit(None).cast("int"))
+    t = t.withColumnsRenamed({"m_region": "label", "c_region": "conf", "m_textline": "line", "m_page": "page", "m_table": "table", "c_table": "table_conf", "m_full_layout": "full"})
     return regions.layout(t, keys, zoo.loader("reading_order") if "reading_order" in have else None, min_share, right_to_left, None if angles is None else np.array(angles))
 
 

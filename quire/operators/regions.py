@@ -233,14 +233,18 @@ LAYOUT = (
 )
 
 
-def analyse(labels: np.ndarray, conf: np.ndarray | None, line_mask: np.ndarray, page_mask: np.ndarray | None = None, expected: int | None = None, model: Callable[[np.ndarray], np.ndarray] | None = None, least: float = 0.0002, right_to_left: bool = False, angles: np.ndarray | None = None) -> dict:
+def analyse(labels: np.ndarray, conf: np.ndarray | None, line_mask: np.ndarray, page_mask: np.ndarray | None = None, expected: int | None = None, model: Callable[[np.ndarray], np.ndarray] | None = None, least: float = 0.0002, right_to_left: bool = False, angles: np.ndarray | None = None, tables: np.ndarray | None = None, table_conf: np.ndarray | None = None, full: np.ndarray | None = None) -> dict:
     """A page's frame, columns, slope, and regions with their lines and order, from the rasters of its models.
 
     What lies outside the frame is nothing. A line belongs to the text region at its centre;
     text regions without a line go. Marginal regions are left or right of the middle of the
-    text; a region stands at the slope of its lines, else at the page's.
+    text; a region stands at the slope of its lines, else at the page's. Tables of a model
+    of their own are painted over; a fuller model gives drop capitals and headings.
     """
     h, w = labels.shape
+    if tables is not None or full is not None:
+        labels, line_mask, conf = early_layout(labels, tables, line_mask, conf, table_conf)
+        labels = labels if full is None else full_layout(labels, full)
     border = None
     if page_mask is not None:
         *_, outline = largest_frame(page_mask)
@@ -273,6 +277,10 @@ def analyse(labels: np.ndarray, conf: np.ndarray | None, line_mask: np.ndarray,
             q["line_idx"] = i
         own = skew([[(q["x"], q["y"]) for q in line["poly"]] for line in r["lines"]])
         r["slope"], r["ord"] = slope if own is None else own, None
+    if full is not None:
+        some = [r for r in rows if r["kind"] == "paragraph"]
+        for r, kind in zip(some, relabel_headings(labels, some, full)):
+            r["kind"] = kind
     main = [r for r in rows if r["kind"] in ("paragraph", "heading", "drop-capital")]
     num_col = columns.column_count(text, expected or 1)
     if model is not None:
@@ -288,7 +296,7 @@ def analyse(labels: np.ndarray, conf: np.ndarray | None, line_mask: np.ndarray,
 
 
 def layout(rasters: DataFrame, keys: list[str], model: Callable[[], Callable] | None = None, least: float = 0.0002, right_to_left: bool = False, angles: np.ndarray | None = None) -> DataFrame:
-    """(keys, h, w, num_col, slope, border, regions) of pages(keys, label, conf, line, page, expected): rasters of regions, their scores, lines and (or null) the page's frame, and (or null) the expected columns."""
+    """(keys, h, w, num_col, slope, border, regions) of pages(keys, label, conf, line, page, expected, table, table_conf, full): rasters of regions, their scores and lines, and (or null) of the page's frame, the expected columns, rasters of tables with their scores and of a fuller model."""
     schema = T.StructType([*(rasters.schema[k] for k in keys), *T._parse_datatype_string(LAYOUT)])
     kinds = to_arrow_schema(schema)
 
@@ -296,14 +304,14 @@ def layout(rasters: DataFrame, keys: list[str], model: Callable[[], Callable] |
         scores, n = None if model is None else model(), len(keys)
         for b in batches:
             got = []
-            for v, c, t, p, e in zip(*(b.column(n + k).to_pylist() for k in range(5))):
+            for v, c, t, p, e, *more in zip(*(b.column(n + k).to_pylist() for k in range(8))):
                 one = lambda x: None if x is None else raster.unpack(x)[..., 0]
                 a = one(v)
-                got.append(None if a is None else analyse(a, one(c), one(t) == 1 if t is not None else a > 0, None if p is None else one(p) > 0, e, scores, least, right_to_left, angles))
+                got.append(None if a is None else analyse(a, one(c), one(t) == 1 if t is not None else a > 0, None if p is None else one(p) > 0, e, scores, least, right_to_left, angles, *map(one, more)))
             cols = [pa.array([None if g is None else g[f.name] for g in got], f.type) for f in list(kinds)[n:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *cols], names=schema.names)
 
-    return rasters.select(*keys, "label", "conf", "line", "page", "expected").mapInArrow(run, schema)
+    return rasters.select(*keys, "label", "conf", "line", "page", "expected", "table", "table_conf", "full").mapInArrow(run, schema)
 
 
 def page_features(seg: DataFrame, expected: str | None = None, key: str = "page_id", angles: np.ndarray | None = None) -> DataFrame:

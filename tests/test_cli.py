@@ -163,3 +163,24 @@ def test_working_sizes_and_line_images(spark):
     one = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.5)], "i int, text string, conf double")
     two = spark.createDataFrame([(1, "x", 0.9), (2, "y", 0.5)], "i int, text string, conf double")
     assert sorted((r.i, r.text) for r in inference.voted(one, two, ["i"]).collect()) == [(1, "x"), (2, "b")]
+
+
+def test_tables_and_a_fuller_model(spark):
+    df = spark.createDataFrame([(1, "p.png", raster.pack(stand_ins.page()))], "page_id bigint, name string, image struct<h:int,w:int,c:int,data:binary>")
+    zoo = stand_ins.registry()
+
+    def at(x0, x1, y0, y1, k, n):
+        def model(x):
+            out = np.zeros((*x.shape[:3], n), np.float32)
+            out[..., 0] = 0.4
+            out[:, y0:y1, x0:x1, k] = 0.8
+            return out
+
+        return lambda path: model
+
+    zoo.add(inference.Spec("table"), at(890, 1420, 450, 660, 1, 2))
+    zoo.add(inference.Spec("full_layout"), at(190, 720, 190, 400, 2, 8))
+    r = api.analysed(df, zoo, angles=[0.0]).select(F.inline("regions")).collect()
+    assert sorted(x.kind for x in r) == ["heading", "heading", "image", "marginalia-left", "paragraph", "paragraph", "table"]
+    assert next(x.conf for x in r if x.kind == "table") == 204 / 255 and sum(len(x.lines) for x in r) == 32
+    assert sorted(x.ord for x in r if x.kind in ("heading", "paragraph")) == [0, 1, 2, 3]
