@@ -9,7 +9,7 @@ whole, however long (a text without blanks is one word): every few places the
 probabilities are scaled to 1 and the scale is kept as a logarithm.
 
 Piece probabilities come from expectation maximisation (forward-backward) over a
-sample of documents for each language, bounded by `Config.sample`; there alone words
+sample of documents for each language, bounded by `Config.sample` and `Config.bytes`; there alone words
 of more than `Config.longest` bytes are cut into runs of that many bytes, each a word
 without blank. The vocabulary is read from a file and never trained; the path is a
 parameter.
@@ -39,6 +39,7 @@ from quire.llm.tokens import pieces, runs, span_hashes, utf8
 @dataclass(frozen=True)
 class Config:
     sample: int = 400  # documents of each language that training reads
+    bytes: int = 64 << 20  # of text that it reads in all
     rounds: int = 4
     smooth: float = 0.02
     longest: int = 64  # bytes of a word in training
@@ -217,20 +218,27 @@ def train(texts: list[str], langs: list[str], vocabulary: list[bytes], config: C
 
 
 def fit(docs: DataFrame, vocabulary: str, config: Config = Config()) -> Model:
-    """Trains on about config.sample documents of each language, picked by a hash of doc_id; vocabulary: the path of a sentencepiece model."""
+    """Trains on config.sample documents of each language and config.bytes of text, picked by a hash of id and text; vocabulary: the path of a sentencepiece model."""
     need(docs, "doc_id", "text", "lang")
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     scale = 1 << 20
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(scale, -(-config.sample * scale * 5 // (4 * n))))).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share).select(F.xxhash64("doc_id").alias("h"), "lang", "text").collect()
-    taken: dict[str, list] = {}
+    near = known.where(F.pmod("h", F.lit(scale)) < share)
+    # repeated rows are one; sizes come first, so that long texts can't bring more than the bound
+    rows = near.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n")).collect()
+    left = dict.fromkeys(sizes, config.bytes // max(1, len(sizes)))
+    count, chosen = dict.fromkeys(sizes, 0), []
     for r in sorted(rows):
-        taken.setdefault(r.lang, []).append(r.text)
-    pairs = [(t, lang) for lang, ts in taken.items() for t in ts[: config.sample]]
-    return train([t for t, _ in pairs], [x for _, x in pairs], read_vocabulary(vocabulary), config)
+        if count[r.lang] < config.sample and r.n <= left[r.lang]:
+            count[r.lang] += 1
+            left[r.lang] -= r.n
+            chosen.append((r.lang, r.h))
+    picked = docs.sparkSession.createDataFrame(chosen, "lang string, h bigint")
+    got = sorted(near.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text").collect())
+    return train([r.text for r in got], [r.lang for r in got], read_vocabulary(vocabulary), config)
 
 
 def _slices(m: Model, raw: np.ndarray, step: int) -> np.ndarray:
