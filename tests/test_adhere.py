@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from quire.operators import adhere
+from quire.plans import shapes
+from tests.compare import spark_rows, sql
 
 
 def rows(df):
@@ -27,3 +29,11 @@ def test_lines_drops_labels(spark):
     assert rows(adhere.region_confidence(drops.where("c = 1 and y = 0"), scores, ["p"], "c")) == [(1, 1, 0.75)]
     profile = spark.createDataFrame([(1, x, 100 if 20 <= x <= 180 and x not in (60, 140) else 1) for x in range(0, 201)], "p int, x int, n int")
     assert rows(adhere.main_bounds(profile, ["p"], 5)) == [(1, 60, 140)]
+
+
+def test_confidence_ties(spark):
+    """Means are rounded from exact sums: four regions of sf0.01 lie halfway between two roundings."""
+    sf = "/root/testdata/sf0.01"
+    exact = shapes.ORACLES["region_confidence"].replace("round(avg((y % 10) / 10.0), 4)", "((2000 * sum(y % 10) + count(*)) // (2 * count(*))) / 10000")
+    assert "avg" not in exact
+    assert spark_rows(shapes.region_confidence(spark, sf)) == sql(exact, sf)
