@@ -18,11 +18,16 @@ completed from the two lists. A pair that can reach the bound by dense columns a
 needs q * dense columns >= p * size in both rows; only such rows take part in a
 second product over the dense columns. Its rows are cut into tiles of about
 `Config.tile` entries and a task takes two tiles, so no group of rows is ever held
-whole. So nothing is cut and every pair is counted exactly.
+whole; it counts the pairs of a strip of rows at a time, each pair once. So nothing is
+cut and every pair is counted exactly.
 
 Each partition of qualifying pairs is folded where it is into link counts and a
 spanning forest, so that pairs themselves go no further, and documents with equal sets
-are never paired with each other.
+are never paired with each other. The pairs of a large group of near copies, whose
+number grows with the square of the group, are mostly settled in the task that counts
+them, where both rows have most of their dense columns: if the columns there make a
+link and all others could not, the link is counted there and nowhere else; if not even
+all others could make one, there is none. Only pairs in between are sent on and summed.
 
 `classes`: (doc_id, class_id, links) for each document that has a link: links is the
 number of other documents at or over the threshold (those with an equal set too),
@@ -284,40 +289,131 @@ def _products(blobs: DataFrame, config: Config) -> DataFrame:
     return blobs.select("part", "blob").mapInArrow(run, PAIR)
 
 
-def _dense_products(dense: DataFrame, config: Config) -> DataFrame:
-    """(x, y, partial overlap, sizes) over dense columns; dense: (x, col, size)."""
-    names = ["x", "y", "c", "sx", "sy"]
-    kinds = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32())])
-
-    def run(t: pa.Table) -> pa.Table:
-        name, number = np.unique(t["x"].to_numpy(), return_inverse=True)
-        size, tile = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
-        size[number], tile[number] = t["size"].to_numpy(), t["tile"].to_numpy()
-        two = t["i"][0].as_py() != t["j"][0].as_py()
-        col = t["col"].to_numpy()
-        order = np.lexsort((number, col))
-        found = []
-        for x, y, c in column_pairs(col[order], number[order], size, config):
-            if two:  # pairs inside a tile are counted where it meets itself
-                k = tile[x] != tile[y]
-                x, y, c = x[k], y[k], c[k]
-            found.append(pa.table([name[x], name[y], c.astype(np.int32), size[x].astype(np.int32), size[y].astype(np.int32)], names=names))
-        return pa.concat_tables([kinds.empty_table(), *found])
+def row_pairs(col: np.ndarray, row: np.ndarray, size: np.ndarray, config: Config, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, count) of the rows that meet in columns, x < y, each pair once with its whole count; entries are sorted by column and row.
 
+    Rows are taken in strips of about `most` meetings. Columns of an eighth of all rows or more are multiplied as a matrix, of at most 32 bytes an entry.
+    """
+    n = len(size)
+    if not len(col):
+        return
+    start = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
+    df = np.diff(np.append(start, len(col)))
+    wide = 8 * df >= n
+    matrix = np.zeros((n, int(wide.sum())), np.float32)
+    inside = np.repeat(wide, df)
+    matrix[row[inside], np.repeat(np.cumsum(wide) - 1, df)[inside]] = 1
+    later = np.where(inside, 0, np.repeat(start + df, df) - np.arange(len(col)) - 1)  # entries of the column after this one
+    at = np.argsort(row, kind="stable")
+    later = later[at]
+    meet = np.concatenate([[0], np.cumsum(np.bincount(row[at], later, n).astype(np.int64))])
+    ends = np.searchsorted(row[at], np.arange(n + 1))
+    a = 0
+    while a < n:
+        span = n - a  # y runs from a
+        tall = max(1, 2 * most // span)
+        b = max(a + 1, int(np.searchsorted(meet, meet[a] + most, side="right")) - 1)
+        b = min(b, n, a + tall) if matrix.shape[1] or b == a + 1 else min(b, n)
+        full = matrix.shape[1] > 0 or b == a + 1 or (b - a) * span <= 2 * most
+        counts = (matrix[a:b] @ matrix[a:].T).astype(np.int32).ravel() if matrix.shape[1] else np.zeros((b - a) * span, np.int32) if full else None
+        lo, keys, times = ends[a], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums = np.cumsum(later[lo : ends[b]])
+        while lo < ends[b]:  # one turn, but for a row of very many meetings
+            base = sums[lo - ends[a] - 1] if lo > ends[a] else 0
+            hi = max(lo + 1, ends[a] + int(np.searchsorted(sums, base + most, side="right")))
+            w = later[lo:hi]
+            y = row[np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(at[lo:hi] + 1, w)]
+            k = np.repeat((row[at[lo:hi]] - a) * span - a, w) + y
+            if full:
+                if len(k):
+                    counts += np.bincount(k, minlength=len(counts)).astype(np.int32)
+            else:
+                keys, times = np.unique(k, return_counts=True)
+            lo = hi
+        if full:
+            keys = np.flatnonzero(counts)
+            times = counts[keys]
+        x, y = keys // span + a, keys % span + a
+        ok = (y > x) & ((config.p + config.q) * np.minimum(size[x], size[y]) >= config.p * (size[x] + size[y]))
+        if ok.any():
+            yield x[ok], y[ok], times[ok].astype(np.int64)
+        a = b
+
+
+def _dealt(dense: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(dense columns (x, col, size, n) with their tiles, once for each task that takes them; home of each row: the group that holds most of its columns, and these columns)."""
     # columns with the same first row go together: those of a group of near copies mostly do, so its pairs meet in few tasks
-    first = dense.groupBy("col").agg(F.min("x").alias("first"), F.count("*").alias("n"))
-    groups = first.groupBy("first").agg(F.sum("n").alias("n")).withColumn("tiles", F.ceil(F.col("n") / config.tile).cast("int"))
-    total = int(groups.agg(F.sum("n")).first()[0] or 0)
+    first = dense.groupBy("col").agg(F.min("x").alias("first"), F.count("*").alias("k"))
+    groups = first.groupBy("first").agg(F.sum("k").alias("k")).withColumn("tiles", F.ceil(F.col("k") / config.tile).cast("int"))
+    total = int(groups.agg(F.sum("k")).first()[0] or 0)
     bins = -(-total // config.tile) or 1
-    dealt = dense.join(first.select("col", "first"), "col").join(groups.select("first", "tiles"), "first")
     one = F.col("tiles") == 1
-    dealt = dealt.withColumn("g", F.when(one, F.pmod(F.xxhash64("first"), F.lit(bins))).otherwise(F.col("first"))).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
+    own = first.select("col", "first").join(groups.select("first", "tiles"), "first")
+    own = own.select("col", "tiles", one.alias("one"), F.when(one, F.pmod(F.xxhash64("first"), F.lit(bins))).otherwise(F.col("first")).alias("g"))
+    placed = dense.join(own, "col")
+    part = placed.groupBy("x", "one", "g").agg(F.collect_list("col").alias("own"))  # no longer than its document
+    homes = written(part.groupBy("x").agg(F.max(F.struct(F.size("own").alias("k"), "one", "g", "own")).alias("h")).select("x", F.struct("h.one", "h.g").alias("home"), "h.own"), "homes")
+    dealt = placed.join(homes.select("x", "home"), "x").withColumn("home", F.struct("one", "g") == F.col("home")).withColumn("tile", F.pmod(F.xxhash64("x"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "k")).withColumn("j", F.greatest("tile", "k"))
-    return dealt.select("x", "col", "size", "tile", "tiles", "g", "i", "j").groupBy((F.col("tiles") == 1).alias("one"), "g", "i", "j").applyInArrow(run, PAIR)
+    return dealt.select("x", "col", "size", "n", "home", "tile", "one", "g", "i", "j"), homes
+
+
+def settled(c, least, both, config: Config):
+    """Whether an overlap of c in the group of columns that is the home of both rows makes a link, and what other columns can add makes none."""
+    p, q = config.p, config.q
+    return ((p + q) * c >= p * both) & ((p + q) * (least - c) < p * both)
+
+
+def _dense_products(dealt: DataFrame, config: Config, settle: bool) -> DataFrame:
+    """Over dense columns: (x, y, partial overlap, sizes) of pairs that may still become links; with n, what settled pairs are folded to: node x, its leader y, its linked documents n."""
+    kinds = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32()), ("n", pa.int64())])
+    p, q = config.p, config.q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, two = [], False
+        for b in batches:
+            if b.num_rows:
+                two = b.column("i")[0].as_py() != b.column("j")[0].as_py()
+                held.append([b.column(k).to_numpy(zero_copy_only=False) for k in ("x", "col", "size", "n", "tile", "home")])
+        if not held:
+            return
+        xs, col, sizes, ns, tiles, homes = (np.concatenate([h[i] for h in held]) for i in range(6))
+        del held
+        name, at, row = np.unique(xs, return_index=True, return_inverse=True)
+        size, number, tile, home = sizes[at].astype(np.int64), ns[at].astype(np.int64), tiles[at], homes[at].astype(bool)
+        del xs, sizes, ns, tiles, homes
+        order = np.lexsort((row, col))
+        col, row = col[order], row[order]
+        del order
+        other = size - np.bincount(row, minlength=len(name))  # a row's columns that are not in this group
+        root, links = np.arange(len(name)), np.zeros(len(name), np.int64)
+        for x, y, c in row_pairs(col, row, size, config):
+            both, least = size[x] + size[y], np.minimum(size[x], size[y])
+            keep = (p + q) * np.minimum(c + np.minimum(other[x], other[y]), least) >= p * both
+            if two:  # pairs inside a tile are counted where it meets itself
+                keep &= tile[x] != tile[y]
+            if settle:
+                done = keep & home[x] & home[y] & settled(c, least, both, config)
+                u, v = x[done], y[done]
+                if len(u):
+                    links += np.bincount(u, number[v], len(name)).astype(np.int64) + np.bincount(v, number[u], len(name)).astype(np.int64)
+                    new = root[u] != root[v]
+                    root = local_roots(len(name), np.concatenate([np.arange(len(name)), u[new]]), np.concatenate([root, v[new]])) if new.any() else root
+                keep &= ~done
+            x, y, c = x[keep], y[keep], c[keep]
+            for a in range(0, len(x), 1 << 16):
+                u, v = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v]), *(pa.array(k.astype(np.int32)) for k in (c[a : a + (1 << 16)], size[u], size[v])), pa.nulls(len(u), pa.int64())], schema=kinds)
+        some = np.flatnonzero(links)
+        for a in range(0, len(some), 1 << 16):
+            u = some[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[root[u]]), *(pa.nulls(len(u), pa.int32()) for _ in range(3)), pa.array(links[u])], schema=kinds)
 
+    return dealt.groupBy("one", "g", "i", "j").applyInArrow(run, PAIR + ", n bigint")
 
-def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """(pairs of sets with overlap, sizes and numbers of documents; sets with first document, number and size; set, id and text of every document; tables to drop)."""
+
+def _counted(docs: DataFrame, config: Config, settle: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(pairs of sets with overlap, sizes and numbers of documents; settled pairs, folded; sets with first document, number and size; set, id and text of every document; tables to drop)."""
     need(docs, "doc_id", "text")
     p, q = config.p, config.q
     blocks = blocks_for(docs, "text", config.block)
@@ -327,30 +423,36 @@ def _counted(docs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, Dat
     members = made.where("kind = 2").select("x", F.struct(F.col("y").alias("id"), r.alias("r")).alias("doc"), F.col("c").alias("size")).distinct()
     sets = members.groupBy("x").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
     dense = made.where("kind = 1").select("x", F.col("y").alias("col"))
-    lists = dense.groupBy("x").agg(F.collect_list("col").alias("cols"))  # no longer than its document
-    info = sets.select("x", "n").join(lists, "x", "left")
     heavy = (
         dense.groupBy("x").agg(F.count("*").alias("k"))
-        .join(sets.select("x", "size"), "x").where(F.col("k") * q >= F.col("size") * p).select("x", "size")
+        .join(sets.select("x", "size", "n"), "x").where(F.col("k") * q >= F.col("size") * p).select("x", "size", "n")
     )
     strong = written(dense.join(heavy, "x"), "dense")
-    more = _dense_products(strong, config)
+    dealt, homes = _dealt(strong, config)
+    done = written(_dense_products(dealt, config, settle), "products")
+    more = done.where("n is null")
+    lists = dense.groupBy("x").agg(F.collect_list("col").alias("cols"))  # no longer than its document
+    info = sets.select("x", "n", "size").join(lists, "x", "left").join(homes, "x", "left")
+    of = lambda k: info.select(F.col("x").alias(k), *(F.col(c).alias(c + k) for c in ("n", "size", "cols", "home", "own")))
     both = (
         few.select("x", "y", "c", F.lit(False).alias("d"), (F.col("sx") + F.col("sy")).alias("both"))
         .unionByName(more.select("x", "y", "c", F.lit(True).alias("d"), (F.col("sx") + F.col("sy")).alias("both")))
     )
     # x and y come in any order of their hashes; dealt by x, the sum needs no exchange of its own and neither does the join to the lists
-    dealt = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "d", "both").repartition(blocks.parts, "x")
-    pairs = dealt.groupBy("x", "y").agg(F.sum(F.when(~F.col("d"), F.col("c")).otherwise(0)).alias("few"), F.sum(F.when(F.col("d"), F.col("c"))).alias("many"), F.max("both").alias("both"))
+    sums = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "c", "d", "both").repartition(blocks.parts, "x")
+    pairs = sums.groupBy("x", "y").agg(F.sum(F.when(~F.col("d"), F.col("c")).otherwise(0)).alias("few"), F.sum(F.when(F.col("d"), F.col("c"))).alias("many"), F.max("both").alias("both"))
     reaches = lambda n: (p + q) * n >= p * F.col("both")
     known = F.col("few") + F.coalesce("many", F.lit(0))
-    may = pairs.join(info.select("x", F.col("n").alias("nx"), F.col("cols").alias("cx")), "x").where(reaches(known) | F.col("many").isNull() & reaches(F.col("few") + F.coalesce(F.size("cx"), F.lit(0))))
-    may = may.withColumn("cx", F.when(F.col("many").isNull(), F.col("cx")))  # the others have their dense overlap: no need to send the list on
+    may = pairs.join(of("x"), "x").where(reaches(known) | F.col("many").isNull() & reaches(F.col("few") + F.coalesce(F.size("colsx"), F.lit(0))))
+    may = may.withColumns({c: F.when(F.col("many").isNull(), F.col(c)) for c in ("colsx", "homex", "ownx")})  # the others have their dense overlap: no need to send the lists on
     kept = (
-        may.join(info.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("cols").alias("cy")), "y")
-        .withColumn("many", F.coalesce("many", F.size(F.array_intersect("cx", "cy")), F.lit(0))).where(reaches(F.col("few") + F.col("many")))
+        may.join(of("y"), "y")
+        .withColumn("total", F.col("few") + F.coalesce("many", F.size(F.array_intersect("colsx", "colsy")), F.lit(0))).where(reaches(F.col("total")))
     )
-    return kept.select("x", "y", (F.col("few") + F.col("many")).alias("overlap"), "both", "nx", "ny"), sets, members, [made, strong]
+    if settle:  # a pair whose partial dense overlap came on cannot be one of the settled; those without any are looked up in their lists
+        before = (F.col("homex") == F.col("homey")) & settled(F.size(F.array_intersect("ownx", "owny")), F.least("sizex", "sizey"), F.col("both"), config)
+        kept = kept.where(~F.coalesce(before, F.lit(False)))
+    return kept.select("x", "y", F.col("total").alias("overlap"), "both", "nx", "ny"), done.where("n is not null").select(F.col("x").alias("u"), F.col("y").alias("v"), "n"), sets, members, [made, strong, homes, done]
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -431,8 +533,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classified(docs: DataFrame, config: Config) -> DataFrame:
     """(doc, lead, links): id and text hash of every document with a link, those of its class's first document, the number of links."""
-    pairs, sets, members, old = _counted(docs, config)
-    folded = written(fold(pairs), "links")
+    pairs, done, sets, members, old = _counted(docs, config, True)
+    folded = written(fold(pairs).unionByName(done), "links")
     sets, members = written(sets, "sets"), written(members.select("x", "doc"), "members")
     drop(*old)
     links = folded.groupBy("u").agg(F.sum("n").alias("l")).select(F.col("u").alias("x"), "l")
@@ -451,7 +553,7 @@ def classes(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 def pairs(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, other_id, overlap, jaccard) between the first documents of different sets; see above."""
-    found, sets, _, _ = _counted(docs, config)
+    found, _, sets, _, _ = _counted(docs, config, False)
     first = sets.select("x", F.col("first.id").alias("id"))
     both = found.join(first.withColumnRenamed("id", "i"), "x").join(first.select(F.col("x").alias("y"), F.col("id").alias("j")), "y")
     return both.select(F.least("i", "j").alias("doc_id"), F.greatest("i", "j").alias("other_id"), "overlap", F.round(F.col("overlap") / (F.col("both") - F.col("overlap")), 6).alias("jaccard"))

@@ -211,6 +211,31 @@ def test_jaccard_equals_brute_force(spark, dense, tile, block):
     assert {x.doc_id for x in jaccard.one_of_each(docs, config).collect()} == set(root.values())
 
 
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_jaccard_counts_each_pair_of_a_tile_once(most):
+    r = np.random.default_rng(4)
+    for n, share in ((40, [0.9] * 6 + [0.05] * 30), (60, [0.04] * 50), (1, [1.0]), (30, [1.0] * 3)):
+        m = r.random((n, len(share))) < share
+        row, col = np.nonzero(m)
+        order = np.lexsort((row, col))
+        size = m.sum(1) + r.integers(1, 4, n)
+        got = [t for x, y, c in jaccard.row_pairs(col[order], row[order], size, jaccard.Config(), most) for t in zip(x.tolist(), y.tolist(), c.tolist())]
+        both = m.astype(int) @ m.T.astype(int)
+        want = {(x, y, int(both[x, y])) for x in range(n) for y in range(x + 1, n) if both[x, y] and 7 * min(size[x], size[y]) >= 2 * (size[x] + size[y])}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_jaccard_settles_pairs_of_near_copies_where_they_are_counted(spark):
+    """60 near copies have 1770 links; none of these pairs is sent on."""
+    rows = [(x, c, 100, 1 + x % 3, True, 0, True, 0, 0, 0) for x in range(60) for c in range(90) if (x + c) % 10]
+    dealt = spark.createDataFrame(rows, "x bigint, col bigint, size int, n bigint, home boolean, tile int, one boolean, g bigint, i int, j int")
+    got = jaccard._dense_products(dealt, jaccard.Config(), True).collect()
+    total = sum(1 + x % 3 for x in range(60))
+    assert sorted((g.x, g.y, g.n) for g in got) == [(x, 0, total - 1 - x % 3) for x in range(60)]
+    pairs = jaccard._dense_products(dealt, jaccard.Config(), False).collect()
+    assert len(pairs) == 1770 and all(g.n is None for g in pairs)
+
+
 def test_jaccard_folds_in_small_steps(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200, 400), 1 + r.randrange(3), 1 + r.randrange(3)) for _ in range(300)]
