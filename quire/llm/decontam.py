@@ -2,7 +2,7 @@
 
 `index` stores the training tokens as postings, partitioned by document: a segment
 holds some megabytes of documents, its sorted terms with counts, and for each term
-the ascending positions (byte planes of their differences, Parquet-compressed). Making it
+the ascending positions (byte planes of their differences, compressed). Making it
 needs no shuffle; phrases are matched inside a segment, so neither do queries.
 
 Test items are cut into all their windows of `Config.n` words (an item of fewer
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import binary, free_names, need, pack_arrays, unpack_arrays, written
+from quire.llm.common import binary, free_names, need, pack_arrays, release, squeezed, unpack_arrays, unsqueezed, written
 from quire.llm.tokens import WORD_RE, pieces, word_hashes
 
 
@@ -75,9 +75,9 @@ def index(docs: DataFrame, config: Config = Config()) -> DataFrame:
             gaps[start] = order[start]
             terms = sorted_[start]
             return pa.RecordBatch.from_arrays([
-                binary([pack_arrays(np.diff(terms, prepend=np.uint64(0)), np.diff(np.append(start, len(words))).astype(np.uint32))]),
-                binary([pack_arrays(gaps.astype(np.uint32))]),
-                binary([pack_arrays(ids, known.astype(np.uint8), np.cumsum(sizes).astype(np.int64), texts)]),
+                binary([squeezed(pack_arrays(np.diff(terms, prepend=np.uint64(0)), np.diff(np.append(start, len(words))).astype(np.uint32)))]),
+                binary([squeezed(pack_arrays(gaps.astype(np.uint32)))]),
+                binary([squeezed(pack_arrays(ids, known.astype(np.uint8), np.cumsum(sizes).astype(np.int64), texts))]),
             ], names=["terms", "postings", "docs"])
 
         for b in pieces(batches, "text"):
@@ -87,8 +87,10 @@ def index(docs: DataFrame, config: Config = Config()) -> DataFrame:
             count += len(words)
             if count >= config.segment:
                 yield segment()
+                release()
         if held:
             yield segment()
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("r")).mapInArrow(run, "terms binary, postings binary, docs binary")
 
@@ -137,7 +139,7 @@ class Segment:
     """The postings of a query's terms in one segment."""
 
     def __init__(self, terms: bytes, postings: bytes, docs: bytes, wanted: np.ndarray):
-        gaps, counts = unpack_arrays(terms, np.uint64, np.uint32)
+        gaps, counts = unpack_arrays(unsqueezed(terms), np.uint64, np.uint32)
         own = np.cumsum(gaps, dtype=np.uint64)
         counts = counts.astype(np.int64)
         at = np.searchsorted(own, wanted)
@@ -148,14 +150,14 @@ class Segment:
         self.count[there] = counts[at[there]]
         begin = np.zeros(len(wanted), np.int64)
         begin[there] = first[at[there]]
-        (steps,) = unpack_arrays(postings, np.uint32)
+        (steps,) = unpack_arrays(unsqueezed(postings), np.uint32)
         term, place = _ranges(begin, self.count)
         run = np.cumsum(steps[place].astype(np.int64))
         self.first = np.cumsum(self.count) - self.count  # of each term in pos
         base = np.append(0, run)[self.first]
         self.pos = run - base[term]
         self.key = (term << 32) | self.pos  # ascending
-        ids, known, self.ends, self.texts = unpack_arrays(docs, np.int64, np.uint8, np.int64, np.int64)
+        ids, known, self.ends, self.texts = unpack_arrays(unsqueezed(docs), np.int64, np.uint8, np.int64, np.int64)
         self.ids, self.known = ids, known.astype(bool)
 
     def holds(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -166,8 +168,8 @@ class Segment:
         return out & (high >= low)
 
 
-def search(s: Segment, q: Query, config: Config, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, window) of exact and of near matches, with repetitions."""
+def search(s: Segment, q: Query, config: Config, most: int = 250_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, window) of exact and of near matches, with repetitions; about `most` occurrences are tried at once."""
     starts = np.append(0, s.ends[:-1])
     found: list[list] = [[], [], [], []]
     allowed = np.minimum(config.misses, q.size // 4)
@@ -219,8 +221,8 @@ def _counts(stored: DataFrame, terms: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(at.value), np.int64)
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                gaps, counts = unpack_arrays(raw, np.uint64, np.uint32)
+            for raw in b.column(0):
+                gaps, counts = unpack_arrays(unsqueezed(raw.as_py()), np.uint64, np.uint32)
                 own = np.cumsum(gaps, dtype=np.uint64)
                 k = np.searchsorted(own, at.value)
                 there = np.flatnonzero(k < len(own))
@@ -267,15 +269,20 @@ def _matches(stored: DataFrame, q: Query, config: Config, keys: list[str]) -> Da
         per_item = np.zeros(len(q.items), np.int64)
         if len(q.item):
             np.add.at(per_item, np.unique(q.item * (1 << 32) + q.start) >> 32, 1)
+
+        def found(row: tuple) -> pa.RecordBatch:
+            s = Segment(*(x.as_py() for x in row), q.terms)
+            ed, ew, nd, nw = search(s, q, config)
+            d, w, exact = np.concatenate([ed, nd]), np.concatenate([ew, nw]), np.repeat([1, 0], [len(ed), len(nd)])
+            return pa.RecordBatch.from_arrays([
+                pa.array(s.ids[d], pa.int64(), mask=~s.known[d]), pa.array(s.texts[d]), pa.array([q.items[i] for i in q.item[w]], pa.int64()),
+                pa.array(q.start[w]), pa.array(exact.astype(np.int32)), pa.array(per_item[q.item[w]].astype(np.int32)),
+            ], names=["doc_id", "r", "item_id", "start", "exact", "windows"])
+
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                s = Segment(*row, q.terms)
-                ed, ew, nd, nw = search(s, q, config)
-                d, w, exact = np.concatenate([ed, nd]), np.concatenate([ew, nw]), np.repeat([1, 0], [len(ed), len(nd)])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(s.ids[d], pa.int64(), mask=~s.known[d]), pa.array(s.texts[d]), pa.array([q.items[i] for i in q.item[w]], pa.int64()),
-                    pa.array(q.start[w]), pa.array(exact.astype(np.int32)), pa.array(per_item[q.item[w]].astype(np.int32)),
-                ], names=["doc_id", "r", "item_id", "start", "exact", "windows"])
+            for row in zip(*b.columns):  # one segment at a time: a batch can hold some
+                yield found(row)
+                release()
 
     hits = stored.mapInArrow(run, "doc_id bigint, r bigint, item_id bigint, start bigint, exact int, windows int")
     once = hits.groupBy(*keys, "item_id", "windows", "start").agg(F.max("exact").alias("exact"), F.min("exact").alias("far"))

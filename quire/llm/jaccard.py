@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Blocks, Seen, binary, blocks_for, by_block, drop, exchange, free_names, need, pack_arrays, part_of, unpack_arrays, written
+from quire.llm.common import Blocks, Seen, binary, blocks_for, by_block, drop, exchange, free_names, need, pack_arrays, part_of, release, squeezed, unpack_arrays, unsqueezed, written
 from quire.llm.tokens import WORD_RE, gram_hashes, mix, pieces, word_hashes
 
 
@@ -123,7 +123,7 @@ def _incidence(docs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
             for i in range(len(which)):
                 e, o = slice(cut[i], cut[i + 1]), by_home[home_cut[i] : home_cut[i + 1]]
                 used, local = np.unique(row[e], return_inverse=True)
-                blobs.append(pack_arrays(np.diff(g[e], prepend=np.uint64(0)), local.astype(np.uint32), sets[used], size[used], sets[owner[o]], size[owner[o]], ids[o], texts[o]))
+                blobs.append(squeezed(pack_arrays(np.diff(g[e], prepend=np.uint64(0)), local.astype(np.uint32), sets[used], size[used], sets[owner[o]], size[owner[o]], ids[o], texts[o])))
             for a in range(0, len(which), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(which[a : a + 64].astype(np.int32)), binary(blobs[a : a + 64])], names=["part", "blob"])
 
@@ -143,7 +143,9 @@ def _incidence(docs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
             count += len(g)
             if count >= config.buffer:
                 yield from send()
+                release()
         yield from send()
+        release()
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("r"))
     return rows.mapInArrow(run, "part int, blob binary")
@@ -223,7 +225,7 @@ def _gathered(blobs: DataFrame, config: Config, blocks: Blocks) -> DataFrame:
     def block(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         cols, rows, sets, sizes, base = [], [], [], [], 0
         for raw in blobs:
-            g, local, s, z, own, own_size, ids, texts = unpack_arrays(raw, np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.int64, np.uint64)
+            g, local, s, z, own, own_size, ids, texts = unpack_arrays(unsqueezed(raw), np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.int64, np.uint64)
             cols.append(np.cumsum(g, dtype=np.uint64))
             rows.append(local.astype(np.int64) + base)
             base += len(s)
@@ -369,7 +371,7 @@ def _dense_products(dealt: DataFrame, config: Config, settle: bool) -> DataFrame
     kinds = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int32()), ("sx", pa.int32()), ("sy", pa.int32()), ("n", pa.int64())])
     p, q = config.p, config.q
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, two = [], False
         for b in batches:
             if b.num_rows:
@@ -409,6 +411,10 @@ def _dense_products(dealt: DataFrame, config: Config, settle: bool) -> DataFrame
             u = some[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[root[u]]), *(pa.nulls(len(u), pa.int32()) for _ in range(3)), pa.array(links[u])], schema=kinds)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from group(batches)
+        release()
+
     return dealt.groupBy("one", "g", "i", "j").applyInArrow(run, PAIR + ", n bigint")
 
 

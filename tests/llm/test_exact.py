@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import random
+import tracemalloc
 from datetime import date
 
 import numpy as np
@@ -8,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import decontam, jaccard, knn, langid, linededup, ogg, packing, pii, sstable, toxicity
-from quire.llm.tokens import span_hashes
+from quire.llm import common, decontam, jaccard, knn, langid, linededup, ogg, packing, pii, sstable, toxicity
+from quire.llm.tokens import span_hashes, word_hashes
 from quire.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -167,6 +168,40 @@ def test_decontamination_planted(spark):
     assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == sorted(map(tuple, got.values()))
 
 
+def test_segments_and_blobs_are_taken_one_at_a_time():
+    blobs = [bytes([k]) * 1_000_000 for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k // 4 for k in range(40)], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    tracemalloc.start()
+    got = [sum(raw[0] for raw in own) for own in common.by_block(iter([batch]))]
+    blob_peak = tracemalloc.get_traced_memory()[1]
+    assert got == [sum(range(4 * k, 4 * k + 4)) for k in range(10)] and blob_peak < 10_000_000
+    # 7,000 windows of words that occur some 300 times each
+    r = np.random.default_rng(5)
+    said = r.integers(0, 1000, 300_000).reshape(300, 1000)
+    q = decontam.windows_of([(0, " ".join(f"w{k}" for k in said[:8].ravel()[:7007]))], decontam.Config())
+    words, ptr = word_hashes(pa.array([" ".join(f"w{k}" for k in row) for row in said]))
+    order = np.argsort(words, kind="stable")
+    terms, start, count = np.unique(words[order], return_index=True, return_counts=True)
+    gaps = np.diff(order, prepend=0)
+    gaps[start] = order[start]
+    docs = np.arange(300)
+    raw = [common.pack_arrays(np.diff(terms, prepend=np.uint64(0)), count.astype(np.uint32)), common.pack_arrays(gaps.astype(np.uint32)), common.pack_arrays(docs, np.ones(300, np.uint8), ptr[1:].astype(np.int64), docs)]
+    small = [common.squeezed(x) for x in raw]
+    assert [common.unsqueezed(x) for x in small] == raw and sum(map(len, small)) < 0.6 * sum(map(len, raw))
+    s = decontam.Segment(*small, q.terms)
+    decontam.rank(q, s.count)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    found = decontam.search(s, q, decontam.Config())
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    inside = {(w // 1000, w) for w in range(7000) if w % 1000 <= 992}
+    assert set(zip(found[0].tolist(), found[1].tolist())) == inside
+    # the rest runs over the end of a document, and up to two words of it may miss
+    assert set(zip(found[2].tolist(), found[3].tolist())) >= inside
+
+
 def test_decontamination_takes_items_of_any_length(spark):
     docs = spark.createDataFrame([(1, "an old Grey mare"), (2, "grey, mare"), (None, "the old grey mare she ain't"), (None, "unlike the others"), (3, "the grey old mare")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(0, "old grey mare"), (1, "Mare!"), (2, "the old grey mare")], "item_id bigint, text string")
