@@ -246,6 +246,15 @@ def to_runs(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, column).mapInArrow(run, schema)
 
 
+def painted(t: pa.Table, h: int, w: int, label: str | None = None, scale: int = 1) -> np.ndarray:
+    """The image of runs (y, x0, x1) of h x w in 255 or their label, each pixel `scale` times as wide and high; what lies outside is cut off."""
+    a = np.zeros((h, w), np.uint8)
+    for y, x0, x1, *k in zip(*(t.column(c).to_pylist() for c in ("y", "x0", "x1", *([label] if label else [])))):
+        if 0 <= y < h:
+            a[y, max(0, x0) : max(0, x1)] = k[0] if k else 255
+    return a if scale == 1 else a.repeat(scale, 0).repeat(scale, 1)
+
+
 def from_runs(runs: DataFrame, keys: list[str], h: int, w: int, label: str | None = None) -> DataFrame:
     """(keys, image) of h x w: runs (keys, y, x0, x1) painted in 255 or their label; what lies outside is cut off."""
     from quire.operators.grouped import by_key
@@ -253,12 +262,7 @@ def from_runs(runs: DataFrame, keys: list[str], h: int, w: int, label: str | Non
     kind = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("c", pa.int32()), ("data", pa.binary())])
 
     def kernel(t: pa.Table) -> pa.Table:
-        a = np.zeros((h, w), np.uint8)
-        cols = [t.column(c).to_pylist() for c in ("y", "x0", "x1", *([label] if label else []))]
-        for y, x0, x1, *k in zip(*cols):
-            if 0 <= y < h:
-                a[y, max(0, x0) : max(0, x1)] = k[0] if k else 255
-        return t.slice(0, 1).select(keys).append_column("image", pa.array([pack(a)], kind))
+        return t.slice(0, 1).select(keys).append_column("image", pa.array([pack(painted(t, h, w, label))], kind))
 
     schema = T.StructType([*(runs.schema[k] for k in keys), T.StructField("image", IMAGE)])
     return by_key(runs.select(*keys, "y", "x0", "x1", *([label] if label else [])), keys, ["y", "x0"], kernel, schema)
