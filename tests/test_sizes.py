@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import columns, raster
+from quire.operators import columns, matching, raster
 from quire.operators.grouped import by_key
 
 
@@ -27,3 +27,15 @@ def test_page_boxes_of_runs_as_of_images(spark):
     none = F.lit(None).cast("array<struct<x0:int,x1:int,y0:int,y1:int>>")
     want = columns.page_boxes(image.select("m", F.col("image").alias("text"), F.lit(None).cast(raster.IMAGE).alias("seps"), F.lit(2).alias("num_col"), none.alias("headings")), "m")
     assert sorted(map(tuple, columns.page_boxes_of_runs(t, "m", 40, 70, 2, scale=10).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_equal_intervals_take_no_room(spark, tmp_path):
+    rows = [(i, float(i % 7), float(i % 7 + 3)) for i in range(3000)]
+    boxes, points = spark.createDataFrame(rows, "b int, low double, high double"), spark.createDataFrame([(i, i % 100 / 10) for i in range(4000)] + [(-1, None)], "p int, at double")
+    for closed in (False, True):
+        got = matching.contained_in_interval(points, "at", boxes, "low", "high", 3.0, closed=closed, most=100).select("p", "b")
+        want = points.crossJoin(boxes).where("low <= at and at <= high" if closed else "low <= at and at < high").select("p", "b")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    matching.contained_in_interval(points, "at", boxes, "low", "high", 3.0).select("p", "b").write.parquet(str(tmp_path / "out"))
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.6 * spark.read.parquet(str(tmp_path / "out")).count()
