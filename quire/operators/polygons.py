@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quire.operators import raster
@@ -290,16 +291,51 @@ def join_by(df: DataFrame, keys: list[str], column: str = "poly", scale: float =
     return by_key(df.select(*keys, column), keys, [], kernel, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{column}` {POLY}"]))
 
 
+def _corners(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(corners of each, 0 for null; the first four of each as x and y; bounding boxes x0, y0, x1, y1 on whole pixels) of a column of polygons."""
+    n = pc.fill_null(pc.list_value_length(polygons), 0).to_numpy().astype(np.int64)
+    flat = polygons.flatten()
+    x, y = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y"))
+    some = np.flatnonzero(n)
+    start = np.cumsum(n) - n
+    box = np.zeros((len(n), 4))
+    for k, (v, f) in enumerate(((x, np.minimum), (y, np.minimum), (x, np.maximum), (y, np.maximum))):
+        if len(some):
+            box[some, k] = f.reduceat(v, start[some])
+    box[:, :2], box[:, 2:] = np.floor(box[:, :2]), np.ceil(box[:, 2:])
+    four = np.zeros((2, len(n), 4))
+    quads = np.flatnonzero(n == 4)
+    for k, v in enumerate((x, y)):
+        four[k, quads] = v[start[quads, None] + np.arange(4)]
+    return n, four[0], four[1], box
+
+
+def _upright(n: np.ndarray, x: np.ndarray, y: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which polygons are rectangles along the axes, as they are traced."""
+    as_traced = (x == box[:, [0, 2, 2, 0]]).all(1) & (y == box[:, [1, 1, 3, 3]]).all(1)
+    return (n == 4) & as_traced
+
+
 def intersect_columns(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The polygons of column a cut with those of b; null where they share no area or either is null."""
+    """The polygons of column a cut with those of b; null where they share no area or either is null.
+
+    Only pairs whose bounding boxes share an area are looked at; of two upright
+    rectangles the share is their boxes', all others are painted.
+    """
 
     def run(batches):
         for batch in batches:
             at, with_ = batch.schema.get_field_index(a), batch.schema.get_field_index(b)
-            new = []
-            for p, q in zip(batch.column(at).to_pylist(), batch.column(with_).to_pylist()):
-                got = None if p is None or q is None else intersection(*([(c["x"], c["y"]) for c in v] for v in (p, q)))
-                new.append(None if got is None else [{"x": int(x), "y": int(y)} for x, y in got])
-            yield pa.RecordBatch.from_arrays([pa.array(new, _KIND) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            p, q = _corners(batch.column(at)), _corners(batch.column(with_))
+            low, high = np.maximum(p[3][:, :2], q[3][:, :2]), np.minimum(p[3][:, 2:], q[3][:, 2:])
+            near = (p[0] >= 3) & (q[0] >= 3) & (low < high).all(1)
+            plain = near & _upright(*p) & _upright(*q)
+            new: list = [None] * batch.num_rows
+            for i in np.flatnonzero(near & ~plain).tolist():
+                new[i] = intersection(*([(c["x"], c["y"]) for c in batch.column(k)[i].as_py()] for k in (at, with_)))
+            for i, (x0, y0), (x1, y1) in zip(np.flatnonzero(plain).tolist(), low[plain].tolist(), high[plain].tolist()):
+                new[i] = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+            got = pa.array([None if v is None else [{"x": int(x), "y": int(y)} for x, y in v] for v in new], _KIND)
+            yield pa.RecordBatch.from_arrays([got if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return df.mapInArrow(run, ", ".join(f"`{n}` {POLY if n == a else k}" for n, k in df.dtypes))

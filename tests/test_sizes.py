@@ -1,10 +1,12 @@
 """Operators on what large tables bring: many keys, many images, long numbers, halves between two values."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import columns, matching, raster
+from quire.operators import columns, matching, polygons, raster
 from quire.operators.grouped import by_key
 
 
@@ -39,3 +41,17 @@ def test_equal_intervals_take_no_room(spark, tmp_path):
     matching.contained_in_interval(points, "at", boxes, "low", "high", 3.0).select("p", "b").write.parquet(str(tmp_path / "out"))
     size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
     assert size < 0.6 * spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def test_intersections_are_painted_only_where_they_must_be(spark):
+    rng = np.random.default_rng(5)
+    rect = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    odd = [None, [], [(0, 0), (5, 5)], [(0, 0), (9, 3), (2, 9)], [(0, 8), (8, 8), (8, 0), (0, 0)], rect(3, 3, 3, 9), [(1, 1), (9, 9), (9, 1), (1, 9)]]
+    shapes = odd + [rect(int(x), int(y), int(x + w), int(y + h)) for x, y, w, h in rng.integers(0, 12, (40, 4))]
+    pairs = [(i, j) for i in range(len(shapes)) for j in range(len(shapes))]
+    df = spark.createDataFrame([(i, j, shapes[i], shapes[j]) for i, j in pairs], f"i int, j int, a {polygons.POLY}, b {polygons.POLY}")
+    got = {(r.i, r.j): None if r.a is None else [tuple(p) for p in r.a] for r in polygons.intersect_columns(df, "a", "b").collect()}
+    assert got == {(i, j): None if shapes[i] is None or shapes[j] is None else polygons.intersection(shapes[i], shapes[j]) for i, j in pairs}
+    many = spark.range(200_000, numPartitions=4).selectExpr("id", *(f"transform(array(0, 40, 40, 0), (v, k) -> struct(v + int(id % 50) * {d} as x, if(k < 2, 0, 30) as y)) as {c}" for c, d in (("a", 1), ("b", -1))))
+    began = time.time()
+    assert polygons.intersect_columns(many, "a", "b").where("a is not null").count() == 200_000 // 50 * 20 and time.time() - began < 30
