@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from quire.operators import raster
 from quire.operators.columns import grow, labelled, mask_runs
-from quire.operators.grouped import by_key, local_roots
+from quire.operators.grouped import by_key, by_keys, local_roots
 
 Polygon = list[tuple[int, int]]
 POLY = "array<struct<x:int,y:int>>"
@@ -263,6 +263,56 @@ def contours(runs: DataFrame, keys: list[str], comp: str = "comp") -> DataFrame:
     return by_key(runs.select(*keys, "y", "x0", "x1", comp), keys, [comp, "y", "x0"], kernel, schema)
 
 
+def _rectangles(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(corners of each, x, y) of the traced outlines of filled boxes, ends included; one pixel wide or high they have two corners, or one."""
+    wide, high = x1 > x0, y1 > y0
+    keep = np.stack([np.ones(len(x0), bool), wide, wide & high, high], 1)
+    return keep.sum(1), np.stack([x0, x1, x1, x0], 1)[keep], np.stack([y0, y0, y1, y1], 1)[keep]
+
+
+def _polygon_array(n: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Polygons of n corners each, none where n is negative."""
+    at = np.concatenate([[0], np.cumsum(np.maximum(n, 0))]).astype(np.int32)
+    corners = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=np.append(n < 0, False)), corners)
+
+
+def box_contours(boxes: DataFrame, keys: list[str], dx: int = 0, dy: int = 0) -> DataFrame:
+    """(keys, poly, hole, area): outlines and holes of what the boxes (x0, y0, x1, y1, half open) of each key cover, grown by a rectangle, and the pixels of it.
+
+    As `contours` of `runs.dilate` of `runs.from_boxes`, but boxes stay boxes: one alone
+    has its corners for an outline, only several of a key are painted. Boxes may be keys.
+    """
+    names = ["x0", "y0", "x1", "y1"]
+
+    def painted(b: np.ndarray) -> tuple[int, list[tuple[Polygon, bool]]]:
+        ox, oy = b[:, 0].min(), b[:, 1].min()
+        m = np.zeros((b[:, 3].max() - oy, b[:, 2].max() - ox), bool)
+        for x0, y0, x1, y1 in (b - (ox, oy, ox, oy)).tolist():
+            m[y0:y1, x0:x1] = True
+        return int(m.sum()), [([(x + ox, y + oy) for x, y in p], parent >= 0) for p, parent in outlines(m)]
+
+    def kernel(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        b = np.stack([t.column(c).to_numpy().astype(np.int64) for c in names], 1) + (-dx, -dy, dx, dy)
+        stop = np.append(starts[1:], len(b))
+        low, high = np.minimum.reduceat(b, starts), np.maximum.reduceat(b, starts)
+        alone = (low == high).all(1)
+        one = low[alone]
+        n, x, y = _rectangles(one[:, 0], one[:, 1], one[:, 2] - 1, one[:, 3] - 1)
+        rows, area, hole = starts[alone], (one[:, 2] - one[:, 0]) * (one[:, 3] - one[:, 1]), np.zeros(len(one), bool)
+        polys = [_polygon_array(n, x, y)]
+        for k in np.flatnonzero(~alone).tolist():
+            size, found = painted(np.unique(b[starts[k] : stop[k]], axis=0))
+            rows, area, hole = np.append(rows, [starts[k]] * len(found)), np.append(area, [size] * len(found)), np.append(hole, [h for _, h in found])
+            polys.append(pa.array([[{"x": int(px), "y": int(py)} for px, py in p] for p, _ in found], _KIND))
+        out = t.select(keys).take(pa.array(rows, pa.int64()))
+        return out.append_column("poly", pa.chunked_array(polys, _KIND)).append_column("hole", pa.array(hole.astype(bool))).append_column("area", pa.array(area, pa.int64())).combine_chunks()
+
+    kinds = dict(boxes.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"poly {POLY}, hole boolean, area bigint"])
+    return by_keys(boxes.where("x0 < x1 and y0 < y1").select(*keys, *[c for c in names if c not in keys]), keys, [], kernel, schema)
+
+
 def map_polygons(df: DataFrame, column: str, kernel: Callable[[Polygon], Polygon | None]) -> DataFrame:
     """The column's polygons replaced by what the kernel makes of each; null stays null."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import columns, matching, polygons, raster
+from quire.operators import columns, matching, polygons, raster, runs
 from quire.operators.grouped import by_key
 
 
@@ -55,3 +55,19 @@ def test_intersections_are_painted_only_where_they_must_be(spark):
     many = spark.range(200_000, numPartitions=4).selectExpr("id", *(f"transform(array(0, 40, 40, 0), (v, k) -> struct(v + int(id % 50) * {d} as x, if(k < 2, 0, 30) as y)) as {c}" for c, d in (("a", 1), ("b", -1))))
     began = time.time()
     assert polygons.intersect_columns(many, "a", "b").where("a is not null").count() == 200_000 // 50 * 20 and time.time() - began < 30
+
+
+def test_boxes_alone_are_not_painted(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), int(x), int(y), int(x + w), int(y + h)) for k, x, y, w, h in zip(rng.integers(0, 60, 150), *rng.integers(0, 14, (2, 150)), *rng.integers(0, 7, (2, 150)))]
+    t = spark.createDataFrame([*rows, rows[0], (None, 1, 1, 4, 3), (99, 5, 5, 5, 9)], "k int, x0 int, y0 int, x1 int, y1 int")
+    for dx, dy in ((0, 0), (2, 1)):
+        got = polygons.box_contours(t, ["k"], dx, dy)
+        grown = runs.dilate(runs.from_boxes(t, ["k"]), ["k"], dx, dy)
+        want = polygons.contours(grown.withColumn("comp", F.lit(1)), ["k"]).select("k", "poly", F.col("parent").isNotNull().alias("hole"))
+        assert got.select("k", "poly", "hole").exceptAll(want).isEmpty() and want.exceptAll(got.select("k", "poly", "hole")).isEmpty()
+        size = runs.area(grown, ["k"])
+        assert got.select("k", "area").distinct().exceptAll(size).isEmpty() and got.select("k").distinct().count() == size.count()
+    began = time.time()
+    many = spark.range(100_000).selectExpr("id as k", "int(id % 90) as x0", "3 as y0", "int(id % 90 + 40) as x1", "20 as y1")
+    assert polygons.box_contours(many, ["k"], 3, 3).where("area = 46 * 23 and size(poly) = 4").count() == 100_000 and time.time() - began < 30
