@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import bbox, point_in_polygon
+from quire.operators.grouped import by_key
 
 
 def with_cells(df: DataFrame, low: str, high: str, width: float, cell: str = "cell") -> DataFrame:
@@ -122,20 +129,131 @@ def by_rank(left: DataFrame, right: DataFrame, keys: list[str], size: str, to_si
     return left.withColumn(rank, n(size, row)).join(right.withColumn(rank, n(to_size, to_row)), [*keys, rank])
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows to rows, to nine places; infinite where a number is missing."""
+    d = a - b
+    d = np.floor(np.sqrt(d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2) * 1e9 + 0.5) / 1e9
+    return np.where(np.isnan(d), np.inf, d)
+
+
+def _within(a: np.ndarray, b: np.ndarray, far: float, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, distances) of all pairs up to `far` apart and some more, about `most` at a time: rows meet those of the grid cells around theirs. If `far` is infinite, all pairs."""
+    if not np.isfinite(far):
+        step = max(1, most // len(b))
+        for k in range(0, len(a), step):
+            i, j = (v.ravel() for v in np.indices((min(step, len(a) - k), len(b))))
+            yield i + k, j, _distances(a[i + k], b[j])
+        return
+    ia, ib = (np.flatnonzero(~np.isnan(v).any(1)) for v in (a, b))
+    if not len(ia) or not len(ib):
+        return
+    low = b[ib].min(0)
+    wide = max(far + 2e-9, float(np.ptp(b[ib], axis=0).max()) / 1e5)
+    p, q = np.floor((a[ia] - low) / wide), np.floor((b[ib] - low) / wide).astype(np.int64)
+    size = q.max(0) + 1
+    p = np.clip(p, -2, size + 1).astype(np.int64)
+    cell = (q[:, 0] * size[1] + q[:, 1]) * size[2] + q[:, 2]
+    by = np.argsort(cell, kind="stable")
+    cell, ib = cell[by], ib[by]
+    bottom, top = np.maximum(p[:, 2] - 1, 0), np.minimum(p[:, 2] + 1, size[2] - 1)
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            x, y = p[:, 0] + dx, p[:, 1] + dy
+            own = np.flatnonzero((x >= 0) & (x < size[0]) & (y >= 0) & (y < size[1]) & (bottom <= top))
+            base = (x[own] * size[1] + y[own]) * size[2]
+            first, stop = np.searchsorted(cell, base + bottom[own], "left"), np.searchsorted(cell, base + top[own], "right")
+            n = stop - first
+            sums = np.cumsum(n)
+            k = 0
+            while k < len(own):
+                z = max(k + 1, int(np.searchsorted(sums, (sums[k - 1] if k else 0) + most, "right")))
+                m = n[k:z]
+                i = np.repeat(ia[own[k:z]], m)
+                j = ib[np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[k:z], m)]
+                if len(i):
+                    yield i, j, _distances(a[i], b[j])
+                k = z
+
+
+def _nearest_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each row of a to b: looked for in cells that grow until one lies no further away than the cells are sure to reach."""
+    best = np.full(len(a), np.inf)
+    whole = [v[~np.isnan(v).any(1)] for v in (a, b)]
+    todo = np.flatnonzero(~np.isnan(a).any(1))
+    if not len(todo) or not len(whole[1]):
+        return best
+    reach = float(np.ptp(np.concatenate(whole), axis=0).max())
+    far = reach / max(1.0, len(whole[1]) ** (1 / 3))
+    while len(todo):
+        for i, _, d in _within(a[todo], b, far):
+            np.minimum.at(best, todo[i], d)
+        if far > reach:
+            break
+        todo = todo[best[todo] > far]
+        far = 2 * far + 1e-9
+    return best
+
+
+def _last_first_met(idx: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, best: np.ndarray, far: float) -> list[tuple]:
+    """(idx, smallest other) at distance `far` of the rows first met there, of equal idx together."""
+    ids, group = np.unique(idx, return_inverse=True)
+    low = _lowest(idx, best)
+    rows = np.flatnonzero((low[group] == far) & (best == far))
+    partners, rank = np.unique(other, return_inverse=True)
+    first = np.full(len(ids), len(partners))
+    for i, j, d in _within(a[rows], b, far):
+        hit = d == far
+        np.minimum.at(first, group[rows[i[hit]]], rank[j[hit]])
+    return [(ids[k], partners[first[k]]) for k in np.flatnonzero(first < len(partners)).tolist()]
+
+
 def nearest_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, d) of two sides (keys, idx, cx, cy, area): pairs in rising distance until every row of both sides has one.
 
     Pairs are only ever added in rising distance, so the result is a prefix of them; it
-    ends where the last row of either side is first met. Ties go by i, then j.
+    ends where the last row of either side is first met. Ties go by i, then j; pairs whose
+    distance is unknown come last. The pair where it ends is found from each row's nearest
+    partner, and only pairs up to that distance are made, a part at a time; a task holds
+    the rows of a key, never its pairs.
     """
-    p = a.select(*keys, F.col("idx").alias("i"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("area").alias("aa"))
-    q = b.select(*keys, F.col("idx").alias("j"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("area").alias("ba"))
-    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) + F.pow(F.col("aa") - F.col("ba"), 2))
-    both = p.join(q, keys).select(*keys, "i", "j", F.round(d, 9).alias("d"))  # the shapes of one page
-    place = both.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("d", "i", "j")))
-    met = lambda c: F.min("n").over(Window.partitionBy(*keys, c))
-    t = place.withColumn("m", F.greatest(met("i"), met("j")))
-    return t.withColumn("last", F.max("m").over(Window.partitionBy(*keys))).where("n <= last").select(*keys, "i", "j", "d")
+    names, numbers = [*keys, "i", "j", "d"], ["cx", "cy", "area"]
+    kinds = dict(a.select(*keys, F.col("idx").alias("i")).dtypes) | {"j": dict(b.dtypes)["idx"], "d": "double"}
+
+    def side(df: DataFrame, mine: str, other: str, n: int) -> DataFrame:
+        return df.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).select(*keys, F.lit(n).alias("side"), F.col("idx").alias(mine), F.lit(None).cast(kinds[other]).alias(other), *[F.col(c).cast("double").alias(c) for c in numbers])
+
+    def kernel(t: pa.Table) -> Iterator[pa.Table]:
+        sides = [t.filter(pc.equal(t.column("side"), k)) for k in (0, 1)]
+        if not sides[0].num_rows or not sides[1].num_rows:
+            return
+        p, q = (np.stack([s.column(c).to_numpy() for c in numbers], 1) for s in sides)
+        i_, j_ = (s.column(c).combine_chunks() for s, c in zip(sides, ("i", "j")))
+        i, j = (v.to_numpy(zero_copy_only=False) for v in (i_, j_))
+        near = _nearest_distance(p, q), _nearest_distance(q, p)
+        far = max(float(low.max()) for low in (_lowest(i, near[0]), _lowest(j, near[1])))
+        last = max([*_last_first_met(i, j, p, q, near[0], far), *[(x, y) for y, x in _last_first_met(j, i, q, p, near[1], far)]])
+        met = False
+        for k, m, d in _within(p, q, far):
+            end = (d == far) & (i[k] == last[0]) & (j[m] == last[1])
+            keep = (d < far) | ((d == far) & ((i[k] < last[0]) | ((i[k] == last[0]) & (j[m] < last[1]))))
+            if not met and end.any():  # of equal pairs the first is the end
+                keep[np.argmax(end)] = met = True
+            k, m, d = k[keep], m[keep], d[keep]
+            row = t.slice(0, 1).select(keys).take(pa.array(np.zeros(len(k), np.int64)))
+            for c, v in (("i", i_.take(pa.array(k))), ("j", j_.take(pa.array(m))), ("d", pa.array(d, mask=np.isinf(d)))):
+                row = row.append_column(c, v)
+            yield row
+
+    both = side(a, "i", "j", 0).unionByName(side(b, "j", "i", 1))
+    return by_key(both, keys, ["side"], kernel, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+
+
+def _lowest(idx: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least distance of the rows of each idx."""
+    ids, group = np.unique(idx, return_inverse=True)
+    low = np.full(len(ids), np.inf)
+    np.minimum.at(low, group, best)
+    return low
 
 
 def main_or_head(main: Column, head: Column, w: Column, h: Column) -> Column:

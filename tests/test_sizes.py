@@ -71,3 +71,28 @@ def test_boxes_alone_are_not_painted(spark):
     began = time.time()
     many = spark.range(100_000).selectExpr("id as k", "int(id % 90) as x0", "3 as y0", "int(id % 90 + 40) as x1", "20 as y1")
     assert polygons.box_contours(many, ["k"], 3, 3).where("area = 46 * 23 and size(poly) = 4").count() == 100_000 and time.time() - began < 30
+
+
+def test_nearest_pairs_makes_no_others(spark):
+    rng = np.random.default_rng(7)
+
+    def plain(a, b):
+        dist = lambda x, y: None if None in (*x[2:], *y[2:]) else round(sum((u - v) ** 2 for u, v in zip(x[2:], y[2:])) ** 0.5, 9)
+        want = []
+        for p in {r[0] for r in a} & {r[0] for r in b} - {None}:
+            own = sorted(((dist(x, y), x[1], y[1]) for x in a for y in b if x[0] == y[0] == p), key=lambda t: (t[0] is None, t[0] or 0, *t[1:]))
+            first = {}
+            for n, (_, i, j) in enumerate(own):
+                first.setdefault(("i", i), n), first.setdefault(("j", j), n)
+            want += [(p, i, j, d) for d, i, j in own[: max(first.values()) + 1]]
+        return sorted(map(str, want))
+
+    kinds = "p int, idx bigint, cx double, cy double, area double"
+    for grid in (3, 1000):
+        a, b = ([(int(p), k // 2 if grid == 3 else k, *map(float, v)) for k, (p, v) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, grid, (n, 3))))] for n in (40, 25))
+        a += [(1, 900, None, 1.0, 1.0), (None, 901, 1.0, 1.0, 1.0), (8, 902, 1.0, 1.0, 1.0)]
+        got = matching.nearest_pairs(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), ["p"]).select("p", "i", "j", "d").collect()
+        assert sorted(str(tuple(r)) for r in got) == plain(a, b)
+    side = lambda n, s: spark.range(n).select(F.lit(1).alias("p"), F.col("id").alias("idx"), (F.rand(s) * 1000).alias("cx"), (F.rand(s + 1) * 1000).alias("cy"), F.rand(s + 2).alias("area"))
+    began = time.time()
+    assert matching.nearest_pairs(side(20_000, 1), side(5_000, 4), ["p"]).count() < 3_000_000 and time.time() - began < 30
