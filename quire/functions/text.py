@@ -30,12 +30,17 @@ def namespace(tag: Column) -> Column:
     return F.regexp_extract(tag, r"\{([^}]*)\}", 1)
 
 
-def region_id(i: Column) -> Column:
-    return F.format_string("region_%04d", i)
+def _number(i: Column, cut: bool) -> Column:
+    return F.lpad(i.cast("string"), 4, "0") if cut else F.format_string("%04d", i)
 
 
-def line_id(region: Column, line: Column) -> Column:
-    return F.format_string("region_%04d_line_%04d", region, line)
+def region_id(i: Column, cut: bool = False) -> Column:
+    """region_0001; numbers of more than four digits stay whole, or are cut to their first four, as by SQL's lpad."""
+    return F.concat(F.lit("region_"), _number(i, cut))
+
+
+def line_id(region: Column, line: Column, cut: bool = False) -> Column:
+    return F.concat(region_id(region, cut), F.lit("_line_"), _number(line, cut))
 
 
 def glue_lines(lines: Column) -> Column:

@@ -56,11 +56,11 @@ def reading_order(df: DataFrame, page: str, group: Column, order: list[str], nam
     return df.withColumn("grp", group).withColumn(name, (F.row_number().over(Window.partitionBy(page).orderBy("grp", *order)) - 1).cast("int"))
 
 
-def number_lines(df: DataFrame, page: str, region: str, line: str) -> DataFrame:
-    """region_0001 and region_0001_line_0001 identifiers; numbers begin at 1."""
+def number_lines(df: DataFrame, page: str, region: str, line: str, cut: bool = False) -> DataFrame:
+    """region_0001 and region_0001_line_0001 identifiers; numbers begin at 1. From 10000 on they stay whole unless `cut` to four digits, which leaves them ambiguous."""
     r = F.dense_rank().over(Window.partitionBy(page).orderBy(region))
     n = F.row_number().over(Window.partitionBy(page, region).orderBy(line))
-    return df.withColumn("region_id", region_id(r)).withColumn("line_id", line_id(r, n))
+    return df.withColumn("region_id", region_id(r, cut)).withColumn("line_id", line_id(r, n, cut))
 
 
 def merge_halves(df: DataFrame, keys: list[str], row: str) -> DataFrame:

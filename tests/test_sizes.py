@@ -6,8 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import columns, matching, polygons, raster, runs
 from quire.operators.grouped import by_key
+from quire.plans import layout
+from tests.compare import spark_rows, sql
 
 
 def test_images_of_many_keys_are_not_held(spark):
@@ -96,3 +99,10 @@ def test_nearest_pairs_makes_no_others(spark):
     side = lambda n, s: spark.range(n).select(F.lit(1).alias("p"), F.col("id").alias("idx"), (F.rand(s) * 1000).alias("cx"), (F.rand(s + 1) * 1000).alias("cy"), F.rand(s + 2).alias("area"))
     began = time.time()
     assert matching.nearest_pairs(side(20_000, 1), side(5_000, 4), ["p"]).count() < 3_000_000 and time.time() - began < 30
+
+
+def test_identifiers_from_10000_on(spark, tmp_path):
+    spark.range(10_050).selectExpr("id as conv_id", "1 as turn", "'user' as role", "'x' as text").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert spark_rows(layout.line_ids(spark, str(tmp_path))) == sql(layout.ORACLES["line_ids"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
+    whole = spark.range(1).select(text.region_id(F.lit(12345)).alias("r"), text.line_id(F.lit(7), F.lit(12345)).alias("l")).first()
+    assert tuple(whole) == ("region_12345", "region_0007_line_12345")
