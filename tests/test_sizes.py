@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import columns, matching, polygons, raster, runs
+from quire.operators import adhere, columns, matching, polygons, raster, runs
 from quire.operators.grouped import by_key
 from quire.plans import layout
 from tests.compare import spark_rows, sql
@@ -106,3 +106,10 @@ def test_identifiers_from_10000_on(spark, tmp_path):
     assert spark_rows(layout.line_ids(spark, str(tmp_path))) == sql(layout.ORACLES["line_ids"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
     whole = spark.range(1).select(text.region_id(F.lit(12345)).alias("r"), text.line_id(F.lit(7), F.lit(12345)).alias("l")).first()
     assert tuple(whole) == ("region_12345", "region_0007_line_12345")
+
+
+def test_a_box_that_holds_the_share_exactly_stays(spark):
+    rows = [(1, 0, 0, 62)] + [(1, y, 5, 5 + 7 + (y <= 37)) for y in range(1, 40)]  # 372 pixels of 62 x 40, 0.15 of it
+    drops = spark.createDataFrame([(0, *r) for r in rows], "p int, c int, y int, x0 int, x1 int")
+    assert adhere.fill_boxes(drops, ["p"], "c", 0.15).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 372
+    assert adhere.fill_boxes(drops, ["p"], "c", 0.149).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 62 * 40
