@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import line_id, region_id
+from quire.operators.grouped import dealt
 
 
 def gap_clusters(df: DataFrame, keys: list[str], at: str, gap: Column | float, ties: list[str], name: str = "cluster") -> DataFrame:
@@ -29,7 +30,7 @@ def neighbours(df: DataFrame, keys: list[str], at: str, ties: list[str], row: st
 def line_order(df: DataFrame, keys: list[str], cx: str, cy: str, w: str, h: str, row: str) -> DataFrame:
     """Lines of a region in order: mostly tall lines go in rows, else in columns; a row or column ends where the gap is over the median gap / 1.5 (10 if that is 0)."""
     by = Window.partitionBy(*keys)
-    tall = df.withColumn("tall", F.sum((F.col(h) > F.col(w)).cast("int")).over(by) * 2 > F.count("*").over(by))
+    tall = dealt(df, keys).withColumn("tall", F.sum((F.col(h) > F.col(w)).cast("int")).over(by) * 2 > F.count("*").over(by))
     first, second = F.when(F.col("tall"), F.col(cy)).otherwise(F.col(cx)), F.when(F.col("tall"), F.col(cx)).otherwise(F.col(cy))
     t = tall.withColumn("__f", first).withColumn("__s", second)
     win = by.orderBy("__f", "__s", row)
