@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import bbox, point_in_polygon
-from quire.operators.grouped import by_key
+from quire.operators.grouped import by_key, together
 
 
 def with_cells(df: DataFrame, low: str, high: str, width: float, cell: str = "cell") -> DataFrame:
@@ -59,14 +59,17 @@ def match_boxes(regions: DataFrame, boxes: DataFrame, page: str = "page_id", cen
     b = with_cells(b, "by0", "by1", grid)
     cx, cy = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
     r = regions.withColumn("cx", cx).withColumn("cy", cy).withColumn("cell", F.floor(F.col("cy") / grid))
-    both = r.join(b, [page, "cell"], "left")
+    r, b = together([r, b], [page, "cell"])
+    both = r.join(b, [page, "cell"])
     holds = lambda x0, y0, x1, y1: (F.col("bx0") <= x0) & (x1 < F.col("bx1")) & (F.col("by0") <= y0) & (y1 < F.col("by1"))
     whole = F.lit(False) if centers else holds(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     middle = holds(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy"))
     far = F.pow((F.col("bx0") + F.col("bx1")) / 2 - F.col("cx"), 2) + F.pow((F.col("by0") + F.col("by1")) / 2 - F.col("cy"), 2)
     rank = F.when(whole, F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("d"), F.col("box_idx").alias("i"))).when(middle, F.struct(F.lit(1).alias("k"), (F.lit(0.0) if centers else far).alias("d"), F.col("box_idx").alias("i")))
-    best = both.groupBy(page, "region_idx").agg(F.min(rank).alias("r"))
-    return regions.join(best.select(page, "region_idx", F.col("r.i").alias("box_idx")), [page, "region_idx"])
+    found = both.select(page, "region_idx", rank.alias("r")).where("r is not null")
+    all_, found = together([regions, found], [page, "region_idx"])
+    best = found.groupBy(page, "region_idx").agg(F.min("r").alias("r"))
+    return all_.join(best.select(page, "region_idx", F.col("r.i").alias("box_idx")), [page, "region_idx"], "left")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, page: str = "page_id", edge: bool = True, grid: int = 256) -> DataFrame:
