@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import adhere, columns, matching, polygons, raster, runs
+from quire.operators import adhere, columns, grouped, matching, ordering, polygons, raster, runs
 from quire.operators.grouped import by_key
 from quire.plans import layout
-from tests.compare import spark_rows, sql
+from tests.compare import SF, spark_rows, sql
 
 
 def test_images_of_many_keys_are_not_held(spark):
@@ -113,3 +113,19 @@ def test_a_box_that_holds_the_share_exactly_stays(spark):
     drops = spark.createDataFrame([(0, *r) for r in rows], "p int, c int, y int, x0 int, x1 int")
     assert adhere.fill_boxes(drops, ["p"], "c", 0.15).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 372
     assert adhere.fill_boxes(drops, ["p"], "c", 0.149).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 62 * 40
+
+
+def test_partitions_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "SHARE", 4000)
+    t = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines = t.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("cx"), F.col("l_extendedprice").alias("cy"), F.col("l_discount").alias("w"), F.col("l_tax").alias("h"))
+    masks = t.selectExpr("l_suppkey as m", "int(l_orderkey % 40) as y", "int(l_partkey % 60) as x0", "int(l_partkey % 60 + l_linenumber + 1) as x1", "l_linenumber as l")
+    box = t.selectExpr("l_orderkey as page_id", "l_linenumber as region_idx", "int(l_partkey % 500) as x0", "int(l_partkey % 500 + 20) as x1", "int(l_suppkey % 300) as y0", "int(l_suppkey % 300 + 9) as y1")
+    cover = masks.select("m", "y", "x0", "x1")
+    for df in (
+        ordering.line_order(lines, ["l_orderkey"], "cx", "cy", "w", "h", "l_linenumber"), runs.normalise(masks, ["m"]), runs.erode(masks, ["m"], 1, 1), runs.opened(masks, ["m"], 1, 1),
+        adhere.small_lines_to_large(masks.withColumn("size", F.lit(2400)), ["m"], "l", F.lit(0.05)), adhere.absorb_covered(masks, cover, ["m"], "l"),
+        adhere.region_confidence(masks, cover.withColumn("value", F.lit(1)), ["m"], "l"), matching.match_boxes(box, box.withColumn("box_idx", F.col("region_idx"))),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "Window" not in plan.split("REPARTITION_BY_NUM")[-1]
