@@ -115,6 +115,27 @@ def test_a_box_that_holds_the_share_exactly_stays(spark):
     assert adhere.fill_boxes(drops, ["p"], "c", 0.149).agg(F.sum(F.col("x1") - F.col("x0"))).first()[0] == 62 * 40
 
 
+def test_labels_under_masks_in_one_sweep(spark):
+    rng = np.random.default_rng(8)
+
+    def draw(n, pages):
+        return [(int(p), int(y), int(x), int(x + w), int(k)) for p, y, x, w, k in zip(rng.integers(0, pages, n), rng.integers(0, 4, n), rng.integers(0, 20, n), rng.integers(1, 6, n), rng.integers(1, 4, n))]
+
+    layer, mask = draw(120, 6), draw(50, 4)
+    kinds = "p int, y int, x0 int, x1 int, label int"
+    own, cover = spark.createDataFrame(layer, kinds), spark.createDataFrame(mask, kinds).drop("label")
+    pixels = lambda rows: {(p, k, y, x) for p, y, x0, x1, k in rows for x in range(x0, x1)}
+    masked = {r[0] for r in mask}
+    for only in (False, True):
+        for keep in (None, 2):
+            got = adhere.set_label(own, cover, ["p"], 3, only, keep).select("p", "y", "x0", "x1", "label").collect()
+            new = {(p, y, x) for p, _, y, x in pixels(mask)} - {(p, y, x) for p, k, y, x in pixels(layer) if k == keep}
+            want = {(p, k, y, x) for p, k, y, x in pixels(layer) if p not in masked or (p, y, x) not in new and not (only and k == 3)} | {(p, 3, y, x) for p, y, x in new}
+            assert pixels(map(tuple, got)) == want
+            assert sorted(tuple(r) for r in got if r.p not in masked) == sorted(r for r in layer if r[0] not in masked)
+            assert len({(r.p, r.label, r.y, e) for r in got if r.p in masked for e in (r.x0, r.x1)}) == 2 * sum(r.p in masked for r in got)
+
+
 def test_partitions_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(grouped, "SHARE", 4000)
     t = spark.read.parquet(f"{SF}/lineitem.parquet")
