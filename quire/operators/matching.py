@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.geometry import bbox, point_in_polygon
+from quire.functions.geometry import point_in_polygon
 from quire.operators.grouped import by_key, together
 
 
@@ -74,11 +74,19 @@ def match_boxes(regions: DataFrame, boxes: DataFrame, page: str = "page_id", cen
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, page: str = "page_id", edge: bool = True, grid: int = 256) -> DataFrame:
     """points(page, x, y, ..) joined to polygons(page, poly, ..) that hold them; bounding boxes meet on grid rows first, then the exact test runs."""
-    boxed = polygons.withColumn("bb", bbox(F.col("poly"))).where("bb.x0 is not null")
-    cells = boxed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("bb.y0") / grid), F.floor(F.col("bb.y1") / grid))))
-    near = points.withColumn("cell", F.floor(F.col("y") / grid)).join(cells, [page, "cell"])
-    near = near.where(F.col("x").between(F.col("bb.x0"), F.col("bb.x1")) & F.col("y").between(F.col("bb.y0"), F.col("bb.y1")))
-    return near.where(point_in_polygon(F.col("x"), F.col("y"), F.col("poly")) >= (0 if edge else 1)).drop("cell", "bb")
+    flat = polygons.schema["poly"].dataType.elementType.names == ["x", "y"]  # numbers alone travel lighter than structs, and boxes are found again
+    xs, ys = (F.col(f"__{c}s") for c in "xy") if flat else (F.col("poly")["x"], F.col("poly")["y"])
+    sent = polygons
+    if flat:
+        others = [c for c in polygons.columns if c != "poly"]
+        sent = polygons.select(*others, *[F.col("poly")[c].alias(f"__{c}s") for c in "xy"])
+    cells = sent.where(F.array_min(xs).isNotNull()).withColumn("cell", F.explode(F.sequence(F.floor(F.array_min(ys) / grid), F.floor(F.array_max(ys) / grid))))
+    near, cells = together([points.withColumn("cell", F.floor(F.col("y") / grid)), cells], [page, "cell"])
+    near = near.join(cells, [page, "cell"]).where(F.col("x").between(F.array_min(xs), F.array_max(xs)) & F.col("y").between(F.array_min(ys), F.array_max(ys)))
+    poly = F.arrays_zip(xs.alias("x"), ys.alias("y")) if flat else F.col("poly")
+    near = near.where(point_in_polygon(F.col("x"), F.col("y"), poly) >= (0 if edge else 1))
+    own = [c for c in polygons.columns if c != page]
+    return near.select(page, *[c for c in points.columns if c != page], *[poly.alias("poly") if c == "poly" else c for c in own])
 
 
 def without_inside(df: DataFrame, low: str, high: str, keys: list[str]) -> DataFrame:

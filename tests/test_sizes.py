@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import geometry, text
 from quire.operators import adhere, columns, grouped, matching, ordering, polygons, raster, runs
 from quire.operators.grouped import by_key
 from quire.plans import layout
@@ -150,3 +150,17 @@ def test_partitions_grow_with_the_table(spark, monkeypatch):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan and "Window" not in plan.split("REPARTITION_BY_NUM")[-1]
+
+
+def test_polygons_travel_as_numbers(spark):
+    rng = np.random.default_rng(9)
+    shapes = [(int(p), k, [(int(x), int(y)) for x, y in zip(*rng.integers(0, 600, (2, 5)))]) for k, p in enumerate(rng.integers(0, 5, 80))] + [(1, 800, None), (1, 801, [])]
+    polys = spark.createDataFrame(shapes, f"page_id int, k int, poly {polygons.POLY}")
+    points = spark.createDataFrame([(int(p), int(x), int(y)) for p, x, y in zip(rng.integers(0, 5, 200), *rng.integers(0, 600, (2, 200)))], "page_id int, x int, y int")
+    for edge in (True, False):
+        df = matching.points_in_polygons(points, polys, edge=edge)
+        want = points.join(polys, "page_id").where(geometry.point_in_polygon(F.col("x"), F.col("y"), F.col("poly")) >= (0 if edge else 1)).select(*df.columns)
+        assert df.exceptAll(want).isEmpty() and want.exceptAll(df).isEmpty() and df.count()
+    plan = matching.points_in_polygons(points, polys).select("page_id", "k")._jdf.queryExecution().optimizedPlan().toString()
+    sent = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert len(sent) == 2 and "poly AS" not in plan.split("RepartitionByExpression")[0]
