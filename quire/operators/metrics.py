@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -86,11 +88,46 @@ def _as_characters(words: Column, all_: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-16BE")
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein's distance of characters; a whole column of the table at once, as the bits of a number (Myers, Hyyrö)."""
+    if len(a) < len(b):
+        a, b = b, a
+    if a == b or not b:
+        return 0 if a == b else len(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, n = every, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        x = same | down
+        h = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(h | up)), up & h
+        n += bool(more & last) - bool(less & last)
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(x | more)) & every, more & x & every
+    return n
+
+
+def with_edits(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """A column of the edits between two columns of texts; null where one is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (t.column(t.schema.get_field_index(c)).to_pylist() for c in (a, b))
+            n = [None if p is None or q is None else edits(p, q) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(n, pa.int64())], names=[*t.schema.names, out])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes), f"`{out}` bigint"]))
+
+
 def line_rates(df: DataFrame, truth: Column, read: Column, keys: list[str]) -> DataFrame:
     """(keys, edits, chars, cer, word_edits, words, wer): edits of characters and of blank-separated words against the truth's number of each; lines of fewer than 50 000 different words."""
-    t = df.select(*keys, truth.alias("__t"), read.alias("__r"), F.split(truth, " ").alias("__a"), F.split(read, " ").alias("__b")).withColumn("__d", F.array_distinct(F.concat("__a", "__b")))
+    t = with_edits(df.select(*keys, truth.alias("__t"), read.alias("__r")), "__t", "__r", "__e")
+    t = t.withColumn("__a", F.split("__t", " ")).withColumn("__b", F.split("__r", " ")).withColumn("__d", F.array_distinct(F.concat("__a", "__b")))
     t = t.withColumn("word_edits", F.levenshtein(_as_characters(F.col("__a"), F.col("__d")), _as_characters(F.col("__b"), F.col("__d"))).cast("bigint"))
-    edits, chars, words = F.levenshtein("__t", "__r").cast("bigint"), F.length("__t").cast("bigint"), F.size("__a").cast("bigint")
+    edits, chars, words = F.col("__e"), F.length("__t").cast("bigint"), F.size("__a").cast("bigint")
     return t.select(*keys, edits.alias("edits"), chars.alias("chars"), F.round(F.try_divide(edits, chars), 6).alias("cer"), "word_edits", words.alias("words"), F.round(F.try_divide(F.col("word_edits"), words), 6).alias("wer"))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, text
-from quire.operators import adhere, columns, grouped, matching, ordering, polygons, raster, runs
+from quire.operators import adhere, columns, grouped, matching, metrics, ordering, polygons, raster, runs
 from quire.operators.grouped import by_key
 from quire.plans import layout
 from tests.compare import SF, spark_rows, sql
@@ -164,3 +164,14 @@ def test_polygons_travel_as_numbers(spark):
     plan = matching.points_in_polygons(points, polys).select("page_id", "k")._jdf.queryExecution().optimizedPlan().toString()
     sent = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
     assert len(sent) == 2 and "poly AS" not in plan.split("RepartitionByExpression")[0]
+
+
+def test_edits_of_long_lines(spark):
+    rng = np.random.default_rng(10)
+    texts = ["", "a", "ß€x", *("".join(rng.choice(list("abcß€ "), int(n))) for n in rng.integers(1, 90, 40))]
+    pairs = [(i, x, texts[-i - 1]) for i, x in enumerate(texts)] + [(98, None, "a"), (99, "a", None)]
+    t = metrics.with_edits(spark.createDataFrame(pairs, "i int, a string, b string"), "a", "b", "e")
+    assert t.where(~F.col("e").eqNullSafe(F.levenshtein("a", "b"))).isEmpty()
+    long = ["".join(rng.choice(list("abcdefgh "), 12_000)) for _ in range(2)]
+    began = time.time()
+    assert 0 < metrics.edits(*long) < 12_000 and time.time() - began < 2
